@@ -3,6 +3,7 @@
 from cdclake.checks.registry import query
 from cdclake.plans import dashboards as D
 from cdclake.plans import gold, silver
+from cdclake.session import checkpointed
 
 
 def daily(t):
@@ -90,5 +91,9 @@ REPORT = """
 
 @query("d9_mart_report", REPORT)
 def report(t):
-    marts = {"daily_revenue": daily(t), "top_products": products(t), "customer_ltv": ltv(t)}
+    items, orders = checkpointed(t.items()), t.orders()
+    totals = gold.order_totals(items)
+    marts = {"daily_revenue": gold.daily_revenue(orders, totals),
+             "top_products": gold.gold_top_products(items, t.products()),
+             "customer_ltv": gold.customer_ltv(t.customers(), orders, totals)}
     return D.mart_report(marts, marts["top_products"])

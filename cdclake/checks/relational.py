@@ -1,19 +1,21 @@
 """Projections, filters, joins, aggregates, ranks, sorts, state and quality."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cdclake.checks.registry import query
-from cdclake.contracts import Contract, Field, ORDERS
+from cdclake.contracts import ORDERS, Contract, Field
+from cdclake.functions.images import epoch_millis
 from cdclake.functions.money import from_minor_units, minor_units
 from cdclake.operators import quality as Q
 from cdclake.operators.changes import diff_to_changes, snapshot_to_changes
 from cdclake.operators.integrity import orphan_keys, orphans
+from cdclake.operators.joins import left_join
 from cdclake.operators.state import (
     APPLY, align, as_of, latest_by_key, rank_changes, state_as_of, upsert)
-from cdclake.functions.images import epoch_millis
 from cdclake.plans import gold
 from cdclake.plans.jobs import gold_checks, top_customer_checks
-from pyspark.sql import types as T
+from cdclake.session import checkpointed
 
 CUT = "1998-07-01"
 CUT_TS = F.lit(CUT).cast("timestamp_ntz")
@@ -94,9 +96,8 @@ def items_products(t):
     SELECT c.customer_id, order_id FROM s_customers c
     LEFT JOIN s_orders o ON c.customer_id = o.customer_id AND status <> 'cancelled'""")
 def customers_billed_orders(t):
-    c, o = t.customers().alias("c"), t.orders().alias("o")
-    on = (F.col("c.customer_id") == F.col("o.customer_id")) & (F.col("o.status") != "cancelled")
-    return c.join(o, on, "left").select("c.customer_id", "o.order_id")
+    billed = gold.billed(t.orders()).select("customer_id", "order_id")
+    return left_join(t.customers().select("customer_id"), billed, "customer_id")
 
 
 @query("j4_customers_orders_items", """
@@ -105,10 +106,8 @@ def customers_billed_orders(t):
     LEFT JOIN s_items i ON o.order_id = i.order_id""")
 def customers_orders_items(t):
     items = t.items().select("order_id", "item_id")
-    return (t.customers().select("customer_id")
-            .join(gold.billed(t.orders()).select("customer_id", "order_id"),
-                  "customer_id", "left")
-            .join(items, "order_id", "left").select("customer_id", "order_id", "item_id"))
+    return left_join(customers_billed_orders(t), items, "order_id").select(
+        "customer_id", "order_id", "item_id")
 
 
 @query("j5_count_difference", """
@@ -451,7 +450,7 @@ def suite(t):
               FROM (SELECT (SELECT count(*) FROM g_customer_ltv)
                            - (SELECT count(*) FROM s_customers) AS d)""")
 def gold_suite(t):
-    orders, items, customers = t.orders(), t.items(), t.customers()
+    orders, items, customers = t.orders(), checkpointed(t.items()), t.customers()
     return gold_checks(gold.gold_daily_revenue(orders, items),
                        gold.gold_top_products(items, t.products()),
                        gold.gold_customer_ltv(customers, orders, items), customers)

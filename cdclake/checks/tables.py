@@ -9,7 +9,7 @@ from cdclake import contracts as C
 from cdclake.functions.images import epoch_millis
 from cdclake.operators.changes import snapshot_to_changes
 from cdclake.operators.state import latest_by_key
-from cdclake.session import prepare
+from cdclake.session import fit_shuffle, prepare
 
 ITEM_VERSION = ["l_shipdate", "l_partkey", "l_suppkey"]
 START = "1970-01-01 00:00:00"
@@ -22,7 +22,7 @@ class Tables:
         self.spark, self.folder = prepare(spark), folder
 
     def read(self, name):
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return fit_shuffle(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def customers(self):
         nation = self.read("nation").select("n_nationkey", F.col("n_name").alias("country"))

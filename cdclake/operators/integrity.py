@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from cdclake.operators.joins import key_counts
+
 
 def _parent_keys(parent, parent_key):
     return parent.select(F.col(parent_key).alias("_key")).distinct()
@@ -12,7 +14,7 @@ def orphan_keys(child, parent, key, parent_key=None):
 
     The child is reduced to one row per key before the join, so a hot key costs nothing.
     """
-    counted = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    counted = key_counts(child.where(F.col(key).isNotNull()), key)
     parents = _parent_keys(parent, parent_key or key)
     return counted.join(parents, F.col(key) == F.col("_key"), "left_anti")
 

@@ -3,7 +3,9 @@
 import logging
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdclake.session import checkpointed
@@ -16,20 +18,32 @@ EVENT_DDL = (f"eventType STRING, eventTime TIMESTAMP, run STRUCT<runId: STRING>,
 
 def lineage_events(spark, job, inputs, outputs, job_namespace="cdclake", namespace="lake"):
     """START and COMPLETE event of one run of a job."""
-    run, now = (str(uuid.uuid4()),), datetime.now(timezone.utc)
-    named = [[(namespace, name) for name in names] for names in (inputs, outputs)]
-    rows = [(kind, now, run, (job_namespace, job), *named) for kind in ("START", "COMPLETE")]
-    return spark.createDataFrame(rows, schema=EVENT_DDL)
+    now, run = F.lit(datetime.now(timezone.utc)), str(uuid.uuid4())
 
+    def dataset(space, name):
+        return F.struct(F.lit(space).alias("namespace"), F.lit(name).alias("name"))
 
-def emit_lineage(spark, table, job, inputs, outputs):
-    """Append the events of a run to a table. Best effort: a failure is logged, not raised."""
+    def datasets(names):
+        return F.array(*[dataset(namespace, name) for name in names])
+
+    kinds = F.explode(F.array(F.lit("START"), F.lit("COMPLETE"))).alias("eventType")
+    return spark.range(1).select(
+        kinds, now.alias("eventTime"), F.struct(F.lit(run).alias("runId")).alias("run"),
+        dataset(job_namespace, job).alias("job"),
+        datasets(inputs).alias("inputs"), datasets(outputs).alias("outputs"))
+
+
+def emit_lineage(spark, table, runs):
+    """Append the events of runs (job, inputs, outputs) to a table.
+
+    Best effort: a failure is logged and not raised.
+    """
     try:
         ensure_table(spark, table, EVENT_DDL)
-        append(lineage_events(spark, job, inputs, outputs), table)
+        append(reduce(DataFrame.unionByName, [lineage_events(spark, *run) for run in runs]), table)
         return True
     except Exception as error:  # lineage must never fail the job it describes
-        logging.getLogger(__name__).warning("lineage of %s not written: %s", job, error)
+        logging.getLogger(__name__).warning("lineage not written to %s: %s", table, error)
         return False
 
 

@@ -36,7 +36,7 @@ def counter_rate(samples, window_seconds=60, bucket_seconds=3600, by="series"):
     """
     by = _names(by)
     span, width = window_seconds * 1_000_000, max(window_seconds, bucket_seconds) * 1_000_000
-    bucket = F.floor(F.col("_us") / F.lit(width)).cast("bigint")
+    bucket = ((F.col("_us") - F.pmod("_us", F.lit(width))) / F.lit(width)).cast("bigint")
     rows = (samples.where(F.col("value").isNotNull())
             .select(*by, "ts", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
             .withColumn("_own", bucket))

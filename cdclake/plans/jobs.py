@@ -1,5 +1,6 @@
 """Jobs: ingest, full refresh of silver and gold behind a quality gate, and a small ETL."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -12,8 +13,9 @@ from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import IGNORE
 from cdclake.plans import dashboards, gold
 from cdclake.plans.silver import build_silver
-from cdclake.session import checkpointed, prepare
-from cdclake.sinks.tables import (append, ensure_namespace, recreate_table, replace_table)
+from cdclake.session import checkpointed, fit_shuffle, prepare
+from cdclake.sinks.tables import (
+    append, ensure_namespace, recreate_table, replace_table, sized_table)
 from cdclake.sources.files import inline_rows
 from cdclake.streaming.ingest import ensure_bronze, ingest, read_change_stream
 
@@ -46,13 +48,19 @@ class LakeConfig:
         return name
 
 
+def replace_all(tables, fmt):
+    """Replace independent tables at the same time, so that the tail of one does not idle
+    the cluster; the first failure is raised."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda name: replace_table(tables[name], name, fmt), tables))
+
+
 def build_silver_layer(spark, cfg):
     """Replace every silver table from the bronze log."""
     cfg.namespace(spark, cfg.silver)
-    bronze = spark.table(cfg.bronze)
-    for contract in SILVER:
-        replace_table(build_silver(bronze, contract, cfg.deletes),
-                      f"{cfg.silver}.{contract.table}", cfg.fmt)
+    bronze = fit_shuffle(sized_table(spark, cfg.bronze))
+    replace_all({f"{cfg.silver}.{c.table}": build_silver(bronze, c, cfg.deletes) for c in SILVER},
+                cfg.fmt)
 
 
 def build_gold_layer(spark, cfg):
@@ -66,8 +74,7 @@ def build_gold_layer(spark, cfg):
         "top_products": gold.gold_top_products(items, silver["products"]),
         "customer_ltv": gold.customer_ltv(silver["customers"], orders, totals),
     }
-    for name, mart in marts.items():
-        replace_table(mart, f"{cfg.gold}.{name}", cfg.fmt)
+    replace_all({f"{cfg.gold}.{name}": mart for name, mart in marts.items()}, cfg.fmt)
 
 
 def gold_checks(daily, products, ltv, customers):
@@ -81,13 +88,11 @@ def gold_checks(daily, products, ltv, customers):
         .unionByName(Q.same_count(ltv, customers, "customer_ltv covers all customers")))
 
 
-def _lineage(spark, cfg):
-    cfg.namespace(spark, cfg.lineage.rsplit(".", 1)[0])
-    tables = [f"{cfg.silver}.{c.table}" for c in SILVER]
-    emit_lineage(spark, cfg.lineage, "silver_transform", [cfg.bronze], tables)
-    for mart, inputs in GOLD_INPUTS.items():
-        emit_lineage(spark, cfg.lineage, f"gold_{mart}",
-                     [f"{cfg.silver}.{t}" for t in inputs], [f"{cfg.gold}.{mart}"])
+def lineage_of(cfg):
+    """(job, inputs, outputs) of a full refresh; every mart names the tables it reads."""
+    runs = [("silver_transform", [cfg.bronze], [f"{cfg.silver}.{c.table}" for c in SILVER])]
+    return runs + [(f"gold_{mart}", [f"{cfg.silver}.{t}" for t in inputs], [f"{cfg.gold}.{mart}"])
+                   for mart, inputs in GOLD_INPUTS.items()]
 
 
 def run_pipeline(spark, cfg):
@@ -95,7 +100,8 @@ def run_pipeline(spark, cfg):
     prepare(spark)
     build_silver_layer(spark, cfg)
     build_gold_layer(spark, cfg)
-    _lineage(spark, cfg)
+    cfg.namespace(spark, cfg.lineage.rsplit(".", 1)[0])
+    emit_lineage(spark, cfg.lineage, lineage_of(cfg))
     marts = {name: spark.table(f"{cfg.gold}.{name}") for name in GOLD_INPUTS}
     Q.gate(gold_checks(*marts.values(), spark.table(f"{cfg.silver}.customers")))
     return dashboards.mart_report(marts, marts["top_products"])

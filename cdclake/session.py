@@ -10,8 +10,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where the aggregation after it then needs a shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# The planner's estimate for an input it knows nothing about is beyond this.
+UNKNOWN_SIZE = 2 ** 60
+
 
 def get_session(app="cdclake", master=None, conf=None):
     builder = SparkSession.builder.appName(app)
@@ -29,12 +34,25 @@ def prepare(spark):
     return spark
 
 
-def shuffle_partitions(input_bytes, cores, target_bytes=192 * 1024 * 1024):
-    """Shuffle width that keeps partitions near `target_bytes`.
+def shuffle_partitions(input_bytes, target_bytes=128 * 1024 * 1024, expansion=3):
+    """Shuffle width that keeps partitions near `target_bytes`, for compressed input."""
+    return -(-input_bytes * expansion // target_bytes)
+
+
+def fit_shuffle(df):
+    """Widen the session's shuffles to the size of an input; never makes them narrower.
 
-    Never below two waves of tasks; AQE coalesces what turns out too small.
+    AQE merges partitions that turn out small, but cannot split what is merely large.
+    An input of unknown size changes nothing.
     """
-    return max(2 * cores, -(-input_bytes // target_bytes))
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_SIZE:
+        return df
+    wanted = shuffle_partitions(size)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return df
 
 
 def shared_dir(spark):

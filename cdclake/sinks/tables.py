@@ -1,6 +1,5 @@
 """Namespaces, tables and files that jobs write."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from cdclake.sources.files import CSV_OPTIONS
@@ -42,12 +41,9 @@ def _in_session_catalog(spark, name):
 
 def _location(spark, name):
     """Current folder of a table, or None if there is no such table."""
-    try:
-        detail = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}")
-    except AnalysisException as error:
-        if "TABLE_OR_VIEW_NOT_FOUND" in str(error):
-            return None
-        raise
+    if not spark.catalog.tableExists(name):
+        return None
+    detail = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}")
     return detail.where(F.col("col_name") == "Location").head()["data_type"].rstrip("/")
 
 
@@ -80,6 +76,13 @@ def replace_table(df, name, fmt="parquet"):
     ensure_table(spark, name, ddl, fmt, location=target)
 
 
+def sized_table(spark, name):
+    """A catalog table with its size known to the planner, which needs only a file listing."""
+    if _in_session_catalog(spark, name):
+        spark.sql(f"ANALYZE TABLE {quoted(name)} COMPUTE STATISTICS NOSCAN")
+    return spark.table(name)
+
+
 def append(df, name):
     """Add rows to a table, matching columns by name."""
     spark = df.sparkSession
