@@ -53,8 +53,10 @@ def replace_table(df, name, fmt="parquet"):
     Catalogs with atomic replacement do it themselves. In the session catalog the table
     has two folders, `a` and `b`: the rows go into the one not in use and one catalog
     update then points the table at it. So a query may read the table it replaces, a
-    failed write leaves the table as it was, and at most two copies are kept. Only a
-    changed set of columns needs a drop and create, with a moment between them.
+    failed write leaves the table as it was, and at most two copies are kept. A query
+    that started before has until the next replacement to finish, and another session that
+    knows the table already needs a REFRESH TABLE. Only a changed set of columns needs a
+    drop and create, with a moment between them.
     """
     spark = df.sparkSession
     if not _in_session_catalog(spark, name):

@@ -51,10 +51,14 @@ def maintain_state(rows, table, merge, checkpoint, trigger=TRIGGER, once=False):
 
     `merge(current, changes)` gives the new state for each micro-batch, for instance by
     `upsert`. Each batch replaces the table in one step, and running a batch twice gives
-    the same state, so a restart in the middle of one does no harm.
+    the same state, so a restart in the middle of one does no harm. A batch rewrites the
+    whole state: give large tables a long trigger.
     """
+    owner = rows.sparkSession
+
     def apply(changes, batch_id):
         replace_table(merge(changes.sparkSession.table(table), changes), table)
+        owner.catalog.refreshTable(table)  # batches run in a session of their own
 
     writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = (writer.trigger(availableNow=True) if once

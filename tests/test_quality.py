@@ -91,6 +91,7 @@ def test_hot_key_is_split(spark):
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():

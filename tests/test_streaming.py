@@ -1,0 +1,121 @@
+import json
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from cdclake.operators.changes import decode_envelope
+from cdclake.operators.state import upsert
+from cdclake.plans import gold
+from cdclake.plans.jobs import build_gold_layer, build_silver_layer, run_ingest
+from cdclake.sinks.tables import ensure_namespace, replace_table
+from cdclake.sources.generator import generate_ecommerce, generate_orders_delta
+from cdclake.streaming.ingest import maintain_state, read_change_stream
+from test_changes import RECORDS
+
+
+def publish(spark, lake, records):
+    spark.createDataFrame(records, "topic STRING, value STRING").write.mode("append").json(
+        lake.brokers)
+
+
+def publish_rows(lake, df, table):
+    """Rows as change events of a topic."""
+    image = F.struct(*[(F.col(c).cast("string") if t == "timestamp_ntz" else F.col(c)).alias(c)
+                       for c, t in df.dtypes])
+    change = F.struct(F.lit("c").alias("op"), F.lit(1).alias("ts_ms"), image.alias("after"))
+    df.select(F.lit(f"ecom.public.{table}").alias("topic"),
+              F.to_json(change).alias("value")).write.mode("append").json(lake.brokers)
+
+
+def bronze(spark, lake):
+    return spark.table(lake.bronze).select("table_name", "op", "ts_ms", "after")
+
+
+def test_stream_gives_what_batch_gives_and_a_restart_adds_nothing(spark, lake):
+    publish(spark, lake, RECORDS)
+    run_ingest(spark, lake, once=True)
+    raw = spark.createDataFrame(RECORDS, "topic STRING, value STRING")
+    wanted = rows(decode_envelope(raw).drop("ingest_ts"))
+    assert rows(bronze(spark, lake)) == wanted
+    run_ingest(spark, lake, once=True)
+    assert rows(bronze(spark, lake)) == wanted
+    publish(spark, lake, [("ecom.public.customers", json.dumps({"op": "c", "after": {"a": 1}}))])
+    run_ingest(spark, lake, once=True)
+    assert rows(bronze(spark, lake)) == sorted(
+        wanted + [("customers", "c", None, '{"a":1}')], key=repr)
+
+
+def test_broker_options(spark, monkeypatch):
+    """The connector's jar is not here, so only the options are looked at."""
+    seen = {}
+
+    class Reader:
+        def format(self, name):
+            seen["format"] = name
+            return self
+
+        def options(self, **options):
+            seen.update(options)
+            return self
+
+        def load(self):
+            return "stream"
+
+    class Session:
+        readStream = Reader()
+
+    assert read_change_stream(Session(), "broker:9092") == "stream"
+    assert seen == {"format": "kafka", "kafka.bootstrap.servers": "broker:9092",
+                    "subscribePattern": r"ecom\.public\..*", "startingOffsets": "earliest"}
+
+
+def test_new_orders_travel_from_source_to_gold(spark, lake):
+    shop = generate_ecommerce(spark, 0.02)
+    for table, df in shop.items():
+        publish_rows(lake, df, table)
+    run_ingest(spark, lake, once=True)
+    build_silver_layer(spark, lake)
+    build_gold_layer(spark, lake)
+    before = spark.table(f"{lake.gold}.customer_ltv").agg(F.sum("orders")).head()[0]
+    daily = rows(spark.table(f"{lake.gold}.daily_revenue"))
+
+    publish_rows(lake, generate_orders_delta(spark, shop["orders"], 30, customers=40), "orders")
+    run_ingest(spark, lake, once=True)
+    build_silver_layer(spark, lake)
+    build_gold_layer(spark, lake)
+    assert spark.table(f"{lake.silver}.orders").count() == shop["orders"].count() + 30
+    after = spark.table(f"{lake.gold}.customer_ltv").agg(F.sum("orders")).head()[0]
+    assert after == before + 30                      # orders without items count here ...
+    assert rows(spark.table(f"{lake.gold}.daily_revenue")) == daily   # ... and not there
+    assert rows(spark.table(f"{lake.gold}.daily_revenue")) == rows(gold.gold_daily_revenue(
+        shop["orders"], shop["order_items"]))
+
+
+def test_state_kept_by_a_stream(spark, lake, tmp_path):
+    def change(op, ts, key, status):
+        image = {"order_id": key, "status": status}
+        return ("ecom.public.orders", json.dumps({
+            "op": op, "ts_ms": ts, "before": image if op == "d" else None,
+            "after": None if op == "d" else image}))
+
+    ensure_namespace(spark, lake.silver, f"{tmp_path}/s")
+    state = f"{lake.silver}.order_status"
+    replace_table(spark.createDataFrame([], "order_id BIGINT, ts_ms BIGINT, status STRING"), state)
+
+    def merge(current, changes):
+        image = F.from_json("after", "order_id BIGINT, status STRING")
+        flat = changes.select("op", "ts_ms", image.alias("i")).select("op", "ts_ms", "i.*")
+        return upsert(current, flat, "order_id", "ts_ms")
+
+    def run():
+        raw = read_change_stream(spark, lake.brokers, "json")
+        maintain_state(decode_envelope(raw, keep_delete_image=True), state, merge,
+                       lake.checkpoint, once=True).awaitTermination()
+        return rows(spark.table(state))
+
+    publish(spark, lake, [change("c", 1, 1, "placed"), change("c", 1, 2, "placed"),
+                          change("u", 3, 1, "shipped")])
+    assert run() == [(1, 3, "shipped"), (2, 1, "placed")]
+    publish(spark, lake, [change("u", 2, 1, "late"), change("d", 4, 2, "placed")])
+    assert run() == [(1, 3, "shipped")]
+    assert run() == [(1, 3, "shipped")]
