@@ -3,7 +3,7 @@
 from cdclake.checks.registry import query
 from cdclake.plans import dashboards as D
 from cdclake.plans import gold, silver
-from cdclake.session import checkpointed
+from cdclake.session import materialised
 
 
 def daily(t):
@@ -91,7 +91,7 @@ REPORT = """
 
 @query("d9_mart_report", REPORT)
 def report(t):
-    items, orders = checkpointed(t.items()), t.orders()
+    items, orders = materialised(t.items()), t.orders()
     totals = gold.order_totals(items)
     marts = {"daily_revenue": gold.daily_revenue(orders, totals),
              "top_products": gold.gold_top_products(items, t.products()),

@@ -15,7 +15,7 @@ from cdclake.operators.state import (
     APPLY, align, as_of, latest_by_key, rank_changes, state_as_of, upsert)
 from cdclake.plans import gold
 from cdclake.plans.jobs import gold_checks, top_customer_checks
-from cdclake.session import checkpointed
+from cdclake.session import materialised
 
 CUT = "1998-07-01"
 CUT_TS = F.lit(CUT).cast("timestamp_ntz")
@@ -223,11 +223,20 @@ def mart_rollup(t):
 
 # --- ranks and state
 
-@query("w1_rank_changes", """
+RANKS = """
     SELECT user_id, event_id, ts_ms,
            row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, event_id DESC) AS rn
-    FROM s_event_log""")
+    FROM s_event_log"""
+
+
+@query("w1_rank_changes", RANKS)
 def ranked(t):
+    log = t.event_log().select("user_id", "event_id", "ts_ms")
+    return rank_changes(log, "user_id", ["ts_ms", "event_id"])
+
+
+@query("w1_rank_changes_by_day", RANKS)
+def ranked_by_day(t):
     log = t.event_log().select("user_id", "event_id", "ts_ms")
     day = F.floor(F.col("ts_ms") / F.lit(86_400_000))
     return rank_changes(log, "user_id", ["ts_ms", "event_id"], day)
@@ -450,7 +459,7 @@ def suite(t):
               FROM (SELECT (SELECT count(*) FROM g_customer_ltv)
                            - (SELECT count(*) FROM s_customers) AS d)""")
 def gold_suite(t):
-    orders, items, customers = t.orders(), checkpointed(t.items()), t.customers()
+    orders, items, customers = t.orders(), materialised(t.items()), t.customers()
     return gold_checks(gold.gold_daily_revenue(orders, items),
                        gold.gold_top_products(items, t.products()),
                        gold.gold_customer_ltv(customers, orders, items), customers)

@@ -9,20 +9,41 @@ from cdclake import contracts as C
 from cdclake.functions.images import epoch_millis
 from cdclake.operators.changes import snapshot_to_changes
 from cdclake.operators.state import latest_by_key
-from cdclake.session import fit_shuffle, prepare
+from cdclake.session import fit_shuffle, prepare, spread
 
 ITEM_VERSION = ["l_shipdate", "l_partkey", "l_suppkey"]
 START = "1970-01-01 00:00:00"
 
 
+# Declared, so that opening a table needs no job that looks at its files.
+SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+}
+
+
 class Tables:
     """Lazy shop tables over one folder of test tables."""
 
     def __init__(self, spark, folder):
-        self.spark, self.folder = prepare(spark), folder
+        self.spark, self.folder, self.opened = prepare(spark), folder, {}
 
     def read(self, name):
-        return fit_shuffle(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+        if name not in self.opened:
+            reader = self.spark.read.schema(SCHEMAS[name])
+            self.opened[name] = fit_shuffle(reader.parquet(f"{self.folder}/{name}.parquet"))
+        return self.opened[name]
 
     def customers(self):
         nation = self.read("nation").select("n_nationkey", F.col("n_name").alias("country"))
@@ -60,7 +81,7 @@ class Tables:
 
     def item_log(self):
         """Every version of every line item."""
-        return self._as_items(self.read("lineitem"), "l_shipdate")
+        return self._as_items(spread(self.read("lineitem")), "l_shipdate")
 
     def lines(self):
         """Newest version of every line item, as the source has it."""
@@ -122,7 +143,7 @@ class Tables:
                             F.col(key).cast("string").alias("name"))
 
         def runs(table, job, inputs, output):
-            return self.read(table).select(
+            return spread(self.read(table)).select(
                 F.lit("COMPLETE").alias("eventType"),
                 F.struct(F.lit("shop").alias("namespace"), F.lit(job).alias("name")).alias("job"),
                 F.array(*[dataset(*i) for i in inputs]).alias("inputs"),

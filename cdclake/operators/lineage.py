@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cdclake.session import checkpointed
+from cdclake.session import materialised
 from cdclake.sinks.tables import append, ensure_table
 
+# Size up to which the datasets of a level are sent to all executors.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 _DATASET = "STRUCT<namespace: STRING, name: STRING>"
 EVENT_DDL = (f"eventType STRING, eventTime TIMESTAMP, run STRUCT<runId: STRING>, "
              f"job {_DATASET}, inputs ARRAY<{_DATASET}>, outputs ARRAY<{_DATASET}>")
@@ -58,34 +61,45 @@ def lineage_edges(events):
     A role of `input` leads from the dataset into the job, `output` from the job to the
     dataset: an (input, job, output) path is a pair of edges with one version. That is
     one row per name listed, where pairing inputs with outputs would multiply them.
-    A version is a job with one set of inputs and outputs, so repeated runs are one.
+    A version is a job with one set of inputs and outputs; repeated runs are reduced to
+    it before anything else, within each task first.
     """
-    named = events.where(F.col("eventType") == "COMPLETE").select(
+    versions = events.where(F.col("eventType") == "COMPLETE").select(
         F.concat_ws(".", "job.namespace", "job.name").alias("job"),
-        _names("inputs").alias("ins"), _names("outputs").alias("outs"))
-    version = F.sha2(F.to_json(F.struct("job", "ins", "outs")), 256)
+        _names("inputs").alias("ins"), _names("outputs").alias("outs")).distinct()
 
     def ends(side, role):
         return F.transform(side, lambda d: F.struct(F.lit(role).alias("role"),
                                                     d.alias("dataset")))
     both = F.concat(ends("ins", "input"), ends("outs", "output"))
-    return (named.select("job", version.alias("version"), F.inline(both))
-            .distinct())
+    return versions.select("job", F.md5(F.to_json(F.struct("job", "ins", "outs")))
+                           .alias("version"), F.inline(both))
+
+
+def _hop(level, edges, at, to):
+    """Ends `to` of the edges whose end `at` is in the level. A level whose measured size
+    is small goes to the edges, which then stay where they are; a larger one meets them
+    by key."""
+    size = level.agg(F.sum(F.octet_length(at) + 32)).head()[0]
+    if size <= BROADCAST_BYTES:
+        level = F.broadcast(level)
+    return edges.join(level.select(at), at, "left_semi").select(to).distinct()
 
 
 def _reach(edges, start, enter, leave):
-    edges = checkpointed(edges.select("version", "role", "dataset"))
-    into = edges.where(F.col("role") == enter).select("dataset", "version")
-    out = edges.where(F.col("role") == leave).select("version", "dataset")
-    spark = edges.sparkSession
-    level = spark.createDataFrame([(start, 0)], "dataset STRING, depth INT")
+    edges = materialised(edges.select("version", "dataset", "role"))
+    into, out = (edges.where(F.col("role") == role) for role in (enter, leave))
+    level = edges.sparkSession.range(1).select(F.lit(start).alias("dataset"),
+                                               F.lit(0).alias("depth"))
     seen, depth = level, 0
     while True:
         depth += 1
-        versions = level.join(into, "dataset").select("version").distinct()
-        level = checkpointed(
-            versions.join(out, "version").select("dataset").distinct()
-            .join(seen, "dataset", "left_anti").withColumn("depth", F.lit(depth)))
+        versions = materialised(_hop(level, into, "dataset", "version"))
+        if versions.isEmpty():
+            return seen.where(F.col("depth") > 0)
+        level = materialised(
+            _hop(versions, out, "version", "dataset").join(seen, "dataset", "left_anti")
+            .withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             return seen.where(F.col("depth") > 0)
         seen = seen.unionByName(level)

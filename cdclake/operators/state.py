@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cdclake.session import materialised
+
 IGNORE, APPLY, NONE = "ignore", "apply", None
 
 
@@ -34,17 +36,29 @@ def latest_by_key(log, key, order, deletes=IGNORE):
     return newest.where(F.col("op") != "d") if deletes == APPLY else newest
 
 
-def rank_changes(log, key, order, bucket, name="rn"):
+def rank_changes(log, key, order, bucket=None, name="rn"):
     """row_number() per key, newest first, for histories of any length.
 
-    `bucket` is a column that grows with the leading `order` column, such as its day.
-    Rows are ranked within (key, bucket), so that the history of one hot key spreads over
-    many tasks; the number of newer rows in later buckets, known from a small count per
-    bucket, travels with each bucket as one extra row and is added on.
+    The rows are cut into buckets along (key, newest first) and ranked within (key, bucket),
+    so that the history of one hot key spreads over many tasks. The number of newer rows in
+    other buckets, known from a small count per bucket, travels with each bucket as one
+    extra row and is added on.
+
+    By default the cuts are those of a range partitioning over all columns, which gives
+    buckets of even size for any distribution, for one more pass over the rows. A `bucket`
+    column that grows with the leading `order` column, such as its day, saves that pass
+    where one key has few rows in one bucket.
     """
     keys, order = _names(key), _names(order)
     rest = [c for c in log.columns if c not in keys and c not in order]
-    rows = log.withColumn("_bucket", bucket)
+    newest_first = [F.col(c).desc_nulls_last() for c in order + rest]
+    if bucket is None:
+        width = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cut = log.repartitionByRange(width, *keys, *newest_first)
+        # Written, since the cuts must not change between the counts and the ranks.
+        rows = materialised(cut.withColumn("_bucket", -F.spark_partition_id()))
+    else:
+        rows = log.withColumn("_bucket", bucket)
     later = (Window.partitionBy(*keys).orderBy(F.col("_bucket").desc_nulls_last())
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = (rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -53,8 +67,7 @@ def rank_changes(log, key, order, bucket, name="rn"):
     marked = (rows.withColumn("_offset", F.lit(None).cast("bigint"))
               .unionByName(offsets, allowMissingColumns=True))
     within = Window.partitionBy(*keys, "_bucket").orderBy(
-        F.col("_offset").desc_nulls_last(),
-        *[F.col(c).desc_nulls_last() for c in order + rest])
+        F.col("_offset").desc_nulls_last(), *newest_first)
     rank = F.row_number().over(within) - 1 + F.max("_offset").over(within)
     return (marked.withColumn(name, rank).where(F.col("_offset").isNull())
             .select(*log.columns, name))

@@ -13,7 +13,7 @@ from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import IGNORE
 from cdclake.plans import dashboards, gold
 from cdclake.plans.silver import build_silver
-from cdclake.session import checkpointed, fit_shuffle, prepare
+from cdclake.session import fit_shuffle, materialised, prepare
 from cdclake.sinks.tables import (
     append, ensure_namespace, recreate_table, replace_table, sized_table)
 from cdclake.sources.files import inline_rows
@@ -68,7 +68,7 @@ def build_gold_layer(spark, cfg):
     cfg.namespace(spark, cfg.gold)
     silver = {c.table: spark.table(f"{cfg.silver}.{c.table}") for c in SILVER}
     orders, items = silver["orders"], silver["order_items"]
-    totals = checkpointed(gold.order_totals(items))
+    totals = materialised(gold.order_totals(items))
     marts = {
         "daily_revenue": gold.daily_revenue(orders, totals),
         "top_products": gold.gold_top_products(items, silver["products"]),

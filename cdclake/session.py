@@ -1,6 +1,7 @@
 """Session settings, and the one shared folder that jobs may write interim data to."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,7 +31,8 @@ def get_session(app="cdclake", master=None, conf=None):
 def prepare(spark):
     """Apply the settings the operators rely on to a session somebody else made."""
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -61,21 +63,28 @@ def shared_dir(spark):
     Only a local session without that setting gets a folder of its own.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if named:
-        if current is None:
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cdclake-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df):
-    """Materialise `df` in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cdclake-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def materialised(df):
+    """`df` written to the shared folder and read back.
+
+    Cuts the plan, survives the loss of executors, and later reads take only the columns
+    they need. The files stay until the folder is cleared.
+    """
+    path = f"{shared_dir(df.sparkSession)}/interim-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Hand rows to all cores before work that is heavy per row, if `df` has fewer
+    partitions than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -107,11 +108,14 @@ def test_as_of_the_end_is_the_state(spark):
     assert rows(latest_by_key(as_of(df, 1), "k", "ts_ms")) == [("1", "r", 1, "a")]
 
 
-def test_rank_changes_counts_across_buckets(spark):
+@pytest.mark.parametrize("bucket", [False, True])
+def test_rank_changes_counts_across_buckets(spark, bucket):
     """One key holds most rows and spans all buckets; compared with counting in Python."""
     events = [("hot" if i % 3 else f"k{i % 5}", "u", (i * 7919) % 400, str(i)) for i in range(600)]
+    events += [("hot", "u", 77, f"burst {i:03}") for i in range(300)]
     events += [(None, "u", 3, "x"), (None, "u", None, "y"), ("hot", "u", None, "z")]
-    got = rank_changes(log(spark, *events), "k", "ts_ms", F.floor(F.col("ts_ms") / 50))
+    cut = F.floor(F.col("ts_ms") / 50) if bucket else None
+    got = rank_changes(log(spark, *events), "k", "ts_ms", cut)
     order = lambda e: (e[2] is not None, e[2] or 0, e[1], e[3])
     wanted = []
     for _, group in itertools.groupby(sorted(events, key=lambda e: str(e[0])), lambda e: e[0]):
