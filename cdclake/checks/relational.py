@@ -18,7 +18,10 @@ from cdclake.plans.jobs import gold_checks, top_customer_checks
 from cdclake.session import materialised
 
 CUT = "1998-07-01"
-CUT_TS = F.lit(CUT).cast("timestamp_ntz")
+
+
+def cut_ms():
+    return epoch_millis(F.lit(CUT).cast("timestamp_ntz"))
 
 
 # --- projections and filters
@@ -274,7 +277,7 @@ def applying_deletes(t):
       FROM s_item_log WHERE l_shipdate <= TIMESTAMP '{CUT}') WHERE rn = 1""")
 def as_of_cut(t):
     log = t.read("lineitem").withColumn("ts_ms", epoch_millis(F.col("l_shipdate")))
-    log = as_of(log, epoch_millis(CUT_TS)).select(
+    log = as_of(log, cut_ms()).select(
         "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
     newest = latest_by_key(log, ["l_orderkey", "l_linenumber"],
                            ["l_shipdate", "l_partkey", "l_suppkey"], None)
@@ -287,7 +290,7 @@ def as_of_cut(t):
 @query("v1_silver_as_of", f"""
     SELECT * FROM s_orders WHERE order_ts <= TIMESTAMP '{CUT}'""")
 def silver_as_of(t):
-    return state_as_of(t.bronze(), ORDERS, epoch_millis(CUT_TS))
+    return state_as_of(t.bronze(), ORDERS, cut_ms())
 
 
 @query("v2_upsert", _LAST_EVENT.format(where="", having="AND op <> 'd'"))

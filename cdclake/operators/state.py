@@ -1,5 +1,8 @@
 """From change logs to current state."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,20 +88,31 @@ def state_as_of(bronze, contract, ts_ms, deletes=IGNORE):
 
 
 def upsert(current, changes, key, order, deletes=APPLY):
-    """Current state after a batch of changes; columns as in `current`.
+    """Current state after a batch of changes; columns as in `current`, one row per key.
 
     `changes` has `op` and the `order` columns. Where `current` carries the order columns
-    too, late changes lose against newer rows; otherwise every change is newer.
+    too, late changes lose against newer rows; otherwise every change is newer. A change
+    older than the delete of its key brings the key back, as the state has no row for it.
+
+    The changes are reduced to one per key first. The state then only meets them in semi
+    and anti joins: a batch small enough to be broadcast leaves the state unshuffled.
     """
-    order = _names(order)
-    base = current.select("*", F.lit("r").alias("op"), F.lit(0).alias("_batch"))
-    for name in order:
-        if name not in current.columns:
-            base = base.withColumn(name, F.lit(None).cast(changes.schema[name].dataType))
-    both = base.unionByName(
-        changes.select(*[c for c in base.columns if c != "_batch"], F.lit(1).alias("_batch")))
-    rank = order + ["_batch"] if set(order) <= set(current.columns) else ["_batch"] + order
-    return latest_by_key(both, key, rank, deletes).select(*current.columns)
+    keys, order = _names(key), _names(order)
+    dated = set(order) <= set(current.columns)
+    live = F.col("op") != "d" if deletes == IGNORE else F.col("op").isNotNull()
+    columns = dict.fromkeys([*current.columns, *order, "op"])
+    newest = latest_by_key(changes.where(live).select(*columns), keys, order, NONE).alias("n")
+
+    def same(left, right):
+        return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+    if dated:
+        newer = (F.struct(*[F.col(f"s.{c}") for c in order])
+                 > F.struct(*[F.col(f"n.{c}") for c in order]))
+        late = current.alias("s").join(newest, same("s", "n") & newer, "left_semi")
+        newest = newest.join(late.select(*keys).alias("l"), same("n", "l"), "left_anti").alias("n")
+    kept = current.alias("s").join(newest, same("s", "n"), "left_anti")
+    return kept.unionByName(newest.where(F.col("op") != "d").select(*current.columns))
 
 
 def align(df, contract):

@@ -4,11 +4,14 @@ import pytest
 from conftest import FOLDER, rows
 from pyspark.sql import functions as F
 
+from cdclake.__main__ import main
 from cdclake.checks.tables import Tables
+from cdclake.contracts import CONTRACTS
 from cdclake.operators import lineage as G
 from cdclake.operators.quality import QualityError
 from cdclake.plans import jobs
-from cdclake.sources.files import tpch_customer
+from cdclake.sources.files import read_csv_table, tpch_customer
+from cdclake.sources.generator import generate_ecommerce
 
 
 def bronze(spark, lake, log):
@@ -61,3 +64,14 @@ def test_demo(spark, lake):
         count, amount, content = jobs.demo_events(spark, lake)
         assert (count, amount) == (4, 925.75)
         assert [r["name"] for r in content.collect()] == ["alpha", "bravo", "charlie", "delta"]
+
+
+def test_command_line(spark, lake, tmp_path, capsys):
+    """Generated files, read back by contract."""
+    main(["generate", "--path", f"{tmp_path}/csv", "--scale", "0.01"], spark)
+    made = generate_ecommerce(spark, 0.01)
+    for name, contract in CONTRACTS.items():
+        assert rows(read_csv_table(spark, f"{tmp_path}/csv/{name}", contract)) == rows(made[name])
+    main(["etl", "--path", FOLDER, "--etl", lake.etl, "--warehouse", lake.warehouse], spark)
+    main(["demo", "--demo", lake.demo, "--warehouse", lake.warehouse], spark)
+    assert "4 rows, amount 925.75" in capsys.readouterr().out

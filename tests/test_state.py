@@ -102,6 +102,29 @@ def test_upsert_into_a_state_without_times(spark):
     assert rows(upsert(state, changes, "k", "ts_ms")) == [("1", "a")]
 
 
+def test_upsert_with_null_and_compound_keys(spark):
+    ddl = "a STRING, b INT, ts_ms BIGINT, v STRING"
+    state = spark.createDataFrame([(None, 1, 5, "x"), ("k", None, None, "y"), ("k", 2, 5, "z")], ddl)
+    changes = spark.createDataFrame(
+        [("u", None, 1, 6, "new"), ("u", "k", None, 1, "dated"), ("d", "k", 2, 5, None),
+         ("u", None, None, 1, "first")], "op STRING, " + ddl)
+    assert rows(upsert(state, changes, ["a", "b"], "ts_ms")) == sorted(
+        [(None, 1, 6, "new"), ("k", None, 1, "dated"), (None, None, 1, "first")], key=repr)
+
+
+def test_a_small_batch_leaves_the_state_where_it_is(spark, tmp_path):
+    spark.range(1000).selectExpr("string(id) k", "id ts_ms", "string(id) v").write.parquet(
+        f"{tmp_path}/state")
+    state = spark.read.parquet(f"{tmp_path}/state")
+    changes = log(spark, ("7", "u", 5000, "new"), ("8", "d", 5000, None), ("9", "u", 1, "late"))
+    changes.write.parquet(f"{tmp_path}/changes")
+    out = upsert(state, spark.read.parquet(f"{tmp_path}/changes"), "k", "ts_ms")
+    assert out.count() == 999 and out.where("v = 'new'").count() == 1
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[0]
+
+
 def test_as_of_the_end_is_the_state(spark):
     df = log(spark, ("1", "r", 1, "a"), ("1", "u", 2, "b"), ("2", "c", 3, "c"))
     assert rows(as_of(df, 3)) == rows(df)
