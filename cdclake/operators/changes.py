@@ -11,18 +11,21 @@ _IMAGE = "op STRING, ts_ms STRING, before STRING, after STRING"
 ENVELOPE = f"{_IMAGE}, payload STRUCT<{_IMAGE.replace(' STRING', ': STRING')}>"
 
 
-def decode_envelope(raw, prefix=TOPIC_PREFIX, keep_delete_image=False):
+def decode_envelope(raw, prefix=TOPIC_PREFIX, keep_delete_image=False, sequence=None):
     """Broker records (topic, value) -> bronze rows.
 
     The change fields sit at the top level or under `payload`, by the sender's
     converter; each record is parsed once for both. Records without a value keep their
     row with NULL fields; records of other topics go. A delete carries no `after`; with
     `keep_delete_image` its `before` takes that place, so that deletes can be applied.
+    `sequence` names a column of the records that grows within a key, such as the broker's
+    offset; it becomes `seq` and settles equal times.
     """
     pattern = "^.*?" + prefix.replace(".", r"\.") + "(.*)"
     change = F.from_json(F.col("value").cast("string"), ENVELOPE)
+    seq = [F.col(sequence).cast("bigint").alias("seq")] if sequence else []
     rows = raw.select(F.regexp_extract("topic", pattern, 1).alias("table_name"),
-                      change.alias("e"))
+                      change.alias("e"), *seq)
 
     def either(name):
         return F.coalesce(f"e.{name}", f"e.payload.{name}")
@@ -36,6 +39,7 @@ def decode_envelope(raw, prefix=TOPIC_PREFIX, keep_delete_image=False):
         either("ts_ms").try_cast("bigint").alias("ts_ms"),
         after.alias("after"),
         F.current_timestamp().alias("ingest_ts"),
+        *(["seq"] if sequence else []),
     )
 
 

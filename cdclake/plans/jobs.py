@@ -13,11 +13,11 @@ from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import IGNORE
 from cdclake.plans import dashboards, gold
 from cdclake.plans.silver import build_silver
-from cdclake.session import fit_shuffle, materialised, prepare
+from cdclake.session import fit_shuffle, materialised, prepare, shared_dir
 from cdclake.sinks.tables import (
     append, ensure_namespace, recreate_table, replace_table, sized_table)
 from cdclake.sources.files import inline_rows
-from cdclake.streaming.ingest import ensure_bronze, ingest, read_change_stream
+from cdclake.streaming.ingest import TRIGGER, ensure_bronze, ingest, read_change_stream
 
 GOLD_INPUTS = {
     "daily_revenue": ["orders", "order_items"],
@@ -41,7 +41,10 @@ class LakeConfig:
     brokers: str = ""
     source_format: str = "kafka"
     topic_prefix: str = TOPIC_PREFIX
-    checkpoint: str = ""
+    sequence: str = ""          # column of the records that settles equal times
+    max_per_trigger: str = ""   # records or files per batch
+    trigger: str = TRIGGER      # longer ones give bronze fewer and larger files
+    checkpoint: str = ""        # by default in the shared folder
 
     def namespace(self, spark, name):
         ensure_namespace(spark, name, f"{self.warehouse}/{name}" if self.warehouse else None)
@@ -137,9 +140,12 @@ def run_ingest(spark, cfg, once=False):
     prepare(spark)
     location = f"{cfg.warehouse}/{cfg.bronze.replace('.', '/')}" if cfg.warehouse else None
     cfg.namespace(spark, cfg.bronze.rsplit(".", 1)[0])
-    ensure_bronze(spark, cfg.bronze, cfg.fmt, location)
-    raw = read_change_stream(spark, cfg.brokers, cfg.source_format, cfg.topic_prefix)
-    query = ingest(raw, cfg.bronze, cfg.checkpoint, cfg.topic_prefix, once=once, fmt=cfg.fmt)
+    ensure_bronze(spark, cfg.bronze, cfg.fmt, location, cfg.sequence)
+    raw = read_change_stream(spark, cfg.brokers, cfg.source_format, cfg.topic_prefix,
+                             cfg.max_per_trigger)
+    checkpoint = cfg.checkpoint or f"{shared_dir(spark)}/streams/{cfg.bronze}"
+    query = ingest(raw, cfg.bronze, checkpoint, cfg.topic_prefix, cfg.sequence,
+                   trigger=cfg.trigger, once=once, fmt=cfg.fmt)
     query.awaitTermination()
     return query
 

@@ -6,14 +6,20 @@ from cdclake.sinks.tables import ensure_namespace, ensure_table, replace_table
 
 RAW_DDL = "topic STRING, value STRING"
 TRIGGER = "10 seconds"
+BATCH_LIMITS = {"kafka": "maxOffsetsPerTrigger"}  # files are limited by their number
 
 
-def read_change_stream(spark, source, fmt="kafka", prefix=TOPIC_PREFIX, **options):
+def read_change_stream(spark, source, fmt="kafka", prefix=TOPIC_PREFIX, max_per_trigger=None,
+                       **options):
     """Stream of (topic, value) from every topic with the prefix, from its start.
 
     With `kafka`, `source` is the list of brokers and the connector's jar must be there;
     any other format reads files with these two columns, `source` being their folder.
+    `max_per_trigger` bounds a batch, in records or files, so that a long history is taken
+    in steps.
     """
+    if max_per_trigger:
+        options[BATCH_LIMITS.get(fmt, "maxFilesPerTrigger")] = max_per_trigger
     if fmt == "kafka":
         pattern = prefix.replace(".", r"\.") + ".*"
         options = {"kafka.bootstrap.servers": source, "subscribePattern": pattern,
@@ -22,10 +28,11 @@ def read_change_stream(spark, source, fmt="kafka", prefix=TOPIC_PREFIX, **option
     return spark.readStream.format(fmt).schema(RAW_DDL).options(**options).load(source)
 
 
-def ensure_bronze(spark, table, fmt="parquet", location=None):
+def ensure_bronze(spark, table, fmt="parquet", location=None, sequence=None):
     """The bronze table, split by source table so that silver reads only its own part."""
     ensure_namespace(spark, table.rsplit(".", 1)[0])
-    ensure_table(spark, table, BRONZE_DDL, fmt, ["table_name"], location)
+    ddl = BRONZE_DDL + ", seq BIGINT" if sequence else BRONZE_DDL
+    ensure_table(spark, table, ddl, fmt, ["table_name"], location)
 
 
 def start_bronze(rows, table, checkpoint, trigger=TRIGGER, once=False, fmt="parquet", **options):
@@ -42,8 +49,9 @@ def start_bronze(rows, table, checkpoint, trigger=TRIGGER, once=False, fmt="parq
     return writer.toTable(table)
 
 
-def ingest(raw, table, checkpoint, prefix=TOPIC_PREFIX, **options):
-    return start_bronze(decode_envelope(raw, prefix), table, checkpoint, **options)
+def ingest(raw, table, checkpoint, prefix=TOPIC_PREFIX, sequence=None, **options):
+    rows = decode_envelope(raw, prefix, sequence=sequence)
+    return start_bronze(rows, table, checkpoint, **options)
 
 
 def maintain_state(rows, table, merge, checkpoint, trigger=TRIGGER, once=False):

@@ -92,3 +92,9 @@ def test_diff(spark):
 def test_diff_of_a_snapshot_with_itself_is_empty(spark):
     df = spark.createDataFrame([(None, "a"), (1, None)], "id BIGINT, v STRING")
     assert diff_to_changes(df, df, "id").isEmpty()
+
+
+def test_sequence_of_the_records(spark):
+    df = raw(spark).withColumn("offset", F.monotonically_increasing_id())
+    out = decode_envelope(df, sequence="offset")
+    assert out.columns[-1] == "seq" and out.where("seq IS NULL").isEmpty()

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -64,9 +65,18 @@ def test_broker_options(spark, monkeypatch):
     class Session:
         readStream = Reader()
 
-    assert read_change_stream(Session(), "broker:9092") == "stream"
+    assert read_change_stream(Session(), "broker:9092", max_per_trigger=500) == "stream"
     assert seen == {"format": "kafka", "kafka.bootstrap.servers": "broker:9092",
-                    "subscribePattern": r"ecom\.public\..*", "startingOffsets": "earliest"}
+                    "subscribePattern": r"ecom\.public\..*", "startingOffsets": "earliest",
+                    "maxOffsetsPerTrigger": 500}
+
+
+def test_batches_of_one_file_and_the_default_checkpoint(spark, lake):
+    for record in RECORDS:
+        publish(spark, lake, [record])
+    run_ingest(spark, replace(lake, max_per_trigger="1", checkpoint=""), once=True)
+    raw = spark.createDataFrame(RECORDS, "topic STRING, value STRING")
+    assert rows(bronze(spark, lake)) == rows(decode_envelope(raw).drop("ingest_ts"))
 
 
 def test_new_orders_travel_from_source_to_gold(spark, lake):
