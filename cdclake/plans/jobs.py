@@ -13,7 +13,7 @@ from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import IGNORE
 from cdclake.plans import dashboards, gold
 from cdclake.plans.silver import build_silver
-from cdclake.session import fit_shuffle, materialised, prepare, shared_dir
+from cdclake.session import fit_session, materialised, prepare, shared_dir
 from cdclake.sinks.tables import (
     append, ensure_namespace, recreate_table, replace_table, sized_table)
 from cdclake.sources.files import inline_rows
@@ -61,7 +61,7 @@ def replace_all(tables, fmt):
 def build_silver_layer(spark, cfg):
     """Replace every silver table from the bronze log."""
     cfg.namespace(spark, cfg.silver)
-    bronze = fit_shuffle(sized_table(spark, cfg.bronze))
+    bronze = fit_session(sized_table(spark, cfg.bronze))
     replace_all({f"{cfg.silver}.{c.table}": build_silver(bronze, c, cfg.deletes) for c in SILVER},
                 cfg.fmt)
 

@@ -11,6 +11,10 @@ from cdclake.operators.state import IGNORE, latest_by_key
 _KEY = "_key"
 
 
+def _key_text(contract):
+    return F.get_json_object("after", f"$.{contract.key_image}")
+
+
 def newest_images(bronze, contract, deletes=IGNORE):
     """Newest row image per key, its fields as text.
 
@@ -19,8 +23,7 @@ def newest_images(bronze, contract, deletes=IGNORE):
     """
     order = [c for c in ("ts_ms", "seq", "ingest_ts") if c in bronze.columns]
     log = bronze.where(F.col("table_name") == contract.table).select(
-        F.get_json_object("after", f"$.{contract.key_image}").alias(_KEY),
-        "op", *order, "after")
+        _key_text(contract).alias(_KEY), "op", *order, "after")
     newest = latest_by_key(log, _KEY, order + ["after"], deletes)
     return newest.select(F.from_json("after", contract.text_schema).alias("row")).select("row.*")
 
@@ -32,13 +35,21 @@ def build_silver(bronze, contract, deletes=IGNORE):
 
 
 def split_silver(bronze, contract, deletes=IGNORE):
-    """(good, bad): typed rows, and the text of rows with a value that cannot be cast."""
-    text = newest_images(bronze, contract, deletes)
+    """(good, bad): typed rows, and what cannot become one, in text.
+
+    Bad are the current rows with a value that does not fit its type, and every image
+    without a key, such as text that is no JSON; the column `image` has the latter.
+    Each of the two reads the log.
+    """
+    keyless = F.col("after").isNotNull() & _key_text(contract).isNull()
+    text = newest_images(bronze.where(~keyless), contract, deletes)
     typed = {f.name: F.col(f.image).try_cast(f.type) for f in contract.fields}
-    bad = reduce(or_, [F.col(f.image).isNotNull() & typed[f.name].isNull()
-                       for f in contract.fields])
-    return (text.where(~bad).select(*[c.alias(n) for n, c in typed.items()]),
-            text.where(bad))
+    misfit = reduce(or_, [F.col(f.image).isNotNull() & typed[f.name].isNull()
+                          for f in contract.fields])
+    unread = bronze.where((F.col("table_name") == contract.table) & keyless).select(
+        F.col("after").alias("image"))
+    return (text.where(~misfit).select(*[c.alias(n) for n, c in typed.items()]),
+            text.where(misfit).unionByName(unread, allowMissingColumns=True))
 
 
 def silver_customers(bronze, deletes=IGNORE):

@@ -18,6 +18,9 @@ RUNTIME_CONF = {
 # The planner's estimate for an input it knows nothing about is beyond this.
 UNKNOWN_SIZE = 2 ** 60
 
+MIB = 1024 * 1024
+MAX_TASKS = 100_000
+
 
 def get_session(app="cdclake", master=None, conf=None):
     builder = SparkSession.builder.appName(app)
@@ -36,13 +39,21 @@ def prepare(spark):
     return spark
 
 
-def shuffle_partitions(input_bytes, target_bytes=128 * 1024 * 1024, expansion=3):
-    """Shuffle width that keeps partitions near `target_bytes`, for compressed input."""
-    return -(-input_bytes * expansion // target_bytes)
+def shuffle_partitions(input_bytes, target_bytes=128 * MIB, expansion=3):
+    """Shuffle width that keeps partitions near `target_bytes`, for compressed input.
+
+    The driver keeps track of every partition, so beyond MAX_TASKS they grow instead.
+    """
+    return min(MAX_TASKS, -(-input_bytes * expansion // target_bytes))
+
+
+def scan_bytes(input_bytes):
+    """Size of a scan's splits: 128 MiB, and up to 1 GiB where there would be too many."""
+    return min(1024 * MIB, max(128 * MIB, input_bytes // MAX_TASKS))
 
 
-def fit_shuffle(df):
-    """Widen the session's shuffles to the size of an input; never makes them narrower.
+def fit_session(df):
+    """Fit the session's shuffles and scans to the size of an input; only ever upwards.
 
     AQE merges partitions that turn out small, but cannot split what is merely large.
     An input of unknown size changes nothing.
@@ -51,9 +62,11 @@ def fit_shuffle(df):
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= UNKNOWN_SIZE:
         return df
-    wanted = shuffle_partitions(size)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    for key, wanted in (("spark.sql.shuffle.partitions", shuffle_partitions(size)),
+                        ("spark.sql.files.maxPartitionBytes", scan_bytes(size))):
+        known = spark.conf.get(key)
+        if known.rstrip("b").isdigit() and wanted > int(known.rstrip("b")):
+            spark.conf.set(key, str(wanted))
     return df
 
 

@@ -5,8 +5,8 @@ import pytest
 from conftest import FOLDER, rows
 from pyspark.sql import functions as F
 
+from cdclake import session
 from cdclake.contracts import CUSTOMERS, EVENTS
-from cdclake.session import fit_shuffle, shared_dir, shuffle_partitions
 from cdclake.sinks import tables as K
 from cdclake.sources import files, jdbc
 
@@ -148,10 +148,27 @@ def test_jdbc_options():
     assert seen.seen["mode"] == "append" and "truncate" not in seen.seen
 
 
-def test_shuffles_widen_with_the_input_and_never_narrow(spark, tmp_path):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+def test_shuffles_widen_with_the_input_and_never_narrow(spark, tmp_path, monkeypatch):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(k) for k in keys]
     spark.range(10).write.parquet(f"{tmp_path}/r")
-    fit_shuffle(spark.read.parquet(f"{tmp_path}/r"))
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
-    assert shuffle_partitions(100 * 2 ** 40) == 2_457_600
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    df = spark.read.parquet(f"{tmp_path}/r")
+    session.fit_session(df)
+    assert [spark.conf.get(k) for k in keys] == before
+    monkeypatch.setattr(session, "shuffle_partitions", lambda size: 77)
+    session.fit_session(df)
+    assert spark.conf.get(keys[0]) == "77"
+    spark.conf.set(keys[0], before[0])
+
+
+def test_sizes_for_large_inputs():
+    assert session.shuffle_partitions(10 * 2 ** 40) == 100_000
+    assert session.shuffle_partitions(2 ** 40) == 24_576
+    assert session.scan_bytes(2 ** 40) == 128 * 2 ** 20
+    assert session.scan_bytes(50 * 2 ** 40) == 50 * 2 ** 40 // 100_000
+
+
+def test_interim_tables_go_to_the_named_folder(spark):
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    made = session.materialised(spark.range(3))
+    assert made.count() == 3 and session.shared_dir(spark) in made.inputFiles()[0]
