@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def row_image(df, columns=None):
-    """JSON text of a row. NULL fields stay; timestamps go as text, to keep microseconds."""
+def row_image(df, columns=None, within=None):
+    """JSON text of a row. NULL fields stay; timestamps go as text, to keep microseconds.
+
+    `within` names a struct column that holds the columns, with the types they have in `df`.
+    """
     times = (T.TimestampType, T.TimestampNTZType)
     cells = []
     for name in columns or df.columns:
-        cell = F.col(name)
+        cell = F.col(within)[name] if within else F.col(name)
         if isinstance(df.schema[name].dataType, times):
             cell = cell.cast("string")
         cells.append(cell.alias(name))

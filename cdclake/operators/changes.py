@@ -1,5 +1,8 @@
 """Change events: decoding, snapshots and differences."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from cdclake.functions.images import row_image
@@ -63,15 +66,13 @@ def diff_to_changes(old, new, key):
     """
     keys = [key] if isinstance(key, str) else list(key)
     columns = new.columns
-    old, new = (df.select(*columns).select(
-        F.struct(*columns).alias(side), row_image(df, columns).alias(image))
-        for df, side, image in ((old, "o", "before"), (new, "n", "after")))
-    same_key = None
-    for name in keys:
-        test = F.col(f"o.{name}").eqNullSafe(F.col(f"n.{name}"))
-        same_key = test if same_key is None else same_key & test
-    op = (F.when(F.col("o").isNull(), "c").when(F.col("n").isNull(), "d").otherwise("u"))
-    return (old.join(new, same_key, "full_outer")
-            .where(~F.col("o").eqNullSafe(F.col("n")))
-            .select(*[F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys],
-                    op.alias("op"), "before", "after"))
+    before, after = F.col("o"), F.col("n")
+    same_key = reduce(and_, [before[k].eqNullSafe(after[k]) for k in keys])
+    op = F.when(before.isNull(), "c").when(after.isNull(), "d").otherwise("u")
+    # The images are written for rows that differ only, after the join.
+    return (old.select(F.struct(*columns).alias("o"))
+            .join(new.select(F.struct(*columns).alias("n")), same_key, "full_outer")
+            .where(~before.eqNullSafe(after))
+            .select(*[F.coalesce(after[k], before[k]).alias(k) for k in keys], op.alias("op"),
+                    F.when(before.isNotNull(), row_image(old, columns, "o")).alias("before"),
+                    F.when(after.isNotNull(), row_image(new, columns, "n")).alias("after")))

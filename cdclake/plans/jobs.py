@@ -13,7 +13,7 @@ from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import IGNORE
 from cdclake.plans import dashboards, gold
 from cdclake.plans.silver import build_silver
-from cdclake.session import fit_session, materialised, prepare, shared_dir
+from cdclake.session import fit_session, prepare, shared_dir
 from cdclake.sinks.tables import (
     append, ensure_namespace, recreate_table, replace_table, sized_table)
 from cdclake.sources.files import inline_rows
@@ -33,6 +33,7 @@ class LakeConfig:
     bronze: str = "bronze.cdc_events"
     silver: str = "silver"
     gold: str = "gold"
+    staging: str = "staging"
     etl: str = "etl"
     demo: str = "demo"
     lineage: str = "lineage.events"
@@ -67,11 +68,14 @@ def build_silver_layer(spark, cfg):
 
 
 def build_gold_layer(spark, cfg):
-    """Replace every mart from silver. Order totals are computed once for two marts."""
+    """Replace every mart from silver. Order totals, which two marts need, are made once and
+    kept in a staging table until the next refresh replaces them."""
     cfg.namespace(spark, cfg.gold)
+    staged = f"{cfg.namespace(spark, cfg.staging)}.order_totals"
     silver = {c.table: spark.table(f"{cfg.silver}.{c.table}") for c in SILVER}
     orders, items = silver["orders"], silver["order_items"]
-    totals = materialised(gold.order_totals(items))
+    replace_table(gold.order_totals(items), staged, cfg.fmt)
+    totals = spark.table(staged)
     marts = {
         "daily_revenue": gold.daily_revenue(orders, totals),
         "top_products": gold.gold_top_products(items, silver["products"]),
