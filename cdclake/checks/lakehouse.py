@@ -41,7 +41,8 @@ class Lake:
         return LakeConfig(
             warehouse=self.folder, bronze=f"{self.namespace('bronze')}.cdc_events",
             lineage=f"{self.namespace('lineage')}.events",
-            **{layer: self.namespace(layer) for layer in ("silver", "gold", "staging", "etl", "demo")},
+            **{layer: self.namespace(layer)
+               for layer in ("silver", "gold", "staging", "etl", "demo")},
             **more)
 
 

@@ -30,7 +30,8 @@ def lake(tmp_path):
     run = uuid.uuid4().hex[:8]
     return LakeConfig(
         warehouse=str(tmp_path), bronze=f"bronze_{run}.cdc_events",
-        lineage=f"lineage_{run}.events", silver=f"silver_{run}", gold=f"gold_{run}", staging=f"staging_{run}",
+        lineage=f"lineage_{run}.events", silver=f"silver_{run}", gold=f"gold_{run}",
+        staging=f"staging_{run}",
         etl=f"etl_{run}", demo=f"demo_{run}", source_format="json",
         brokers=str(tmp_path / "topics"), checkpoint=str(tmp_path / "checkpoint"))
 
