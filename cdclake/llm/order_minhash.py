@@ -91,8 +91,8 @@ def written(fingerprint):
 
 
 def following(keys, key):
-    """Each row of `keys` (distinct) with the next one as `next_...`, by the columns `key`
-    descending; after the last comes the first.
+    """Each row of `keys`, distinct by the columns `key`, with the key of the next one as
+    `next_...`, by these columns descending; after the last comes the first.
 
     The rows are cut into ranges, and rows at the end of a range look up the first row of
     the next one, so no task sees more than a range.
@@ -113,7 +113,7 @@ def following(keys, key):
     after = firsts.select("_range", F.coalesce(
         F.lead("_first").over(by_range), F.first("_first").over(all_ranges)).alias("_after"))
     joined = marked.join(after, "_range").withColumn("_next", F.coalesce("_next", "_after"))
-    return joined.select(*key, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in key])
+    return joined.select(*keys.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in key])
 
 
 def edits(docs, k=K, bins=BINS, keep=KEEP):
@@ -126,28 +126,28 @@ def edits(docs, k=K, bins=BINS, keep=KEEP):
     NULL text is empty. A row that repeats is one document for this order and is answered as
     often as it is there. Equal texts have equal fingerprints. Other columns play no part.
 
-    The texts move twice, by the same key, and of the next document only what the edit needs.
+    The texts move once, by their key, and of the next document only what the edit needs.
     """
     key = ["doc_id", "h"]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    marks = with_fingerprint(rows, "text", "mark", k, bins, keep).select(
-        *key, F.char_length("text").alias("n"), "mark")
-    marks = checkpointed(marks).dropDuplicates(key)
-    pairs = following(marks.select(*key), key)
-    own = (pairs.alias("p").join(marks.alias("m"), same("p", "m", key))
-           .select(*[F.col(f"p.{c}") for c in key], "p.next_doc_id", "p.next_h",
-                   F.floor(F.col("m.n") / 3).cast("int").alias("need"), "m.n", "m.mark"))
-    wanted = (own.alias("o").join(marks.alias("m"), F.col("o.next_doc_id").eqNullSafe(
-        F.col("m.doc_id")) & F.col("o.next_h").eqNullSafe(F.col("m.h")))
-        .select("o.*", F.col("m.mark").alias("next_mark")))
-    given = (rows.alias("r").join(wanted.alias("w"), F.col("r.doc_id").eqNullSafe(
-        F.col("w.next_doc_id")) & F.col("r.h").eqNullSafe(F.col("w.next_h")))
-        .select("w.doc_id", "w.h", "w.n", "w.need", "w.mark", "w.next_mark",
-                F.expr("substring(r.text, 1, w.need)").alias("ending"))
-        .dropDuplicates(key))
+    marks = checkpointed(with_fingerprint(rows, "text", "mark", k, bins, keep).select(
+        *key, F.char_length("text").alias("n"), "mark").dropDuplicates(key))
+    pairs = following(marks.select(*key, "n"), key).withColumn(
+        "need", F.floor(F.col("n") / 3).cast("int"))
+    by_next = (F.col("t.doc_id").eqNullSafe(F.col("p.next_doc_id"))
+               & F.col("t.h").eqNullSafe(F.col("p.next_h")))
+    marks = marks.select(*key, "mark")
+    after = (marks.alias("t").join(pairs.alias("p"), by_next)
+             .select("p.doc_id", "p.h", F.col("t.mark").alias("next_mark")))
+    given = (rows.alias("t").join(pairs.alias("p"), by_next)
+             .select("p.doc_id", "p.h", "p.n", "p.need",
+                     F.expr("substring(t.text, 1, p.need)").alias("ending"))
+             .dropDuplicates(key))
     both = (rows.alias("r").join(given.alias("g"), same("r", "g", key))
-            .select("r.doc_id", "g.n", "g.mark", "g.next_mark", F.concat(
+            .join(marks.alias("m"), same("r", "m", key))
+            .join(after.alias("a"), same("r", "a", key))
+            .select("r.doc_id", "g.n", "m.mark", "a.next_mark", F.concat(
                 F.expr("substring(r.text, 1, g.n - g.need)"), "g.ending").alias("edited")))
     marked = with_fingerprint(both, "edited", "edited_mark", k, bins, keep)
     return marked.select(
