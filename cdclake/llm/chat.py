@@ -93,10 +93,12 @@ def link(messages, calls, results, schemas):
     messages: conv_id, turn, role, text; calls: conv_id, turn, call_id, name, arguments,
     after; results: conv_id, turn, call_id, content.
     """
-    def row(name, value, quoted=True):
-        text = F.to_json(F.array(value)) if quoted else value
-        body = F.substring(text, F.lit(2), F.length(text) - 2) if quoted else text
-        return F.concat(F.lit(f'"{name}":'), F.coalesce(body, F.lit("null")))
+    def quoted(value):
+        text = F.to_json(F.array(value))
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    def row(name, json):
+        return F.concat(F.lit(f'"{name}":'), F.coalesce(json, F.lit("null")))
 
     def message(*parts):
         return F.concat(F.lit("{"), *[x for i, p in enumerate(parts)
@@ -115,9 +117,9 @@ def link(messages, calls, results, schemas):
               .when(F.col("answers").isNull(), "unanswered").otherwise("ok"))
 
     def call_message(arguments):
-        written = F.coalesce(canonical(arguments), F.to_json(F.array(arguments)))
-        return message(row("arguments", written, False), row("id", F.col("call_id")),
-                       row("name", F.col("name")), row("role", F.lit("assistant")))
+        written = F.coalesce(canonical(arguments), quoted(arguments))
+        return message(row("arguments", written), row("id", quoted(F.col("call_id"))),
+                       row("name", quoted(F.col("name"))), row("role", F.lit('"assistant"')))
 
     once = judged.select("conv_id", "depth", "turn", F.lit(1).alias("step"),
                          F.lit("call").alias("kind"), "call_id", status.alias("status"),
@@ -142,13 +144,14 @@ def link(messages, calls, results, schemas):
                         F.coalesce("called", "turn").alias("turn"), F.lit(2).alias("step"),
                         F.lit("result").alias("kind"), "call_id",
                         F.when(F.col("depth").isNull(), "orphan").otherwise("ok").alias("status"),
-                        message(row("content", F.col("content")), row("id", F.col("call_id")),
-                                row("role", F.lit("tool"))).alias("message")))
+                        message(row("content", quoted(F.col("content"))), row("id", quoted(
+                            F.col("call_id"))), row("role", F.lit('"tool"'))).alias("message")))
     plain = messages.select(
         "conv_id", F.lit(0).cast("long").alias("depth"), "turn", F.lit(0).alias("step"),
         F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"),
         F.lit(None).cast("string").alias("status"),
-        message(row("content", F.col("text")), row("role", F.col("role"))).alias("message"))
+        message(row("content", quoted(F.col("text"))), row("role", quoted(F.col("role")))).alias(
+            "message"))
     return (plain.unionByName(once).unionByName(again).unionByName(unnamed)
             .unionByName(answered))
 

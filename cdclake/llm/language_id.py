@@ -146,7 +146,7 @@ def best_temperature(logits, labels):
         p = softmax(logits / np.exp(t))[np.arange(len(labels)), labels]
         return -np.log(np.maximum(p, 1e-12)).mean()
 
-    low, high, ratio = np.log(0.1), np.log(10.0), (5 ** 0.5 - 1) / 2
+    low, high, ratio = np.log(0.01), np.log(100.0), (5 ** 0.5 - 1) / 2
     for _ in range(40):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
