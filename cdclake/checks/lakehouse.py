@@ -1,17 +1,20 @@
 """Sources, sinks, streams and whole jobs, in a folder of their own for every run."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdclake.checks.layers import REPORT
 from cdclake.checks.registry import query
-from cdclake.contracts import ORDERS
+from cdclake.contracts import CONTRACTS, ORDERS, SILVER
 from cdclake.functions.images import epoch_millis, row_image
 from cdclake.operators.changes import TOPIC_PREFIX
+from cdclake.operators.state import APPLY
 from cdclake.plans import gold
 from cdclake.plans.jobs import LakeConfig, run_etl, run_ingest, run_pipeline
-from cdclake.plans.silver import silver_orders
+from cdclake.plans.silver import silver_events, silver_orders
 from cdclake.session import shared_dir
 from cdclake.sinks import tables as K
 from cdclake.sources import files
@@ -121,11 +124,12 @@ def across_sources(t):
         "customer_id", "segment", "order_id")
 
 
-def write_topic(df, folder, table, ts_ms, wrapped=False):
-    """Rows as broker records of one topic, for the file source."""
+def write_topic(df, folder, table, ts_ms, wrapped=False, op="c"):
+    """Rows as broker records of one topic, for the file source; a delete has its row before."""
     after = F.from_json(row_image(df), df.select(*[
         F.col(c).cast("string").alias(c) for c in df.columns]).schema)
-    change = F.struct(F.lit("c").alias("op"), ts_ms.alias("ts_ms"), after.alias("after"))
+    change = F.struct(F.lit(op).alias("op"), ts_ms.alias("ts_ms"),
+                      after.alias("before" if op == "d" else "after"))
     value = F.to_json(F.struct(change.alias("payload")) if wrapped else change,
                       {"ignoreNullFields": "false"})
     df.select(F.lit(TOPIC_PREFIX + table).alias("topic"), value.alias("value")).write.mode(
@@ -159,6 +163,49 @@ def silver_from_stream(t):
     return silver_orders(ingested(t, Lake(t.spark)))
 
 
+def _kept(table, key, source):
+    return (f"SELECT '{table}' AS name, count(*) AS rows, CAST(sum({key}) AS BIGINT) AS keys "
+            f"FROM {source} WHERE {key} % 7 <> 0")
+
+
+@query("x6_refresh_with_deletes", " UNION ALL ".join([
+    _kept("customers", "customer_id", "s_customers"),
+    _kept("products", "product_id", "s_products"), _kept("orders", "order_id", "s_orders"),
+    _kept("order_items", "item_id", "s_items"), _kept("payments", "order_id", "s_payments"),
+    _kept("events", "event_id", "events"),
+    "SELECT 'returned', count(*), CAST(sum(order_id) AS BIGINT) FROM s_orders "
+    "WHERE order_id % 7 <> 0 AND order_id % 5 = 0"]))
+def refreshed_from_stream(t):
+    """All six tables through the stream, with updates and deletes in both forms of the
+    envelope, then a whole refresh that applies the deletes."""
+    lake = Lake(t.spark)
+    topics = f"{lake.folder}/topics"
+    shop = {"customers": t.customers(), "products": t.products(), "orders": t.orders(),
+            "order_items": t.items(), "payments": t.payments(), "events": t.events()}
+    for at, (name, df) in enumerate(shop.items()):
+        key, wrapped = F.col(CONTRACTS[name].key), at % 2 == 1
+        changed = df.where(key % 5 == 0)
+        if name == "orders":
+            changed = changed.withColumn("status", F.lit("returned"))
+        write_topic(df, topics, name, F.lit(1000), wrapped)
+        write_topic(changed, topics, name, F.lit(2000), not wrapped, "u")
+        write_topic(df.where(key % 7 == 0), topics, name, F.lit(3000), wrapped, "d")
+    cfg = lake.config(source_format="parquet", brokers=topics, deletes=APPLY,
+                      checkpoint=f"{lake.folder}/checkpoint")
+    run_ingest(t.spark, cfg, once=True)
+    run_pipeline(t.spark, cfg)
+    made = {c.table: t.spark.table(f"{cfg.silver}.{c.table}") for c in SILVER}
+    made["events"] = silver_events(t.spark.table(cfg.bronze), APPLY)
+
+    def totals(name, df, key):
+        return df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"),
+                      F.sum(key).alias("keys"))
+
+    parts = [totals(name, df, CONTRACTS[name].key) for name, df in made.items()]
+    parts.append(totals("returned", made["orders"].where("status = 'returned'"), "order_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _full_report():
     return REPORT.replace("g_daily_revenue", "r_daily").replace(
         "g_top_products", "r_products").replace("g_customer_ltv", "r_ltv")

@@ -10,11 +10,11 @@ from cdclake.functions.money import from_minor_units, minor_units
 from cdclake.operators import quality as Q
 from cdclake.operators.changes import diff_to_changes, snapshot_to_changes
 from cdclake.operators.integrity import orphan_keys, orphans
-from cdclake.operators.joins import left_join
 from cdclake.operators.state import (
-    APPLY, align, as_of, latest_by_key, rank_changes, state_as_of, upsert)
+    APPLY, align, as_of, latest_by_key, live, rank_changes, upsert)
 from cdclake.plans import gold
 from cdclake.plans.jobs import gold_checks, top_customer_checks
+from cdclake.plans.silver import state_as_of
 from cdclake.session import materialised
 
 CUT = "1998-07-01"
@@ -100,7 +100,7 @@ def items_products(t):
     LEFT JOIN s_orders o ON c.customer_id = o.customer_id AND status <> 'cancelled'""")
 def customers_billed_orders(t):
     billed = gold.billed(t.orders()).select("customer_id", "order_id")
-    return left_join(t.customers().select("customer_id"), billed, "customer_id")
+    return t.customers().select("customer_id").join(billed, "customer_id", "left")
 
 
 @query("j4_customers_orders_items", """
@@ -109,7 +109,7 @@ def customers_billed_orders(t):
     LEFT JOIN s_items i ON o.order_id = i.order_id""")
 def customers_orders_items(t):
     items = t.items().select("order_id", "item_id")
-    return left_join(customers_billed_orders(t), items, "order_id").select(
+    return customers_billed_orders(t).join(items, "order_id", "left").select(
         "customer_id", "order_id", "item_id")
 
 
@@ -295,14 +295,13 @@ def silver_as_of(t):
 
 @query("v2_upsert", _LAST_EVENT.format(where="", having="AND op <> 'd'"))
 def upserted(t):
-    """State at the middle of the log, then the rest of the log as one batch of changes."""
+    """Two of three events as state, with its deletes, then the others as one batch: changes
+    of all times, many older than the delete of their user."""
     log, order = t.event_log(), ["ts_ms", "event_id"]
-    middle = epoch_millis(F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
-    current = latest_by_key(as_of(log, middle), "user_id", order, APPLY).drop("op")
-    changes = log.where(F.col("ts_ms") > middle)
-    state = upsert(current, changes, "user_id", order)
-    return state.select("user_id", F.lit("u").alias("op"), "ts_ms", "event_id", "event_type",
-                        "value")
+    third = F.xxhash64("event_id") % 3 == 0
+    current = latest_by_key(log.where(~third), "user_id", order, None)
+    return live(upsert(current, log.where(third), "user_id", order)).select(
+        "user_id", "op", "ts_ms", "event_id", "event_type", "value")
 
 
 @query("v3_align", """

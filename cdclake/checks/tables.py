@@ -9,7 +9,7 @@ from cdclake import contracts as C
 from cdclake.functions.images import epoch_millis
 from cdclake.operators.changes import snapshot_to_changes
 from cdclake.operators.state import latest_by_key
-from cdclake.session import fit_session, prepare, spread
+from cdclake.session import prepare, spread
 
 ITEM_VERSION = ["l_shipdate", "l_partkey", "l_suppkey"]
 START = "1970-01-01 00:00:00"
@@ -42,7 +42,7 @@ class Tables:
     def read(self, name):
         if name not in self.opened:
             reader = self.spark.read.schema(SCHEMAS[name])
-            self.opened[name] = fit_session(reader.parquet(f"{self.folder}/{name}.parquet"))
+            self.opened[name] = reader.parquet(f"{self.folder}/{name}.parquet")
         return self.opened[name]
 
     def customers(self):

@@ -2,8 +2,10 @@
 
 Prices arrive as doubles. Summing doubles gives results that depend on the order of
 the rows, and sums of wide decimals leave the fast path of the aggregation. So amounts
-are turned into ten-thousandths (BIGINT), multiplied and summed as integers, and turned
-back once per group. A group beyond 922 trillion raises an overflow under ANSI rules.
+are turned into integers of `digits` decimal places (BIGINT; ten-thousandths unless said
+otherwise), multiplied and summed, and turned back once per group. A price with more places
+than that fails the job instead of being rounded, and so does a group that overflows, which
+with four digits is one beyond 922 trillion.
 """
 
 from decimal import Decimal
@@ -11,14 +13,20 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 PLACES = 4
+# A double is off by far less than this share of itself after one multiplication.
+SLACK = 1e-12
 
 
-def minor_units(amount):
-    return F.round(amount * F.lit(10 ** PLACES)).cast("bigint")
+def minor_units(amount, digits=PLACES):
+    scaled = amount.cast("double") * F.lit(float(10 ** digits))
+    units = F.round(scaled)
+    fits = F.abs(scaled - units) <= F.greatest(F.abs(scaled), F.lit(1.0)) * SLACK
+    return F.when(fits | amount.isNull(), units.cast("bigint")).otherwise(F.raise_error(F.concat(
+        amount.cast("string"), F.lit(f" has more than {digits} decimal places"))).cast("bigint"))
 
 
-def from_minor_units(units, places=2):
-    exact = units.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-PLACES))
+def from_minor_units(units, places=2, digits=PLACES):
+    exact = units.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))
     return F.round(exact, places).cast("double")
 
 

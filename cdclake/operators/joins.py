@@ -3,18 +3,6 @@
 from pyspark.sql import functions as F
 
 
-def left_join(left, right, key):
-    """Left outer join on a column both sides share, where `right` may have hot keys.
-
-    A left outer join can only be split on its left side, so a key that fills much of the
-    right side would meet in one task. Here the matches come from an inner join, which
-    the adaptive planner splits on either side, and the left rows without a match from an
-    anti join against the distinct keys.
-    """
-    missing = left.join(right.select(key).distinct(), key, "left_anti")
-    return left.join(right, key).unionByName(missing, allowMissingColumns=True)
-
-
 def key_counts(df, key):
     """Rows per key: one row per key leaves each task, however hot the key."""
     return df.groupBy(key).agg(F.count("*").alias("rows"))

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from cdclake.session import materialised
 from cdclake.sinks.tables import append, ensure_table
 
-# Size up to which the datasets of a level are sent to all executors.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 _DATASET = "STRUCT<namespace: STRING, name: STRING>"
 EVENT_DDL = (f"eventType STRING, eventTime TIMESTAMP, run STRUCT<runId: STRING>, "
              f"job {_DATASET}, inputs ARRAY<{_DATASET}>, outputs ARRAY<{_DATASET}>")
@@ -36,13 +33,13 @@ def lineage_events(spark, job, inputs, outputs, job_namespace="cdclake", namespa
         datasets(inputs).alias("inputs"), datasets(outputs).alias("outputs"))
 
 
-def emit_lineage(spark, table, runs):
-    """Append the events of runs (job, inputs, outputs) to a table.
+def emit_lineage(spark, table, runs, fmt="parquet"):
+    """Append the events of runs (job, inputs, outputs) to a table of this format.
 
     Best effort: a failure is logged and not raised.
     """
     try:
-        ensure_table(spark, table, EVENT_DDL)
+        ensure_table(spark, table, EVENT_DDL, fmt)
         append(reduce(DataFrame.unionByName, [lineage_events(spark, *run) for run in runs]), table)
         return True
     except Exception as error:  # lineage must never fail the job it describes
@@ -77,12 +74,8 @@ def lineage_edges(events):
 
 
 def _hop(level, edges, at, to):
-    """Ends `to` of the edges whose end `at` is in the level. A level whose measured size
-    is small goes to the edges, which then stay where they are; a larger one meets them
-    by key."""
-    size = level.agg(F.sum(F.octet_length(at) + 32)).head()[0]
-    if size <= BROADCAST_BYTES:
-        level = F.broadcast(level)
+    """Ends `to` of the edges whose end `at` is in the level. The level has been written, so
+    the planner knows its size and sends a small one to the edges."""
     return edges.join(level.select(at), at, "left_semi").select(to).distinct()
 
 

@@ -109,8 +109,10 @@ def gate(results):
 
 
 def verify_non_empty(df, by, k=5):
-    """Number of rows and the k largest by a column; raises if there are none."""
+    """Number of rows and the k largest by a column, equal ones by the other columns in
+    turn; raises if there are none."""
     count = df.count()
     if count == 0:
         raise QualityError("expected rows, found none")
-    return count, df.orderBy(F.col(by).desc_nulls_last()).limit(k).collect()
+    rest = [F.col(c).desc_nulls_last() for c in df.columns if c != by]
+    return count, df.orderBy(F.col(by).desc_nulls_last(), *rest).limit(k).collect()

@@ -81,38 +81,43 @@ def as_of(log, ts_ms):
     return log.where(F.col("ts_ms") <= ts_ms)
 
 
-def state_as_of(bronze, contract, ts_ms, deletes=IGNORE):
-    """Time travel: the silver table as it was at `ts_ms`."""
-    from cdclake.plans.silver import build_silver
-    return build_silver(as_of(bronze, ts_ms), contract, deletes)
-
-
 def upsert(current, changes, key, order, deletes=APPLY):
     """Current state after a batch of changes; columns as in `current`, one row per key.
 
-    `changes` has `op` and the `order` columns. Where `current` carries the order columns
-    too, late changes lose against newer rows; otherwise every change is newer. A change
-    older than the delete of its key brings the key back, as the state has no row for it.
+    `changes` has `op` and the `order` columns. Where `current` has `op` and the order
+    columns too, deletes stay in it as rows, and the result is that of the whole log, in
+    whatever pieces and order it comes: `live` gives the rows that are not deleted. Where it
+    only has the order columns, late changes lose against newer rows, but one older than the
+    delete of its key brings the key back, as there is no row for it. Otherwise every change
+    is newer.
 
     The changes are reduced to one per key first. The state then only meets them in semi
     and anti joins: a batch small enough to be broadcast leaves the state unshuffled.
     """
     keys, order = _names(key), _names(order)
     dated = set(order) <= set(current.columns)
-    live = F.col("op") != "d" if deletes == IGNORE else F.col("op").isNotNull()
+    keeps = dated and "op" in current.columns
+    kept = F.col("op") != "d" if deletes == IGNORE else F.col("op").isNotNull()
     columns = dict.fromkeys([*current.columns, *order, "op"])
-    newest = latest_by_key(changes.where(live).select(*columns), keys, order, NONE).alias("n")
+    newest = latest_by_key(changes.where(kept).select(*columns), keys, order, NONE).alias("n")
 
     def same(left, right):
         return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
     if dated:
-        newer = (F.struct(*[F.col(f"s.{c}") for c in order])
-                 > F.struct(*[F.col(f"n.{c}") for c in order]))
+        # With its deletes the state has all that settles ties in a log.
+        by = order + [c for c in columns if c not in keys and c not in order] if keeps else order
+        newer = (F.struct(*[F.col(f"s.{c}") for c in by])
+                 > F.struct(*[F.col(f"n.{c}") for c in by]))
         late = current.alias("s").join(newest, same("s", "n") & newer, "left_semi")
         newest = newest.join(late.select(*keys).alias("l"), same("n", "l"), "left_anti").alias("n")
-    kept = current.alias("s").join(newest, same("s", "n"), "left_anti")
-    return kept.unionByName(newest.where(F.col("op") != "d").select(*current.columns))
+    rest = current.alias("s").join(newest, same("s", "n"), "left_anti")
+    return rest.unionByName((newest if keeps else live(newest)).select(*current.columns))
+
+
+def live(state):
+    """The rows of a state that are not deletes."""
+    return state.where(F.col("op") != "d")
 
 
 def align(df, contract):

@@ -10,12 +10,11 @@ from cdclake.contracts import SILVER
 from cdclake.operators import quality as Q
 from cdclake.operators.changes import TOPIC_PREFIX
 from cdclake.operators.lineage import emit_lineage
-from cdclake.operators.state import IGNORE
+from cdclake.operators.state import APPLY, IGNORE
 from cdclake.plans import dashboards, gold
 from cdclake.plans.silver import build_silver
-from cdclake.session import fit_session, prepare, shared_dir
-from cdclake.sinks.tables import (
-    append, ensure_namespace, recreate_table, replace_table, sized_table)
+from cdclake.session import prepare, settings, shared_dir
+from cdclake.sinks.tables import append, ensure_namespace, recreate_table, replace_table
 from cdclake.sources.files import inline_rows
 from cdclake.streaming.ingest import TRIGGER, ensure_bronze, ingest, read_change_stream
 
@@ -46,6 +45,8 @@ class LakeConfig:
     max_per_trigger: str = ""   # records or files per batch
     trigger: str = TRIGGER      # longer ones give bronze fewer and larger files
     checkpoint: str = ""        # by default in the shared folder
+    sink_options: tuple = ()    # (name, value) pairs for the stream's writer
+    shuffle_partitions: int = 0  # width of a refresh's shuffles; 0 for the session's
 
     def namespace(self, spark, name):
         ensure_namespace(spark, name, f"{self.warehouse}/{name}" if self.warehouse else None)
@@ -62,7 +63,7 @@ def replace_all(tables, fmt):
 def build_silver_layer(spark, cfg):
     """Replace every silver table from the bronze log."""
     cfg.namespace(spark, cfg.silver)
-    bronze = fit_session(sized_table(spark, cfg.bronze))
+    bronze = spark.table(cfg.bronze)
     replace_all({f"{cfg.silver}.{c.table}": build_silver(bronze, c, cfg.deletes) for c in SILVER},
                 cfg.fmt)
 
@@ -105,10 +106,12 @@ def lineage_of(cfg):
 def run_pipeline(spark, cfg):
     """Silver, gold, quality gate, report. A failed gate raises and there is no report."""
     prepare(spark)
-    build_silver_layer(spark, cfg)
-    build_gold_layer(spark, cfg)
+    width = cfg.shuffle_partitions
+    with settings(spark, {"spark.sql.shuffle.partitions": str(width)} if width else {}):
+        build_silver_layer(spark, cfg)
+        build_gold_layer(spark, cfg)
     cfg.namespace(spark, cfg.lineage.rsplit(".", 1)[0])
-    emit_lineage(spark, cfg.lineage, lineage_of(cfg))
+    emit_lineage(spark, cfg.lineage, lineage_of(cfg), cfg.fmt)
     marts = {name: spark.table(f"{cfg.gold}.{name}") for name in GOLD_INPUTS}
     Q.gate(gold_checks(*marts.values(), spark.table(f"{cfg.silver}.customers")))
     return dashboards.mart_report(marts, marts["top_products"])
@@ -149,7 +152,8 @@ def run_ingest(spark, cfg, once=False):
                              cfg.max_per_trigger)
     checkpoint = cfg.checkpoint or f"{shared_dir(spark)}/streams/{cfg.bronze}"
     query = ingest(raw, cfg.bronze, checkpoint, cfg.topic_prefix, cfg.sequence,
-                   trigger=cfg.trigger, once=once, fmt=cfg.fmt)
+                   cfg.deletes == APPLY, trigger=cfg.trigger, once=once, fmt=cfg.fmt,
+                   **dict(cfg.sink_options))
     query.awaitTermination()
     return query
 

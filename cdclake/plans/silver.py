@@ -6,7 +6,7 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from cdclake import contracts as C
-from cdclake.operators.state import IGNORE, latest_by_key
+from cdclake.operators.state import APPLY, IGNORE, as_of, latest_by_key
 
 _KEY = "_key"
 
@@ -20,10 +20,16 @@ def newest_images(bronze, contract, deletes=IGNORE):
 
     Only the key is read from every image; the other fields are parsed once, for the one
     image per key that is left. `seq`, where the log has it, is the source's own order.
+    Where deletes are applied, one without a key fails the build: it would leave its row.
     """
     order = [c for c in ("ts_ms", "seq", "ingest_ts") if c in bronze.columns]
+    key = _key_text(contract)
+    if deletes == APPLY:
+        key = F.when((F.col("op") == "d") & key.isNull(), F.raise_error(F.lit(
+            f"a delete of {contract.table} has no key; ingest with deletes = apply")).cast(
+                "string")).otherwise(key)
     log = bronze.where(F.col("table_name") == contract.table).select(
-        _key_text(contract).alias(_KEY), "op", *order, "after")
+        key.alias(_KEY), "op", *order, "after")
     newest = latest_by_key(log, _KEY, order + ["after"], deletes)
     return newest.select(F.from_json("after", contract.text_schema).alias("row")).select("row.*")
 
@@ -34,6 +40,11 @@ def build_silver(bronze, contract, deletes=IGNORE):
         *[F.col(f.image).cast(f.type).alias(f.name) for f in contract.fields])
 
 
+def state_as_of(bronze, contract, ts_ms, deletes=IGNORE):
+    """Time travel: the silver table as it was at `ts_ms`."""
+    return build_silver(as_of(bronze, ts_ms), contract, deletes)
+
+
 def split_silver(bronze, contract, deletes=IGNORE):
     """(good, bad): typed rows, and what cannot become one, in text.
 

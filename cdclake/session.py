@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -15,12 +16,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# The planner's estimate for an input it knows nothing about is beyond this.
-UNKNOWN_SIZE = 2 ** 60
-
-MIB = 1024 * 1024
-MAX_TASKS = 100_000
-
 
 def get_session(app="cdclake", master=None, conf=None):
     builder = SparkSession.builder.appName(app)
@@ -39,35 +34,20 @@ def prepare(spark):
     return spark
 
 
-def shuffle_partitions(input_bytes, target_bytes=128 * MIB, expansion=3):
-    """Shuffle width that keeps partitions near `target_bytes`, for compressed input.
-
-    The driver keeps track of every partition, so beyond MAX_TASKS they grow instead.
-    """
-    return min(MAX_TASKS, -(-input_bytes * expansion // target_bytes))
-
-
-def scan_bytes(input_bytes):
-    """Size of a scan's splits: 128 MiB, and up to 1 GiB where there would be too many."""
-    return min(1024 * MIB, max(128 * MIB, input_bytes // MAX_TASKS))
-
-
-def fit_session(df):
-    """Fit the session's shuffles and scans to the size of an input; only ever upwards.
-
-    AQE merges partitions that turn out small, but cannot split what is merely large.
-    An input of unknown size changes nothing.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= UNKNOWN_SIZE:
-        return df
-    for key, wanted in (("spark.sql.shuffle.partitions", shuffle_partitions(size)),
-                        ("spark.sql.files.maxPartitionBytes", scan_bytes(size))):
-        known = spark.conf.get(key)
-        if known.rstrip("b").isdigit() and wanted > int(known.rstrip("b")):
-            spark.conf.set(key, str(wanted))
-    return df
+@contextmanager
+def settings(spark, values):
+    """Session settings for one job; what they were before comes back after it."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield spark
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def shared_dir(spark):

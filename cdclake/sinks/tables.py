@@ -78,13 +78,6 @@ def replace_table(df, name, fmt="parquet"):
     ensure_table(spark, name, ddl, fmt, location=target)
 
 
-def sized_table(spark, name):
-    """A catalog table with its size known to the planner, which needs only a file listing."""
-    if _in_session_catalog(spark, name):
-        spark.sql(f"ANALYZE TABLE {quoted(name)} COMPUTE STATISTICS NOSCAN")
-    return spark.table(name)
-
-
 def append(df, name):
     """Add rows to a table, matching columns by name."""
     spark = df.sparkSession

@@ -49,12 +49,14 @@ def start_bronze(rows, table, checkpoint, trigger=TRIGGER, once=False, fmt="parq
     return writer.toTable(table)
 
 
-def ingest(raw, table, checkpoint, prefix=TOPIC_PREFIX, sequence=None, **options):
-    rows = decode_envelope(raw, prefix, sequence=sequence)
+def ingest(raw, table, checkpoint, prefix=TOPIC_PREFIX, sequence=None, keep_delete_image=False,
+           **options):
+    """With `keep_delete_image` a delete carries its key, without which it cannot be applied."""
+    rows = decode_envelope(raw, prefix, keep_delete_image, sequence)
     return start_bronze(rows, table, checkpoint, **options)
 
 
-def maintain_state(rows, table, merge, checkpoint, trigger=TRIGGER, once=False):
+def maintain_state(rows, table, merge, checkpoint, trigger=TRIGGER, once=False, fmt="parquet"):
     """Keep a current-state table up to date from a stream of bronze rows.
 
     `merge(current, changes)` gives the new state for each micro-batch, for instance by
@@ -65,7 +67,7 @@ def maintain_state(rows, table, merge, checkpoint, trigger=TRIGGER, once=False):
     owner = rows.sparkSession
 
     def apply(changes, batch_id):
-        replace_table(merge(changes.sparkSession.table(table), changes), table)
+        replace_table(merge(changes.sparkSession.table(table), changes), table, fmt)
         owner.catalog.refreshTable(table)  # batches run in a session of their own
 
     writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

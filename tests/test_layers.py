@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cdclake import contracts as C
 from cdclake.checks.tables import Tables
 from cdclake.operators.changes import snapshot_to_changes
-from cdclake.operators.state import state_as_of
 from cdclake.plans import dashboards, gold, silver
 from cdclake.sources.generator import generate_ecommerce
 
@@ -91,7 +90,7 @@ def test_events_have_no_silver_table_by_default():
 def test_state_as_of(spark):
     log = bronze(spark, ("r", 1, '{"order_id":1,"status":"placed"}'),
                  ("u", 5, '{"order_id":1,"status":"shipped"}'))
-    assert [r["status"] for r in state_as_of(log, C.ORDERS, 4).collect()] == ["placed"]
+    assert [r["status"] for r in silver.state_as_of(log, C.ORDERS, 4).collect()] == ["placed"]
 
 
 def test_daily_revenue_rules(spark):
@@ -198,3 +197,13 @@ def test_counts_of_orders_need_no_further_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange") == 3  # orders, totals per order, groups of the mart
+
+
+def test_prices_keep_all_their_digits_or_fail(spark):
+    items = spark.createDataFrame([(1, 1, 1_000_000, 0.00004)],
+                                  "order_id LONG, product_id LONG, quantity LONG, unit_price DOUBLE")
+    orders = spark.createDataFrame([(1, 1, None, "web", "placed")], C.ORDERS.schema)
+    with pytest.raises(Exception, match="decimal places"):
+        gold.gold_daily_revenue(orders, items).collect()
+    for digits in (5, 8):
+        assert gold.gold_daily_revenue(orders, items, digits).head()["revenue"] == 40.0

@@ -148,24 +148,13 @@ def test_jdbc_options():
     assert seen.seen["mode"] == "append" and "truncate" not in seen.seen
 
 
-def test_shuffles_widen_with_the_input_and_never_narrow(spark, tmp_path, monkeypatch):
-    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
-    before = [spark.conf.get(k) for k in keys]
-    spark.range(10).write.parquet(f"{tmp_path}/r")
-    df = spark.read.parquet(f"{tmp_path}/r")
-    session.fit_session(df)
-    assert [spark.conf.get(k) for k in keys] == before
-    monkeypatch.setattr(session, "shuffle_partitions", lambda size: 77)
-    session.fit_session(df)
-    assert spark.conf.get(keys[0]) == "77"
-    spark.conf.set(keys[0], before[0])
-
-
-def test_sizes_for_large_inputs():
-    assert session.shuffle_partitions(10 * 2 ** 40) == 100_000
-    assert session.shuffle_partitions(2 ** 40) == 24_576
-    assert session.scan_bytes(2 ** 40) == 128 * 2 ** 20
-    assert session.scan_bytes(50 * 2 ** 40) == 50 * 2 ** 40 // 100_000
+def test_settings_of_a_job_are_restored(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), session.settings(spark, {key: "3", "spark.x.y": "z"}):
+        assert spark.conf.get(key) == "3"
+        raise ValueError
+    assert spark.conf.get(key) == before and spark.conf.get("spark.x.y", None) is None
 
 
 def test_interim_tables_go_to_the_named_folder(spark):

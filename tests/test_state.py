@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cdclake.operators.state import (
-    APPLY, as_of, align, latest_by_key, rank_changes, upsert)
+    APPLY, align, as_of, latest_by_key, live, rank_changes, upsert)
 from cdclake.contracts import ORDERS
 
 LOG = "k STRING, op STRING, ts_ms BIGINT, v STRING"
@@ -90,6 +90,17 @@ def test_upsert_of_a_log_in_two_parts(spark, events, cut):
     assert rows(upsert(state, second, "k", "ts_ms", "ignore")) == rows(both)
 
 
+@QUICK
+@given(events=EVENTS, picks=st.lists(st.booleans(), min_size=12, max_size=12))
+def test_upsert_with_its_deletes_is_the_whole_log_in_any_pieces(spark, events, picks):
+    parts = [[e for e, p in zip(events, picks) if p == side] for side in (True, False)]
+    state = latest_by_key(log(spark, *parts[0]) if parts[0] else log(spark, *events).limit(0),
+                          "k", "ts_ms", None)
+    changes = log(spark, *parts[1]) if parts[1] else log(spark, *events).limit(0)
+    wanted = latest_by_key(log(spark, *events), "k", "ts_ms", "apply")
+    assert rows(live(upsert(state, changes, "k", "ts_ms"))) == rows(wanted)
+
+
 def test_upsert_applies_deletes_and_refuses_late_changes(spark):
     state = spark.createDataFrame([("1", 5, "a"), ("2", 5, "b")], "k STRING, ts_ms BIGINT, v STRING")
     changes = log(spark, ("1", "u", 4, "late"), ("2", "d", 6, None), ("3", "c", 6, "c"))

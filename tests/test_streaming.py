@@ -1,6 +1,7 @@
 import json
 from dataclasses import replace
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -129,3 +130,30 @@ def test_state_kept_by_a_stream(spark, lake, tmp_path):
     publish(spark, lake, [change("u", 2, 1, "late"), change("d", 4, 2, "placed")])
     assert run() == [(1, 3, "shipped")]
     assert run() == [(1, 3, "shipped")]
+
+
+def test_deletes_that_came_through_the_stream_are_applied(spark, lake):
+    def event(op, ts, **images):
+        return ("ecom.public.orders", json.dumps({"op": op, "ts_ms": ts, **images}))
+
+    lake = replace(lake, deletes="apply")
+    publish(spark, lake, [event("c", 1, after={"order_id": 1}), event("c", 1, after={"order_id": 2}),
+                          event("d", 2, before={"order_id": 1})])
+    run_ingest(spark, lake, once=True)
+    build_silver_layer(spark, lake)
+    assert [r["order_id"] for r in spark.table(f"{lake.silver}.orders").collect()] == [2]
+
+
+def test_a_delete_without_a_key_fails_the_refresh_that_applies_deletes(spark, lake):
+    publish(spark, lake, [("ecom.public.orders", json.dumps({"op": "d", "ts_ms": 2}))])
+    run_ingest(spark, lake, once=True)
+    with pytest.raises(Exception, match="has no key"):
+        build_silver_layer(spark, replace(lake, deletes="apply"))
+
+
+def test_the_planner_knows_the_size_of_a_streamed_log(spark, lake):
+    publish(spark, lake, RECORDS)
+    run_ingest(spark, lake, once=True)
+    build_silver_layer(spark, lake)
+    plan = spark.table(lake.bronze)._jdf.queryExecution().optimizedPlan()
+    assert int(str(plan.stats().sizeInBytes())) > 0
