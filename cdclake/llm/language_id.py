@@ -179,13 +179,17 @@ def train(docs, settings=Settings()):
         return {"lang": [langs[i] for i in kept], "i": [v[0] for v in vectors],
                 "x": [v[1] for v in vectors]}
 
-    rows = map_batches(sample, "lang string, i array<int>, x array<float>", features).collect()
-    rows.sort(key=lambda r: (r["lang"], len(r["i"]), r["i"][:8], r["x"][:8]))
-    languages = tuple(sorted({r["lang"] for r in rows}))
+    rows = map_batches(sample, "lang string, i array<int>, x array<float>", features).toArrow()
+    rows = rows.combine_chunks().to_batches()
+    langs = [lang for batch in rows for lang in batch.column(0).to_pylist()]
+    x = [(batch.column(1)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy())
+         for batch in rows for k in range(len(batch))]
+    languages = tuple(sorted(set(langs)))
     if not languages:
         return None
-    y = np.array([languages.index(r["lang"]) for r in rows])
-    x = [(np.array(r["i"]), np.array(r["x"])) for r in rows]
+    order = sorted(range(len(x)), key=lambda k: (langs[k], len(x[k][0]), x[k][0].tobytes(),
+                                                 x[k][1].tobytes()))
+    y, x = np.array([languages.index(langs[k]) for k in order]), [x[k] for k in order]
     held = np.arange(len(x)) % 5 == 4
     fit = np.flatnonzero(~held)
     w = ftrl([x[i] for i in fit], y[fit], len(languages), len(idf) + 1, s)

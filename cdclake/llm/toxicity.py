@@ -19,7 +19,7 @@ class Settings:
     others; `longest` leaves rows with longer texts out of training. Scores are for whole
     texts of any length and are those of the worst window of `window` words. A subword that
     occurs in fewer than `least` training rows keeps a zero vector."""
-    documents: int = 3000
+    documents: int = 2400
     longest: int = 20_000
     window: int = 2
     grams: tuple = (3, 6)     # from, to
@@ -126,42 +126,45 @@ def fit(texts, labels, settings=Settings()):
     of a subword's vector is not divided by the number of subwords it is averaged with.
     """
     s, rng = settings, np.random.default_rng(settings.seed)
-    docs = [(*b, int(y)) for b, y in ((bags(t, s), y) for t, y in zip(texts, labels)) if len(b[0])]
     occurs = np.zeros(1 << s.bits, np.int32)
-    for ids, _, _ in docs:
-        occurs[np.unique(ids)] += 1
+    for text in texts:
+        occurs[np.unique(bags(text, s)[0])] += 1
     active = np.flatnonzero(occurs >= s.least)
     slot = np.full(1 << s.bits, -1, np.int32)
     slot[active] = np.arange(len(active))
+    docs = []       # per text: slots window by window, where each begins, all subwords in each
+    for text, y in zip(texts, labels):
+        ids, windows = bags(text, s)
+        if len(ids):
+            sizes, ids = np.bincount(windows).astype(np.int32), slot[ids]
+            kept = np.bincount(windows[ids >= 0], minlength=len(sizes))
+            begins = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+            ids = ids[ids >= 0]
+            common, counts = np.unique(ids, return_counts=True)
+            docs.append((ids, begins, sizes, common, counts.astype(np.int32), int(y)))
     embedding = np.zeros((len(active), s.size), np.float32)
     output = np.zeros((s.size, 2), np.float32)
     output[:, 1] = rng.choice([-1, 1], s.size) / np.sqrt(2 * s.size)
     output[:, 0] = -output[:, 1]
-    share = np.clip(np.mean([y for *_, y in docs]) if docs else 0.5, 0.01, 0.99)
+    share = np.clip(np.mean([d[-1] for d in docs]) if docs else 0.5, 0.01, 0.99)
     bias = np.log(np.array([1 - share, share], np.float32))
-    known = []                                      # (slots, windows, subwords by window, label)
-    for ids, windows, y in docs:
-        ids, sizes = slot[ids], np.bincount(windows)
-        known.append((ids[ids >= 0], windows[ids >= 0], sizes, y))
-    whole = [(*np.unique(ids, return_counts=True), sizes.sum(), y)
-             for ids, _, sizes, y in known]
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)
-        value = embedding @ (output[:, 1] - output[:, 0])
-        for d in rng.permutation(len(known)):
-            if epoch < s.whole or len(known[d][2]) == 1:
-                ids, counts, size, y = whole[d]
-            else:
-                ids, windows, sizes, y = known[d]
-                worst = (np.bincount(windows, value[ids], len(sizes)) / sizes).argmax()
-                first, last = np.searchsorted(windows, [worst, worst + 1])
-                ids, counts = np.unique(ids[first:last], return_counts=True)
+        value = np.append(embedding @ (output[:, 1] - output[:, 0]), 0)
+        for d in rng.permutation(len(docs)):
+            ids, begins, sizes, common, counts, y = docs[d]
+            size = sizes.sum()
+            if epoch >= s.whole and len(sizes) > 1:
+                total = np.concatenate([[0], np.cumsum(value[ids], dtype=np.float64)])
+                worst = ((total[begins[1:]] - total[begins[:-1]]) / sizes).argmax()
+                common, counts = np.unique(ids[begins[worst]:begins[worst + 1]],
+                                           return_counts=True)
                 size = sizes[worst]
-            rows = embedding[ids]
+            rows = embedding[common]
             mean = (counts @ rows) / size
             p = softmax(mean @ output + bias)
             p[y] -= 1
-            embedding[ids] = rows - np.outer(
+            embedding[common] = rows - np.outer(
                 rate * np.minimum(counts, s.often), output @ p).astype(np.float32)
             output -= s.rate_output * rate * np.outer(mean, p).astype(np.float32)
             bias = bias - s.rate_output * rate * p
