@@ -19,15 +19,15 @@ class Settings:
     others; `longest` leaves rows with longer texts out of training. Scores are for whole
     texts of any length and are those of the worst window of `window` words. A subword that
     occurs in fewer than `least` training rows keeps a zero vector."""
-    documents: int = 2400
+    documents: int = 3000
     longest: int = 20_000
     window: int = 2
     grams: tuple = (3, 6)     # from, to
     bits: int = 18
     size: int = 8
     least: int = 4
-    epochs: int = 10
-    whole: int = 2            # epochs on whole texts before those on worst windows
+    epochs: int = 12
+    whole: int = 1            # epochs on whole texts before those on worst windows
     rate: float = 1.0
     rate_output: float = 0.01
     often: int = 4            # a subword's occurrences count so often at most in a step
