@@ -10,7 +10,7 @@ from pyspark.sql.types import StructField, StructType
 from cdclake.session import shared_dir
 
 ROOT = str(Path(__file__).resolve().parents[2])
-SUB_BATCH_CHARS = 1_000_000
+SUB_BATCH_CHARS = 500_000
 
 
 def ship(spark):

@@ -9,7 +9,7 @@ from cdclake.llm.common import pieces
 
 NONE = np.int32(2 ** 31 - 1)
 LONG_WORD = 48
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 
 
 def byte_symbols():
