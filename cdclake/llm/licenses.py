@@ -8,9 +8,13 @@ joins of paths.
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import functions as F
 
+from cdclake.llm.common import checkpointed
+
 # Identifiers and the sentences that name them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -28,6 +32,8 @@ TEMPLATES = {
 LEAST = 0.8
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 ANCHOR = r"(?i)licen[sc]|spdx|copyright|public domain|redistribution"
+# One of these is in every lower-cased text that matches ANCHOR; found without a pattern.
+HINTS = ("licens", "licenc", "spdx", "copyright", "public domain", "redistribution")
 LICENCE_FILE = r"(?i)^(un)?licen[sc]es?([._-].*)?$|^copying([._-].*)?$|^notice([._-].*)?$"
 
 
@@ -35,6 +41,11 @@ def terms(text):
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def speaks(text, lowered):
+    """Whether a text speaks of a licence; the pattern runs only where a hint is."""
+    return reduce(or_, [lowered.contains(h) for h in HINTS]) & text.rlike(ANCHOR)
+
+
 def weights(templates):
     """Rows (licence, term, weight) of the templates' unit vectors, the weight of each term in
     any text by its rarity among the templates, and that of a term in none of them."""
@@ -86,15 +97,17 @@ def scan(files, templates=TEMPLATES, least=LEAST):
     path is left out, a NULL or empty text states nothing; of rows that share a path all
     statements count. Other columns play no part.
     """
-    files = files.select("path", F.coalesce("text", F.lit("")).alias("text")).where(
-        "path IS NOT NULL")
-    name = F.element_at(F.split("path", "/"), -1)
-    holds = name.rlike(LICENCE_FILE)
-    lines = (files.where(F.col("text").rlike(ANCHOR))
-             .select("path", F.explode(F.split("text", "\n", -1)).alias("statement"))
-             .where(F.col("statement").rlike(ANCHOR)))
-    whole = files.where(holds).select("path", F.col("text").alias("statement"))
-    statements = lines.unionByName(whole).distinct().withColumn(
+    text, statement = F.col("text"), F.explode("statements").alias("statement")
+    holds = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
+    none = F.array().cast("array<string>")
+    lines = F.when(speaks(text, F.col("low")), F.filter(
+        F.split("text", "\n", -1), lambda line: line.rlike(ANCHOR))).otherwise(none)
+    # Texts are read once; all that follows needs only their paths and statements.
+    files = checkpointed(
+        files.where("path IS NOT NULL").select("path", F.coalesce("text", F.lit("")).alias("text"))
+        .withColumn("low", F.lower("text")).select("path", F.concat(
+            lines, F.when(holds, F.array(text)).otherwise(none)).alias("statements")))
+    statements = files.select("path", statement).distinct().withColumn(
         "number", F.xxhash64("statement"))
     found = matches(statements, ["path", "number"], templates, least)
     stated = found.groupBy("path").agg(
@@ -175,9 +188,11 @@ FROM own o LEFT JOIN stated s USING (path) LEFT JOIN near USING (path)"""
 def document_files(docs):
     """Documents as files: a short text that speaks of a licence is the licence file of its
     source and language, any other text a file one directory below."""
-    text = F.coalesce("text", F.lit(""))
+    text = F.col("text")
     folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
-    short = (F.size(F.split(text, "[ \n]+", -1)) <= 40) & text.rlike(ANCHOR)
+    short = speaks(text, F.col("low")) & (F.size(F.split(text, "[ \n]+", -1)) <= 40)
+    docs = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("low", F.lower("text"))
     return docs.where("doc_id IS NOT NULL").select(F.when(
         short, F.concat(folder, F.lit("/LICENSE."), F.col("doc_id"))).otherwise(
-            F.concat(folder, F.lit("/text/"), F.col("doc_id"))).alias("path"), text.alias("text"))
+            F.concat(folder, F.lit("/text/"), F.col("doc_id"))).alias("path"), "text")
