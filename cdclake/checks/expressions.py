@@ -107,14 +107,18 @@ def array_element(t):
            true AS even FROM events""")
 def seeded_draws(t):
     """Draws lie in [0, 1), repeat for the same seed and id, and spread evenly."""
-    u = uniform(42, "check", "slot", F.col("event_id"))
-    rows = t.read("events").select("event_id", u.alias("u"),
-                                   choice(u, ["a", "b", "c"]).alias("pick"))
-    again = uniform(42, "check", "slot", F.col("event_id"))
+    def drawn(events):
+        u = uniform(42, "check", "slot", F.col("event_id"))
+        return events.select("event_id", u.alias("u"), choice(u, ["a", "b", "c"]).alias("pick"))
+
+    events = t.read("events").select("event_id", "user_id")
+    # The same ids, read in place and dealt out anew: one draw per id.
+    rows = (drawn(events).unionByName(drawn(events.repartition("user_id"))).groupBy("event_id")
+            .agg(F.min("u").alias("u"), F.max("u").alias("again"), F.min("pick").alias("pick")))
     return rows.agg(
         F.count("*").alias("rows"),
         F.bool_and((F.col("u") >= 0) & (F.col("u") < 1)).alias("in_range"),
-        F.count_if(again == F.col("u")).alias("repeated"),
+        F.count_if(F.col("again") == F.col("u")).alias("repeated"),
         F.countDistinct("pick").cast("int").alias("choices"),
         (F.abs(F.avg("u") - 0.5) < 0.05).alias("even"))
 

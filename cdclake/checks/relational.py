@@ -53,9 +53,16 @@ def range_filter(t):
     return t.read("customer").where(F.col("c_acctbal") > 5000).select("c_custkey", "c_acctbal")
 
 
-@query("p6_is_null", "SELECT customer_id, email FROM s_customers WHERE signup_date IS NULL")
+@query("p6_is_null", """
+    SELECT customer_id, email FROM s_customers
+    LEFT JOIN (SELECT customer_id, status FROM s_orders WHERE channel = '1-URGENT')
+      USING (customer_id)
+    WHERE status IS NULL""")
 def is_null(t):
-    return t.customers().where(F.col("signup_date").isNull()).select("customer_id", "email")
+    """Customers without an urgent order: the outer join leaves their status NULL."""
+    urgent = t.orders().where(F.col("channel") == "1-URGENT").select("customer_id", "status")
+    return (t.customers().join(urgent, "customer_id", "left")
+            .where(F.col("status").isNull()).select("customer_id", "email"))
 
 
 @query("p7_conjunction", """

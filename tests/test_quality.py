@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cdclake.operators import quality as Q
 from cdclake.operators.integrity import orphan_keys, orphans
 from cdclake.plans.jobs import top_customer_checks
+from cdclake.session import settings
 
 
 @pytest.fixture
@@ -79,26 +80,22 @@ def test_verify_non_empty(customers):
         Q.verify_non_empty(customers.where("false"), "acctbal")
 
 
-def test_hot_key_is_split(spark):
-    """With thresholds fit for test data, the planner splits the hot key of an inner join."""
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_key_is_split(spark, how):
+    """With thresholds fit for test data, the planner splits the hot key of a join, also
+    where an aggregation follows. The values must reach the join: the keys alone compress."""
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096",
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, conf):
         hot = spark.range(60_000, numPartitions=8).select(
             F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"),
             F.xxhash64("id").alias("v"))
-        keys = spark.range(0, 60_000).select(F.col("id").alias("k"))
-        joined = keys.join(hot, "k").groupBy("k").agg(F.count("v").alias("n"))
-        counts = dict(rows(joined))
-        assert counts[7] == 20_001 and counts[4] == 1
-        joined.collect()
+        keys = spark.range(0, 60_000).select(F.col("id").alias("k"), F.xxhash64("id").alias("w"))
+        joined = hot.join(keys, "k", how).groupBy("k").agg(
+            F.countDistinct("v").alias("n"), F.max("w").alias("w"))
+        counts = {r["k"]: r["n"] for r in joined.collect()}
+        assert counts[7] == 20_001 and counts[4] == 1 and len(counts) == 40_000
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
