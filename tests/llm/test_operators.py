@@ -325,6 +325,18 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_hints_are_in_every_text_that_the_licence_pattern_finds(spark):
+    texts = ["LICENSE", "a Licence", "sPdX-id", "(C) COPYRIGHT", "in the Public Domain", "",
+             "Redistributions", "licen", "public  domain", "copy right", "\u0130 SPDX \u03a3",
+             "x" * 100_000 + " LiCeNsEd", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "text STRING").withColumn(
+        "low", F.lower("text"))
+    got = frame.select(licenses.speaks(F.col("text"), F.col("low")).alias("speaks"),
+                       F.col("text").rlike(licenses.ANCHOR).alias("pattern")).collect()
+    assert [r["speaks"] for r in got] == [r["pattern"] for r in got]
+    assert sum(bool(r["speaks"]) for r in got) == 8
+
+
 # --- chat
 
 def test_calls_are_linked_ordered_and_checked(spark):
