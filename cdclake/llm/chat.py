@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from cdclake.llm.common import checkpointed
 
-# Types of a schema and the variant types that satisfy them.
+# Types of a schema and the variant types that satisfy them. Numbers beyond 64 bits and those
+# with decimal places are decimals, those with an exponent or over 38 digits doubles.
 ACCEPTS = {"string": ["STRING"], "integer": ["BIGINT"], "boolean": ["BOOLEAN"],
-           "number": ["BIGINT", "DOUBLE"], "array": ["ARRAY"], "object": ["OBJECT"]}
+           "number": ["BIGINT", "DECIMAL", "DOUBLE"], "array": ["ARRAY"], "object": ["OBJECT"]}
 
 
 def canonical(json):
@@ -25,6 +26,7 @@ def problems(name, arguments, schemas):
 
     `schemas` is {tool: {"properties": {parameter: type}, "required": [parameter]}}; a
     parameter that it does not list is a problem, and so are arguments that are no object.
+    An integer is a number without decimal places (1.0 has none) or exponent, of any length.
     """
     parsed = F.try_parse_json(arguments)
     kind = F.regexp_extract(F.schema_of_variant(parsed), "^[A-Z]+", 0)
@@ -32,13 +34,18 @@ def problems(name, arguments, schemas):
     for tool, schema in schemas.items():
         tests = []
         for parameter, wanted in sorted(schema["properties"].items()):
-            own = F.regexp_extract(F.schema_of_variant(
-                F.try_variant_get(parsed, f"$['{parameter}']", "variant")), "^[A-Z]+", 0)
+            path = f"$['{parameter}']"
+            typed = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+            own = F.regexp_extract(typed, "^[A-Z]+", 0)
             missing = own.isNull() | (own == "VOID")
+            fits = own.isin(ACCEPTS[wanted])
+            if wanted == "integer":
+                whole = F.get_json_object(arguments, path).rlike("^-?[0-9]+$")
+                fits = (fits | typed.rlike("^DECIMAL[(][0-9]+,0[)]$")
+                        | ((own == "DOUBLE") & F.coalesce(whole, F.lit(False))))
             if parameter in schema["required"]:
                 tests.append(F.when(missing, F.lit(f"{parameter}: missing")))
-            tests.append(F.when(~missing & ~own.isin(ACCEPTS[wanted]),
-                                F.lit(f"{parameter}: not {wanted}")))
+            tests.append(F.when(~missing & ~fits, F.lit(f"{parameter}: not {wanted}")))
         keys = F.json_object_keys(F.to_json(parsed))
         extra = F.transform(F.array_except(keys, F.lit(list(schema["properties"]))),
                             lambda k: F.concat(k, F.lit(": unknown")))

@@ -374,6 +374,20 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat.link(*[df.limit(0) for df in (messages, calls, results)], schemas).count() == 0
 
 
+def test_numbers_of_any_length_and_with_decimal_places_are_numbers(spark):
+    schemas = {"f": {"properties": {"x": "number", "i": "integer"}, "required": []}}
+    whole = ["7", "-7", "1.0", "9223372036854775808", "12345678901234567890", "-" + "9" * 38, "1" + "0" * 40]
+    other = ["1.5", "0.1", "-1.5e-3", "1e3", "1" * 30 + ".25"]
+    none = ['"1.5"', "true", "[1]", '{"a":1}']
+    cases = [(f'{{"{k}":{v}}}', k, v) for k in "xi" for v in whole + other + none]
+    got = spark.createDataFrame(cases, "a STRING, k STRING, v STRING").select(
+        "k", "v", chat.problems(F.lit("f"), F.col("a"), schemas).alias("wrong")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        fits = r["v"] in whole or r["k"] == "x" and r["v"] in other
+        assert r["wrong"] == ([] if fits else [f"{r['k']}: not {dict(x='number', i='integer')[r['k']]}"])
+
+
 # --- secrets
 
 def plain_base(text):
