@@ -325,6 +325,68 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+MIT_TEXT = """Copyright 2019 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+"""
+APACHE_HEADER = """Copyright 2021 The Example Authors.
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GNU_HEADER = """This file is part of Example.
+
+Example is free software; you can redistribute it and/or modify it under the
+terms of the GNU General Public License as published by the Free Software
+Foundation; either version 3 of the License, or (at your option) any later
+version.
+
+Example is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+
+def test_licence_texts_headers_and_spdx_lines_that_are_no_templates(spark):
+    code = "\nint main() { return 0; }\n"
+    hashed = "\n".join("# " + line for line in APACHE_HEADER.split("\n"))
+    starred = "/*\n" + "\n".join(" * " + line for line in GNU_HEADER.split("\n")) + "\n */"
+    older = "/*\n" + GNU_HEADER.replace("version 3", "version 2") + "\n*/"
+    apache = "Apache License\nVersion 2.0, January 2004\n\nTERMS AND CONDITIONS\n\n1. Definitions."
+    wanted = {
+        "mit/LICENSE": (MIT_TEXT, "MIT"), "mit/COPYING.txt": ("MIT License\n\nsee above", "MIT"),
+        "apache/LICENSE": (apache, "Apache-2.0"), "a/a.py": (hashed + code, "Apache-2.0"),
+        "a/b.c": (starred + code, "GPL-3.0"), "a/c.c": (older + code, "GPL-2.0"),
+        "a/d.rs": ("// SPDX-License-Identifier: MIT" + code, "MIT"),
+        "a/e.c": ("/* SPDX-License-Identifier: Apache-2.0 */" + code, "Apache-2.0"),
+        "a/f.c": ("x\n// SPDX-License-Identifier: LGPL-3.0-or-later\n", "LGPL-3.0"),
+        "a/g.md": ("# Tool\n\nThis project is licensed under the MIT License", "MIT"),
+        "a/h.html": ("<!--\n" + APACHE_HEADER + "\n-->" + code, "Apache-2.0"),
+        "a/i.c": ("/* SPDX-License-Identifier: BSD-4-Clause */" + code, None),
+        "a/j.c": ("/* Copyright 2020 Example Inc. All rights reserved. */" + code, None),
+        "a/k.c": ("/* Apache License, Version 1.1 */" + code, None)}
+    templates = {" ".join(text.split()) for _, text in licenses.library()}
+    assert not {" ".join(t.split()) for t in (MIT_TEXT, APACHE_HEADER, GNU_HEADER)} & templates
+    files = spark.createDataFrame([(p, t) for p, (t, _) in wanted.items()] + [("mit/x.py", "x")],
+                                  "path STRING, text STRING")
+    got = {r["path"]: r for r in licenses.scan(files).collect()}
+    assert {p: got[p]["licence"] for p in wanted} == {p: found for p, (_, found) in wanted.items()}
+    assert (got["mit/x.py"]["licence"], got["mit/x.py"]["origin"]) == ("MIT", "inherited")
+
+
 def test_hints_are_in_every_text_that_the_licence_pattern_finds(spark):
     texts = ["LICENSE", "a Licence", "sPdX-id", "(C) COPYRIGHT", "in the Public Domain", "",
              "Redistributions", "licen", "public  domain", "copy right", "\u0130 SPDX \u03a3",
