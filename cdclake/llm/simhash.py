@@ -17,6 +17,7 @@ SHINGLE, MAX_BITS, SEED = 3, 3, 42
 AXES = 16                                # two-bit segments of each half
 EVEN = 0x5555555555555555
 CHUNK = 1 << 16
+HASHES = ("hash_1", "hash_2")
 
 
 def shingle_hashes(text, size=SHINGLE):
@@ -39,16 +40,25 @@ def fingerprint(text, size=SHINGLE):
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs, size=SHINGLE):
-    """doc_id and fp of every row."""
+def fingerprints(docs, size=SHINGLE, hashed=False):
+    """doc_id and fp of every row, with two hashes of the text if `hashed`."""
     ship(docs.sparkSession)
+    hashes = HASHES if hashed else ()
 
     def run(batch):
         return {"doc_id": batch.column(0),
-                "fp": [fingerprint(t, size) for t in batch.column(1).to_pylist()]}
+                "fp": [fingerprint(t, size) for t in batch.column(1).to_pylist()],
+                **{name: batch.column(i) for i, name in enumerate(hashes, 2)}}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp long", run)
+    return map_batches(
+        docs.select("doc_id", "text", *[h.alias(n) for n, h in text_hashes().items() if n in hashes]),
+        ", ".join([f"doc_id {kind}", "fp long", *[f"{n} long" for n in hashes]]), run)
+
+
+def text_hashes():
+    """Two hashes of a text by name: 128 bits, so that different texts do not share both."""
+    return dict(zip(HASHES, (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))))
 
 
 def points(fps):
@@ -92,6 +102,15 @@ def links(fps, max_bits=MAX_BITS):
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def rooted(found, value, max_bits=MAX_BITS):
+    """fp, first (the least `value` of its rows) and root, the smallest fingerprint reachable
+    over links, of every different fingerprint of `found`."""
+    nodes = checkpointed(found.groupBy("fp").agg(F.min(value).alias("first")))
+    roots = components(links(nodes.select("fp"), max_bits))
+    return (nodes.join(roots, nodes["fp"] == roots["node"], "left")
+            .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
 def groups(docs, size=SHINGLE, max_bits=MAX_BITS):
     """doc_id, fp and component_id, the smallest id reachable over links, of every row.
 
@@ -101,10 +120,7 @@ def groups(docs, size=SHINGLE, max_bits=MAX_BITS):
     repeated rows are answered one by one. Other columns play no part.
     """
     found = checkpointed(fingerprints(docs, size))
-    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp"), max_bits))
-    placed = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    placed = rooted(found, F.col("doc_id"), max_bits)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -115,18 +131,19 @@ def hexadecimal(column):
 
 
 def keep_one_of_each(docs, size=SHINGLE, max_bits=MAX_BITS):
-    """Of each group the document with the smallest id, all columns as they are.
+    """Of each group the row with the smallest id, all columns as they are.
 
-    Of rows that share an id one stays, that whose text has the smallest hash. Rows without
-    an id cannot be told apart from others and stay.
+    Rows without an id come after all others. Of rows that share the smallest id of their
+    group that whose text has the smallest hashes stays, of those that share the text too any
+    one. Unrelated texts under one id are in different groups and all stay.
     """
-    from pyspark.sql import Window
-    named = docs.where("doc_id IS NOT NULL")
-    go = (groups(named, size, max_bits).where("doc_id <> component_id")
-          .select(F.col("doc_id").alias("gone")).distinct())
-    taken = set(docs.columns)
-    rank = next(n for n in ("_rank", "_rank_of_row", "_rank_of_row_") if n not in taken)
-    once = named.withColumn(rank, F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(f"{rank} = 1").drop(rank)
-    kept = once.join(go, once["doc_id"] == go["gone"], "left_anti")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    found = checkpointed(fingerprints(docs, size, hashed=True))
+    placed = rooted(found, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *HASHES),
+                    max_bits)
+    key = next(n for n in ("_key", "_key_of_row", "_key_of_row_") if n not in docs.columns)
+    least = placed.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = least.select(F.struct("first.doc_id", *[f"first.{h}" for h in HASHES]).alias(key))
+    own = F.struct("doc_id", *[h.alias(n) for n, h in text_hashes().items()])
+    # Struct keys: NULL ids are equal. Both steps use the same key, so texts move once.
+    kept = docs.withColumn(key, own).join(chosen, key, "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

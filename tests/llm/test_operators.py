@@ -162,6 +162,23 @@ def test_near_copies_of_edge_cases(spark, edge):
     assert simhash.keep_one_of_each(edge.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60)) for _ in range(5))
+    data = [(5, a), (5, c), (2, b), (5, b.upper()), (5, a), (None, d), (None, d), (None, c), (7, e),
+            (None, e), (7, None), (7, "")]
+    frame = spark.createDataFrame([(i, t, f"s{n}", "x") for n, (i, t) in enumerate(data)],
+                                  "doc_id LONG, text STRING, source STRING, _key STRING")
+    kept = simhash.keep_one_of_each(frame)
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    groups = {(r["text"] or "").lower(): r["doc_id"] for r in got}
+    assert len(got) == 6 and groups == {a: 5, c: 5, b: 2, d: None, e: 7, "": 7}
+    same = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat_ws(
+        " ", *[F.sha2(F.concat("id", F.lit(f"-{i}")), 256) for i in range(9)]).alias("text"))
+    assert simhash.keep_one_of_each(same).count() == 300
+
+
 # --- byte pairs
 
 @pytest.fixture(scope="module")
