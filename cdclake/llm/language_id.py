@@ -157,8 +157,8 @@ def train(docs, settings=Settings()):
     """A model from the columns `text` and `lang` of all rows given, or None.
 
     Document frequencies come from every row with a language. The weights come from about
-    `per_language` rows of each language, drawn at random; each fifth of these only sets
-    the temperature. Rows without text, letters or language teach nothing.
+    `per_language` rows of each language, drawn at random; each fifth of a language's only
+    sets the temperature. Rows without text, letters or language teach nothing.
     """
     s = settings
     docs = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
@@ -190,7 +190,7 @@ def train(docs, settings=Settings()):
     order = sorted(range(len(x)), key=lambda k: (langs[k], len(x[k][0]), x[k][0].tobytes(),
                                                  x[k][1].tobytes()))
     y, x = np.array([languages.index(langs[k]) for k in order]), [x[k] for k in order]
-    held = np.arange(len(x)) % 5 == 4
+    held = (np.arange(len(y)) - np.searchsorted(y, y)) % 5 == 4   # y is sorted
     fit = np.flatnonzero(~held)
     w = ftrl([x[i] for i in fit], y[fit], len(languages), len(idf) + 1, s)
     logits = np.array([x[i][1] @ w[x[i][0]] for i in np.flatnonzero(held)])
@@ -234,11 +234,14 @@ def identify(docs, model):
 
 
 def keep_identified(docs, model, least):
-    """Rows whose language is known with at least this score, all columns as they are."""
+    """Rows whose language is known with at least this score, all columns as they are; without
+    a model all rows that have letters."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def accept(texts):
+        if shared.value is None:
+            return [gram_counts(t, Settings()) is not None for t in texts]
         langs, scores = predict(shared.value, texts)
         return [lang != UNKNOWN and s >= least for lang, s in zip(langs, scores)]
 

@@ -74,6 +74,16 @@ def test_languages_of_edge_cases(spark, edge, docs):
     assert language_id.identify(edge.limit(0), model).count() == 0
 
 
+def test_without_languages_letters_decide_and_rare_languages_are_learned(spark, edge):
+    model = language_id.train(edge.withColumn("lang", F.lit(None).cast("string")))
+    kept = language_id.keep_identified(edge, model, 0.3)
+    assert model is None and kept.columns == edge.columns and kept.count() == edge.count() - 3
+    rare = [("abc def", "aa")] * 4 + [("ñandú zorro", "bb")] + [("wxyz uvw", "cc")] * 8
+    model = language_id.train(spark.createDataFrame(rare, "text STRING, lang STRING"),
+                              language_id.Settings(epochs=20))
+    assert language_id.predict(model, ["ñandú zorro"])[0] == ["bb"]
+
+
 def test_temperature_lowers_the_loss_and_penalties_make_weights_zero():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 200)
