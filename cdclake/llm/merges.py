@@ -10,6 +10,7 @@ from cdclake.llm.common import pieces
 NONE = np.int32(2 ** 31 - 1)
 LONG_WORD = 48
 CACHE_WORDS = 1_000_000
+CACHE_BYTES = 32_000_000
 
 
 def byte_symbols():
@@ -175,10 +176,11 @@ def ragged(starts, counts):
 class Encoder:
     """Texts cut into fragments that are encoded independently, each different one once.
 
-    `cut` says for each pair of bytes whether the text may be cut between them. Fragments
-    are told apart by 64-bit hashes; the ids of those met before are kept, up to
-    `CACHE_WORDS` fragments, then forgotten together. `words(fragment)` gives the words in
-    which a fragment's bytes may merge.
+    `cut` says for each pair of bytes whether the text may be cut between them. The ids of
+    fragments met before are kept, up to `CACHE_WORDS` fragments or `CACHE_BYTES` of their
+    text, then forgotten together. They are found by a 64-bit hash, and the bytes of every
+    fragment are compared with those that the hash found: one that only shares the hash is
+    encoded by itself. `words(fragment)` gives the words in which a fragment's bytes may merge.
     """
 
     def __init__(self, path, cut):
@@ -203,8 +205,9 @@ class Encoder:
 
     def _forget(self):
         self.keys = np.zeros(0, np.uint64)
-        self.starts = self.counts = np.zeros(0, np.int64)
+        self.starts = self.counts = self.places = self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.text = np.zeros(0, np.uint8)
 
     def _hashes(self, data, starts, ends):
         if len(data) > len(self.up):
@@ -215,21 +218,32 @@ class Encoder:
         h ^= h >> np.uint64(29)
         return (h + (ends - starts).astype(np.uint64)) * self.base
 
-    def _learn(self, keys, fragments):
+    def _merged(self, fragments):
+        """Ids of the fragments in a row, where each one's begin and how many it has."""
         words = [self.words(f) for f in fragments]
         ids, counts = self.merges.encode([w for own in words for w in own])
         ends = np.concatenate([[0], np.cumsum(counts)])
         of_fragment = np.cumsum([0, *map(len, words)])
         starts = ends[of_fragment[:-1]]
-        counts = ends[of_fragment[1:]] - starts
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            return False, (starts, counts, ids)
+        return ids, starts, ends[of_fragment[1:]] - starts
+
+    def _learn(self, keys, fragments):
+        """Keep the ids of new fragments; False if there is no room."""
+        sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
+        if (len(self.keys) + len(keys) > CACHE_WORDS
+                or len(self.text) + int(sizes.sum()) > CACHE_BYTES):
+            return False
+        ids, starts, counts = self._merged(fragments)
         at = np.searchsorted(self.keys, keys)
+        places = np.cumsum(sizes) - sizes + len(self.text)
         self.starts = np.insert(self.starts, at, starts + len(self.ids))
         self.counts = np.insert(self.counts, at, counts)
+        self.places = np.insert(self.places, at, places)
+        self.sizes = np.insert(self.sizes, at, sizes)
         self.keys = np.insert(self.keys, at, keys)
         self.ids = np.concatenate([self.ids, ids])
-        return True, None
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(fragments), np.uint8)])
+        return True
 
     def _lookup(self, keys):
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
@@ -256,27 +270,52 @@ class Encoder:
         new = np.r_[True, ordered[1:] != ordered[:-1]]
         keys, inverse = ordered[new], np.empty(len(h), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        at, known = self._lookup(keys)
-        if not known.all():
-            example = order[new]
+        example = order[new]
 
-            def fragments(chosen):
-                return [data[i:j] for i, j in zip(starts[chosen].tolist(), ends[chosen].tolist())]
+        def fragments(chosen):
+            return [data[i:j] for i, j in zip(starts[chosen].tolist(), ends[chosen].tolist())]
 
-            kept, own = self._learn(keys[~known], fragments(example[~known]))
+        at, known = self._lookup(keys)
+        kept = True
+        if not known.all():
+            kept = self._learn(keys[~known], fragments(example[~known]))
             if not kept:
                 self._forget()
-                kept, own = self._learn(keys, fragments(example))
-            if kept:
-                at, _ = self._lookup(keys)
-        if known.all() or kept:
-            run_starts, run_counts, ids = self.starts[at], self.counts[at], self.ids
+                kept = self._learn(keys, fragments(example))
+            at, _ = self._lookup(keys)
+        if kept:
+            text, ids, places, sizes, run_starts, run_counts = (
+                self.text, self.ids, self.places[at], self.sizes[at], self.starts[at],
+                self.counts[at])
+        else:
+            ids, run_starts, run_counts = self._merged(fragments(example))
+            text, places, sizes = b, starts[example], (ends - starts)[example]
+        ids, run_starts, run_counts = self._checked(
+            b, starts, ends, text, places[inverse], sizes[inverse], ids, run_starts[inverse],
+            run_counts[inverse], fragments)
+        total = np.concatenate([[0], np.cumsum(run_counts)])
+        return ids[ragged(run_starts, run_counts)], total[np.searchsorted(starts, edges[1:])]
+
+    def _checked(self, b, starts, ends, text, places, sizes, ids, run_starts, run_counts,
+                 fragments):
+        """Where the fragment that a hash found has other bytes, the right ids instead."""
+        own = ends - starts
+        other = own != sizes
+        at = np.repeat(np.where(other, starts, places) - starts, own) + np.arange(len(b))
+        if other.any():  # of another length: compared with itself, as it is replaced anyway
+            alike = np.repeat(other, own)
+            at[alike] = 0
+            alike |= text[at] == b
         else:
-            run_starts, run_counts, ids = own
-        counts = run_counts[inverse]
-        total = np.concatenate([[0], np.cumsum(counts)])
-        return (ids[ragged(run_starts[inverse], counts)],
-                total[np.searchsorted(starts, edges[1:])])
+            alike = text[at] == b
+        other |= ~np.logical_and.reduceat(alike, starts)
+        wrong = np.flatnonzero(other)
+        if len(wrong):
+            more, begins, counts = self._merged(fragments(wrong))
+            run_starts, run_counts = run_starts.copy(), run_counts.copy()
+            run_starts[wrong], run_counts[wrong] = begins + len(ids), counts
+            ids = np.concatenate([ids, more])
+        return ids, run_starts, run_counts
 
     def encode(self, texts):
         """Ids of each text as an array; the text of a special token becomes its id."""
