@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from cdclake.llm import (
-    bpe, chat, hnsw, language_id, licenses, order_minhash, packing, secrets, simhash, toxicity)
+    bpe, chat, hnsw, language_id, licenses, merkle, order_minhash, packing, secrets, simhash,
+    toxicity)
 from cdclake.llm.common import read, remainder
 
 QUERIES, ORACLES = {}, {}
@@ -92,6 +93,13 @@ def op7_chat_format(spark, sf_dir):
     return chat.link(*chat.question_calls(read(spark, sf_dir, "conversations")), chat.SCHEMAS)
 
 
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    """Every document's leaf, the roots above it, its proof and whether it still folds to them."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.sql()
 ORACLES["op6_license_scan"] = licenses.sql()
 ORACLES["op7_chat_format"] = chat.SQL
 
