@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from cdclake.llm import (
-    bpe, chat, hnsw, language_id, licenses, merkle, order_minhash, packing, secrets, simhash,
-    toxicity)
+    bpe, chat, hnsw, inner_products, language_id, licenses, merkle, order_minhash, packing,
+    secrets, simhash, toxicity)
 from cdclake.llm.common import read, remainder
 
 QUERIES, ORACLES = {}, {}
@@ -93,6 +93,17 @@ def op7_chat_format(spark, sf_dir):
     return chat.link(*chat.question_calls(read(spark, sf_dir, "conversations")), chat.SCHEMAS)
 
 
+@query
+def op11_top_k(spark, sf_dir):
+    """The 5 rows of `embeddings` with the highest integer inner product for each id divisible
+    by 50."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return inner_products.search(inner_products.index(vectors), vectors.where("vec_id % 50 = 0"))
+
+
+ORACLES["op11_top_k"] = inner_products.SQL
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     """Every document's leaf, the roots above it, its proof and whether it still folds to them."""
