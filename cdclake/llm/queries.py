@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from cdclake.llm import (
-    bpe, chat, hnsw, inner_products, language_id, licenses, merkle, order_minhash, packing,
-    secrets, simhash, toxicity)
+    alignment, bpe, chat, hnsw, inner_products, language_id, licenses, merkle, order_minhash,
+    packing, secrets, simhash, toxicity)
 from cdclake.llm.common import read, remainder
 
 QUERIES, ORACLES = {}, {}
@@ -104,6 +104,13 @@ def op11_top_k(spark, sf_dir):
 ORACLES["op11_top_k"] = inner_products.SQL
 
 
+@query
+def op12_token_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers align in every document."""
+    return alignment.align(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"),
+                           tokenizer("piece_bpe_32k.model"))
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     """Every document's leaf, the roots above it, its proof and whether it still folds to them."""
