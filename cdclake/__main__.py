@@ -19,6 +19,10 @@ def _ingest(spark, cfg, args):
     jobs.run_ingest(spark, cfg, once=args.once)
 
 
+def _maintain(spark, cfg, args):
+    jobs.run_maintain(spark, cfg, once=args.once)
+
+
 def _refresh(spark, cfg, args):
     jobs.run_pipeline(spark, cfg).show(truncate=False)
 
@@ -34,7 +38,8 @@ def _demo(spark, cfg, args):
     rows.show(truncate=False)
 
 
-JOBS = {"generate": _generate, "ingest": _ingest, "refresh": _refresh, "etl": _etl, "demo": _demo}
+JOBS = {"generate": _generate, "ingest": _ingest, "maintain": _maintain, "refresh": _refresh,
+        "etl": _etl, "demo": _demo}
 
 
 def main(argv=None, spark=None):

@@ -20,5 +20,5 @@ def query(name, sql=None, **common):
 
 def load():
     from cdclake.checks import (  # noqa: F401
-        expressions, lakehouse, layers, monitoring, relational)
+        expressions, incremental, lakehouse, layers, monitoring, relational)
     return QUERIES, ORACLES

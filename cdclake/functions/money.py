@@ -13,14 +13,15 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 PLACES = 4
-# A double is off by far less than this share of itself after one multiplication.
-SLACK = 1e-12
+# A price is off by half a unit in the last place of its double, its product by another half:
+# together at most 2^-52 of it. Twice that still tells apart what doubles can hold.
+SLACK = 2.0 ** -51
 
 
 def minor_units(amount, digits=PLACES):
     scaled = amount.cast("double") * F.lit(float(10 ** digits))
     units = F.round(scaled)
-    fits = F.abs(scaled - units) <= F.greatest(F.abs(scaled), F.lit(1.0)) * SLACK
+    fits = F.abs(scaled - units) <= F.abs(scaled) * SLACK
     return F.when(fits | amount.isNull(), units.cast("bigint")).otherwise(F.raise_error(F.concat(
         amount.cast("string"), F.lit(f" has more than {digits} decimal places"))).cast("bigint"))
 

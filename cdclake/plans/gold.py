@@ -61,8 +61,10 @@ def gold_top_products(items, products, digits=PLACES):
     margin = sum(quantity * (price - cost)); the cost is one value per product, so it is
     revenue less cost times the units that have a price.
     """
-    price, quantity = minor_units(F.col("unit_price"), digits), F.col("quantity")
-    sold = items.groupBy("product_id").agg(
+    price, quantity = F.col("price"), F.col("quantity")
+    priced = items.select("product_id", "quantity",
+                          minor_units(F.col("unit_price"), digits).alias("price"))
+    sold = priced.groupBy("product_id").agg(
         F.sum("quantity").alias("units"),
         F.sum(quantity * price).alias("amount"),
         F.sum(F.when(price.isNotNull(), quantity)).alias("priced"))

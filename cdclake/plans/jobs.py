@@ -1,5 +1,6 @@
 """Jobs: ingest, full refresh of silver and gold behind a quality gate, and a small ETL."""
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
@@ -7,13 +8,16 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from cdclake.contracts import SILVER
+from cdclake.functions.money import PLACES
 from cdclake.operators import quality as Q
 from cdclake.operators.changes import TOPIC_PREFIX
 from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import APPLY, IGNORE
 from cdclake.plans import dashboards, gold
+from cdclake.plans.incremental import LiveMarts
 from cdclake.plans.silver import build_silver
 from cdclake.session import prepare, settings, shared_dir
+from cdclake.sinks.state_table import Folder
 from cdclake.sinks.tables import append, ensure_namespace, recreate_table, replace_table
 from cdclake.sources.files import inline_rows
 from cdclake.streaming.ingest import TRIGGER, ensure_bronze, ingest, read_change_stream
@@ -47,6 +51,8 @@ class LakeConfig:
     checkpoint: str = ""        # by default in the shared folder
     sink_options: tuple = ()    # (name, value) pairs for the stream's writer
     shuffle_partitions: int = 0  # width of a refresh's shuffles; 0 for the session's
+    digits: int = PLACES        # decimal places of a price that the marts keep
+    buckets: int = 64           # of every table that is kept up to date by change
 
     def namespace(self, spark, name):
         ensure_namespace(spark, name, f"{self.warehouse}/{name}" if self.warehouse else None)
@@ -75,12 +81,13 @@ def build_gold_layer(spark, cfg):
     staged = f"{cfg.namespace(spark, cfg.staging)}.order_totals"
     silver = {c.table: spark.table(f"{cfg.silver}.{c.table}") for c in SILVER}
     orders, items = silver["orders"], silver["order_items"]
-    replace_table(gold.order_totals(items), staged, cfg.fmt)
+    digits = int(cfg.digits)
+    replace_table(gold.order_totals(items, digits), staged, cfg.fmt)
     totals = spark.table(staged)
     marts = {
-        "daily_revenue": gold.daily_revenue(orders, totals),
-        "top_products": gold.gold_top_products(items, silver["products"]),
-        "customer_ltv": gold.customer_ltv(silver["customers"], orders, totals),
+        "daily_revenue": gold.daily_revenue(orders, totals, digits),
+        "top_products": gold.gold_top_products(items, silver["products"], digits),
+        "customer_ltv": gold.customer_ltv(silver["customers"], orders, totals, digits),
     }
     replace_all({f"{cfg.gold}.{name}": mart for name, mart in marts.items()}, cfg.fmt)
 
@@ -158,6 +165,34 @@ def run_ingest(spark, cfg, once=False):
     return query
 
 
+def live_marts(spark, cfg):
+    """The tables kept up to date by change, in a folder of the warehouse or the shared one."""
+    return LiveMarts(spark, f"{cfg.warehouse or shared_dir(spark)}/live", cfg.deletes,
+                     int(cfg.digits), int(cfg.buckets))
+
+
+def run_maintain(spark, cfg, once=False):
+    """Silver state and marts kept up to date from the bronze table as it grows, each batch
+    rewriting only what it touches; until stopped, or with `once` what is there now."""
+    prepare(spark)
+    marts = live_marts(spark, cfg)
+    checkpoint = f"{cfg.checkpoint or shared_dir(spark) + '/streams/' + cfg.bronze}-live"
+    folder = Folder(spark, checkpoint)
+
+    def apply(rows, batch):
+        # Batches are numbered per query, so a new checkpoint counts from 0 under a new id.
+        stream = json.loads(folder.read("metadata"))["id"]
+        marts.apply(rows, batch, f"stream {stream}")
+
+    writer = (spark.readStream.table(cfg.bronze).writeStream.foreachBatch(apply)
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(
+        processingTime=cfg.trigger)
+    query = writer.start()
+    query.awaitTermination()
+    return marts
+
+
 # Fixed values of the demo table.
 DEMO_DDL = "id BIGINT, name STRING, amount DOUBLE, ts TIMESTAMP"
 DEMO_ROWS = [(1, "alpha", 100.0), (2, "bravo", 250.5), (3, "charlie", 75.25), (4, "delta", 500.0)]

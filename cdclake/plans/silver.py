@@ -15,29 +15,40 @@ def _key_text(contract):
     return F.get_json_object("after", f"$.{contract.key_image}")
 
 
+def change_key(contract, deletes=IGNORE):
+    """The key of a log row, as text. Where deletes are applied, one without a key fails the
+    build: it would leave its row."""
+    key = _key_text(contract)
+    if deletes != APPLY:
+        return key
+    return F.when((F.col("op") == "d") & key.isNull(), F.raise_error(F.lit(
+        f"a delete of {contract.table} has no key; ingest with deletes = apply")).cast(
+            "string")).otherwise(key)
+
+
 def newest_images(bronze, contract, deletes=IGNORE):
     """Newest row image per key, its fields as text.
 
     Only the key is read from every image; the other fields are parsed once, for the one
     image per key that is left. `seq`, where the log has it, is the source's own order.
-    Where deletes are applied, one without a key fails the build: it would leave its row.
     """
     order = [c for c in ("ts_ms", "seq", "ingest_ts") if c in bronze.columns]
-    key = _key_text(contract)
-    if deletes == APPLY:
-        key = F.when((F.col("op") == "d") & key.isNull(), F.raise_error(F.lit(
-            f"a delete of {contract.table} has no key; ingest with deletes = apply")).cast(
-                "string")).otherwise(key)
+    key = change_key(contract, deletes)
     log = bronze.where(F.col("table_name") == contract.table).select(
         key.alias(_KEY), "op", *order, "after")
     newest = latest_by_key(log, _KEY, order + ["after"], deletes)
     return newest.select(F.from_json("after", contract.text_schema).alias("row")).select("row.*")
 
 
+def typed(image, contract):
+    """A parsed image's fields in the contract's types; a value that does not fit fails."""
+    return [image[f.image].cast(f.type).alias(f.name) for f in contract.fields]
+
+
 def build_silver(bronze, contract, deletes=IGNORE):
     """Current state in the contract's types; a value that cannot be cast fails the build."""
-    return newest_images(bronze, contract, deletes).select(
-        *[F.col(f.image).cast(f.type).alias(f.name) for f in contract.fields])
+    images = newest_images(bronze, contract, deletes)
+    return images.select(F.struct("*").alias("row")).select(*typed(F.col("row"), contract))
 
 
 def state_as_of(bronze, contract, ts_ms, deletes=IGNORE):

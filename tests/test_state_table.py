@@ -1,0 +1,177 @@
+"""State in buckets: untouched files, batches run twice, failures, versions, feeds."""
+
+import os
+import random
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from cdclake.contracts import ORDERS
+from cdclake.operators.state import latest_by_key
+from cdclake.plans import silver
+from cdclake.plans.snapshots import StateIndex
+from cdclake.session import settings
+from cdclake.sinks.state_table import StateTable
+
+DDL = "id BIGINT, op STRING, ts BIGINT, value STRING"
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return StateTable(spark, str(tmp_path / "state"), DDL, "id", 8)
+
+
+def files(table):
+    found = {}
+    for at, _, names in os.walk(f"{table.root}/rows"):
+        for name in names:
+            path = os.path.join(at, name)
+            found[path] = (os.stat(path).st_mtime_ns, os.stat(path).st_size)
+    return found
+
+
+def log(spark, data):
+    return spark.createDataFrame(data, DDL)
+
+
+def test_any_pieces_in_any_order_give_the_state_of_the_whole_log(spark, table):
+    draw = random.Random(4)
+    data = [(draw.choice([None, *range(30)]), draw.choice("cud"), draw.randrange(9),
+             draw.choice(["x", "y", None])) for _ in range(400)]
+    for batch in range(4):
+        assert table.upsert(log(spark, data[batch * 100:batch * 100 + 100]), ["ts"], {"s": batch})
+    whole = latest_by_key(log(spark, data), "id", "ts", None)
+    assert rows(table.read()) == rows(whole)
+
+
+def test_only_touched_buckets_are_written(spark, table):
+    table.upsert(log(spark, [(i, "c", 1, "a") for i in range(200)]), ["ts"], {"s": 0})
+    before, old = files(table), table.commit()
+    assert len(old.buckets) == 8
+    table.upsert(log(spark, [(7, "u", 2, "b")]), ["ts"], {"s": 1})
+    now = table.commit()
+    assert before.items() <= files(table).items()
+    assert sum(now.buckets[b] != v for b, v in old.buckets.items()) == 1
+    assert rows(table.feed(1)) == [((7, "c", 1, "a"), (7, "u", 2, "b"))]
+    # A late change and one that is there already rewrite nothing.
+    table.upsert(log(spark, [(7, "u", 1, "z"), (8, "c", 1, "a")]), ["ts"], {"s": 2})
+    assert table.commit().buckets == now.buckets and rows(table.feed(2)) == []
+    assert rows(table.read(version=1)) == rows(log(spark, [(i, "c", 1, "a") for i in range(200)]))
+
+
+def test_a_batch_run_twice_counts_once(spark, table):
+    table.upsert(log(spark, [(1, "c", 1, "a")]), ["ts"], {"s": 0})
+    assert not table.upsert(log(spark, [(1, "c", 5, "other")]), ["ts"], {"s": 0})
+    assert rows(table.read()) == [(1, "c", 1, "a")]
+    assert table.upsert(log(spark, [(1, "u", 5, "b")]), ["ts"], {"another stream": 0})
+    assert rows(table.read()) == [(1, "u", 5, "b")]
+
+
+def test_a_batch_that_fails_before_its_commit_leaves_the_table(spark, table, monkeypatch):
+    table.upsert(log(spark, [(i, "c", 1, "a") for i in range(20)]), ["ts"], {"s": 0})
+    whole = rows(table.read())
+
+    def fails(name, text):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(table.folder, "write_new", fails)
+        with pytest.raises(RuntimeError):
+            table.upsert(log(spark, [(1, "u", 2, "b"), (99, "c", 2, "n")]), ["ts"], {"s": 1})
+    assert rows(table.read()) == whole
+    table.upsert(log(spark, [(1, "u", 2, "b")]), ["ts"], {"s": 1})
+    assert rows(table.read().where("ts = 2")) == [(1, "u", 2, "b")]
+    assert table.read().count() == 20
+
+
+def test_a_second_writer_of_a_version_is_refused(spark, table):
+    table.folder.write_new("commits/1.json", "{}")
+    with pytest.raises(FileExistsError):
+        table.folder.write_new("commits/1.json", "{}")
+
+
+def test_rows_go_and_empty_buckets_with_them(spark, table):
+    table.replace(log(spark, [(1, "c", 1, "a"), (2, "c", 1, "a")]))
+    table.replace(log(spark, [(1, "d", 1, "a"), (5, "d", 1, "a")]), gone=F.col("op") == "d")
+    assert rows(table.read()) == [(2, "c", 1, "a")] and len(table.commit().buckets) == 1
+    assert rows(table.feed(1)) == [((1, "c", 1, "a"), None)]
+    table.replace(log(spark, [(2, "d", 1, "a")]), gone=F.col("op") == "d")
+    assert rows(table.read()) == [] and table.commit().version == 3
+
+
+def test_sums_and_their_end(spark, tmp_path):
+    sums = StateTable(spark, str(tmp_path / "sums"), "k STRING, rows BIGINT, amount BIGINT", "k", 4)
+
+    def add(data, batch):
+        return sums.add(spark.createDataFrame(data, sums.schema), {"s": batch})
+
+    add([("a", 2, 10), (None, 1, 5)], 0)
+    add([("a", -1, -4), ("b", 1, 1), (None, -1, -5)], 1)
+    assert not add([("a", 5, 5)], 1)
+    assert rows(sums.read()) == [("a", 1, 6), ("b", 1, 1)]
+
+
+def test_vacuum_keeps_what_kept_versions_need(spark, table):
+    for batch in range(4):
+        table.upsert(log(spark, [(i, "c", batch, "a") for i in range(batch, 30)]), ["ts"],
+                     {"s": batch})
+    last, before = rows(table.read()), rows(table.read(version=3))
+    count = len(files(table))
+    table.vacuum(keep=2, feed_from=3)
+    assert rows(table.read()) == last and rows(table.read(version=3)) == before
+    assert len(files(table)) < count and table.folder.names("feed") == ["version=4"]
+    assert table.folder.names("commits") == ["3.json", "4.json"]
+
+
+# --- time travel from periodic states
+
+BRONZE = "table_name STRING, op STRING, ts_ms BIGINT, after STRING, ingest_ts TIMESTAMP"
+
+
+def orders_log(spark, count, seed):
+    draw = random.Random(seed)
+    data = []
+    for at in range(count):
+        key, ts = draw.randrange(25), draw.randrange(1000)
+        data.append(("orders", draw.choice("ccud"), ts,
+                     f'{{"order_id": {key}, "status": "s{draw.randrange(4)}"}}', 1_000 + at // 50))
+    return spark.createDataFrame(data, BRONZE.replace("ingest_ts TIMESTAMP", "t BIGINT")).select(
+        "table_name", "op", "ts_ms", "after", F.timestamp_seconds("t").alias("ingest_ts"))
+
+
+@pytest.mark.parametrize("deletes", ["ignore", "apply"])
+def test_states_and_the_log_after_them_give_the_scan(spark, tmp_path, deletes):
+    whole = orders_log(spark, 300, 8).cache()
+    early = whole.where(F.col("ingest_ts") < F.timestamp_seconds(F.lit(1_003)))
+    index = StateIndex(spark, str(tmp_path / "index"), ORDERS, deletes)
+    index.take(early, 300)         # half of the log comes later, much of it older than this
+    index.take(early, 600)
+    assert index.times() == [300, 600]
+    for at in (100, 300, 450, 600, 999):
+        assert rows(index.state_as_of(whole, at)) == rows(
+            silver.state_as_of(whole, ORDERS, at, deletes)), at
+
+
+def test_only_the_log_after_the_state_is_read(spark, tmp_path):
+    whole = orders_log(spark, 200, 9)
+    whole = whole.withColumn("ingest_ts", F.timestamp_seconds("ts_ms"))
+    index = StateIndex(spark, str(tmp_path / "index"), ORDERS)
+    index.take(whole.where("ts_ms <= 700"), 700)
+    path = str(tmp_path / "log")
+    whole.where("ts_ms > 700").write.parquet(path)   # what came before is not there any more
+    tail = spark.read.parquet(path)
+    with settings(spark, {"spark.sql.maxMetadataStringLength": "3000"}):
+        got = index.state_as_of(tail, 900)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(silver.state_as_of(whole, ORDERS, 900))
+    assert "Or(GreaterThan(ts_ms,700),GreaterThan(ingest_ts," in plan
+
+
+def test_a_state_of_an_empty_log(spark, tmp_path):
+    index = StateIndex(spark, str(tmp_path / "index"), ORDERS)
+    empty = orders_log(spark, 10, 1).where("false")
+    index.take(empty, 500)
+    whole = orders_log(spark, 60, 2)
+    assert rows(index.state_as_of(empty, 500)) == []
+    assert rows(index.state_as_of(whole, 800)) == rows(silver.state_as_of(whole, ORDERS, 800))
