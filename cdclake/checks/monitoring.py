@@ -70,10 +70,10 @@ def panel(t):
 
 
 @query("g2_lineage_edges", """
-    SELECT DISTINCT job, 'input' AS role, input AS dataset FROM s_edges
-    UNION ALL SELECT DISTINCT job, 'output', output FROM s_edges""")
+    SELECT job, version, 'input' AS role, unnest(ins) AS dataset FROM s_versions
+    UNION ALL SELECT job, version, 'output', unnest(outs) FROM s_versions""")
 def edges(t):
-    return G.lineage_edges(t.lineage()).select("job", "role", "dataset").distinct()
+    return G.lineage_edges(t.lineage())
 
 
 _GRAPH = """

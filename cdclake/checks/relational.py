@@ -458,13 +458,13 @@ def suite(t):
 
 
 @query("q7_gold_suite", """
-    SELECT 'daily_revenue has rows' AS "check", CAST(count(*) AS DOUBLE) AS observed,
+    SELECT 'daily_revenue: row count' AS "check", CAST(count(*) AS DOUBLE) AS observed,
            count(*) >= 1 AS passed FROM g_daily_revenue
-    UNION ALL SELECT 'all revenue is non-negative', CAST(count(*) AS DOUBLE), count(*) = 0
+    UNION ALL SELECT 'daily_revenue: revenue < 0', CAST(count(*) AS DOUBLE), count(*) = 0
               FROM g_daily_revenue WHERE revenue < 0
-    UNION ALL SELECT 'no null product in top_products', CAST(count(*) AS DOUBLE), count(*) = 0
+    UNION ALL SELECT 'top_products: product_id is not null', CAST(count(*) AS DOUBLE), count(*) = 0
               FROM g_top_products WHERE product_id IS NULL
-    UNION ALL SELECT 'customer_ltv covers all customers', CAST(d AS DOUBLE), d = 0
+    UNION ALL SELECT 'customer_ltv: as many rows as customers', CAST(d AS DOUBLE), d = 0
               FROM (SELECT (SELECT count(*) FROM g_customer_ltv)
                            - (SELECT count(*) FROM s_customers) AS d)""")
 def gold_suite(t):

@@ -230,6 +230,19 @@ CTES = {
         LEFT JOIN s_items i ON o.order_id = i.order_id GROUP BY ALL""",
     "s_samples": """
         SELECT ts, user_id, event_type, value FROM events""",
+    "s_versions": """
+        SELECT *, md5('{"job":"' || job || '","ins":["' || array_to_string(ins, '","')
+                      || '"],"outs":["' || array_to_string(outs, '","') || '"]}') AS version
+        FROM (
+          SELECT DISTINCT 'shop.ship' AS job,
+                 list_sort(['part.' || l_partkey, 'supplier.' || l_suppkey]) AS ins,
+                 ['order.' || l_orderkey] AS outs FROM lineitem
+          UNION SELECT 'shop.sell', ['order.' || o_orderkey], ['customer.' || o_custkey]
+                FROM orders
+          UNION SELECT 'shop.settle', ['customer.' || c_custkey], ['nation.' || c_nationkey]
+                FROM customer
+          UNION SELECT 'shop.belong', ['nation.' || n_nationkey], ['region.' || n_regionkey]
+                FROM nation)""",
     "s_edges": """
         SELECT 'shop.ship' AS job, 'part.' || l_partkey AS input, 'order.' || l_orderkey AS output
         FROM lineitem

@@ -5,10 +5,11 @@ import uuid
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cdclake.session import materialised
+from cdclake.session import shared_dir
+from cdclake.sinks.state_table import Folder
 from cdclake.sinks.tables import append, ensure_table
 
 _DATASET = "STRUCT<namespace: STRING, name: STRING>"
@@ -73,41 +74,99 @@ def lineage_edges(events):
                            .alias("version"), F.inline(both))
 
 
-def _hop(level, edges, at, to):
-    """Ends `to` of the edges whose end `at` is in the level. The level has been written, so
-    the planner knows its size and sends a small one to the edges."""
-    return edges.join(level.select(at), at, "left_semi").select(to).distinct()
+ENTER, LEAVE = "enter", "leave"
+# Which role leads into a job and which out of it, by direction.
+SHARES = 2
+ROLES = {"downstream": ("input", "output"), "upstream": ("output", "input")}
 
 
-def _reach(edges, start, enter, leave):
-    edges = materialised(edges.select("version", "dataset", "role"))
-    into, out = (edges.where(F.col("role") == role) for role in (enter, leave))
-    level = edges.sparkSession.range(1).select(F.lit(start).alias("dataset"),
-                                               F.lit(0).alias("depth"))
-    seen, depth = level, 0
-    while True:
-        depth += 1
-        versions = materialised(_hop(level, into, "dataset", "version"))
-        if versions.isEmpty():
-            return seen.where(F.col("depth") > 0)
-        level = materialised(
-            _hop(versions, out, "version", "dataset").join(seen, "dataset", "left_anti")
-            .withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            return seen.where(F.col("depth") > 0)
-        seen = seen.unionByName(level)
+class Adjacency:
+    """Edges stored by the end they are looked up by, in hash buckets, written once.
 
+        root/<direction>/step=enter/_bucket=3   from a dataset to versions of jobs
+        root/<direction>/step=leave/_bucket=5   from a version to datasets
 
-def upstream(edges, dataset):
-    """All datasets that `dataset` is made from, with the least number of jobs between.
-
-    Goes level by level; every level is one pair of joins over the whole edge table,
-    reduced to datasets not seen before, so diamonds and cycles end. Each level is
-    materialised in the shared folder.
+    A step of a walk reads the buckets its frontier falls into and no others, and the frontier
+    says which while it is written. A walk goes level by level; a level holds datasets not met
+    before, so diamonds and cycles end.
     """
-    return _reach(edges, dataset, "output", "input")
+
+    def __init__(self, spark, root, buckets=8):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.folder = Folder(spark, self.root)
+
+    def _bucket(self, column):
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def write(self, edges, directions=tuple(ROLES)):
+        """Store the edges for walks in some directions. Each is dealt by its bucket and a few
+        shares of its other end, so that the edges of one crowded dataset are several tasks."""
+        for direction in directions:
+            enters = F.col("role") == ROLES[direction][0]
+            ends = [F.col("dataset"), F.col("version")]
+            (edges.select(F.when(enters, ENTER).otherwise(LEAVE).alias("step"),
+                          F.when(enters, ends[0]).otherwise(ends[1]).alias("at"),
+                          F.when(enters, ends[1]).otherwise(ends[0]).alias("to"))
+             .withColumn("_bucket", self._bucket("at"))
+             .repartition("step", "_bucket", F.pmod(F.xxhash64("to"), F.lit(SHARES)))
+             .write.mode("overwrite").partitionBy("step", "_bucket")
+             .parquet(f"{self.root}/{direction}"))
+        return self
+
+    def _write(self, rows, folder):
+        """Write a frontier; returns it and the buckets that it falls into."""
+        seen = Observation()
+        (rows.observe(seen, F.collect_set(self._bucket(rows.columns[0])).alias("buckets"))
+         .write.parquet(f"{self.root}/{folder}"))
+        return (self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}"),
+                seen.get["buckets"])
+
+    def _step(self, direction, step, level, only):
+        """The other ends of the stored edges of a frontier, from its buckets alone."""
+        folder = f"{direction}/step={step}"
+        paths = [f"{self.root}/{folder}/{n}" for n in self.folder.names(folder)
+                 if "=" in n and int(n.split("=")[1]) in only]
+        if not paths:
+            return None
+        edges = self.spark.read.schema("at STRING, to STRING").parquet(*paths)
+        return edges.join(level.toDF("at"), "at", "left_semi").select("to").distinct()
+
+    def walk(self, start, direction):
+        """(dataset, depth) of all that is reached from `start`, by the least number of jobs."""
+        run, first = f"walk-{uuid.uuid4().hex}", self.spark.createDataFrame(
+            [(start,)], "dataset STRING")
+        level, only = first, first.agg(F.collect_set(self._bucket("dataset"))).head()[0]
+        levels = [first]
+        while only:
+            versions = self._step(direction, ENTER, level, set(only))
+            if versions is None:
+                break
+            via, passed = versions, range(self.buckets)
+            if len(only) * 2 < self.buckets:  # else its versions are about everywhere, too
+                via, passed = self._write(versions, f"{run}/versions-{len(levels)}")
+            found = self._step(direction, LEAVE, via, set(passed))
+            if found is None:
+                break
+            found = found.toDF("dataset").join(
+                reduce(DataFrame.unionByName, levels), "dataset", "left_anti")
+            level, only = self._write(found, f"{run}/level-{len(levels)}")
+            levels.append(level)
+        return reduce(DataFrame.unionByName, [
+            df.withColumn("depth", F.lit(n)) for n, df in enumerate(levels)]).where("depth > 0")
+
+
+def _stored(edges, direction):
+    spark = edges.sparkSession
+    root = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
+    return Adjacency(spark, root).write(edges, [direction])
+
+
+def upstream(edges, dataset):
+    """All datasets that `dataset` is made from, with the least number of jobs between. Stores
+    the edges for this direction first; keep an `Adjacency` to walk more than once."""
+    return _stored(edges, "upstream").walk(dataset, "upstream")
 
 
 def downstream(edges, dataset):
     """All datasets made from `dataset`; see `upstream`."""
-    return _reach(edges, dataset, "input", "output")
+    return _stored(edges, "downstream").walk(dataset, "downstream")

@@ -96,11 +96,11 @@ def gold_checks(daily, products, ltv, customers):
     """Results of all checks of the gold layer."""
     return (
         Q.run_suite(daily, [
-            Q.row_count_between(1, name="daily_revenue has rows"),
-            Q.no_rows_where(F.col("revenue") < 0, "all revenue is non-negative")])
+            Q.row_count_between(1, name="daily_revenue: row count"),
+            Q.no_rows_where(F.col("revenue") < 0, "daily_revenue: revenue < 0")])
         .unionByName(Q.run_suite(products, [
-            Q.not_null("product_id", "no null product in top_products")]))
-        .unionByName(Q.same_count(ltv, customers, "customer_ltv covers all customers")))
+            Q.not_null("product_id", "top_products: product_id is not null")]))
+        .unionByName(Q.same_count(ltv, customers, "customer_ltv: as many rows as customers")))
 
 
 def lineage_of(cfg):

@@ -54,5 +54,33 @@ def test_marts_name_their_true_inputs(spark, lake):
     assert down == set()
 
 
+def test_a_store_is_walked_from_both_ends_by_the_buckets_of_its_frontier(
+        spark, tmp_path, monkeypatch):
+    """A chain in many buckets: each step opens one of them."""
+    edges = edges_of(spark, *[(f"j{i}", [f"d{i}"], [f"d{i + 1}"]) for i in range(6)])
+    store = G.Adjacency(spark, str(tmp_path / "store"), 64).write(edges)
+    opened, step = [], store._step
+
+    def counted(direction, name, level, only):
+        opened.append(len(only))
+        return step(direction, name, level, only)
+
+    monkeypatch.setattr(store, "_step", counted)
+    assert rows(store.walk("lake.d2", "downstream")) == [
+        (f"lake.d{i}", i - 2) for i in range(3, 7)]
+    assert rows(store.walk("lake.d2", "upstream")) == [("lake.d0", 2), ("lake.d1", 1)]
+    assert rows(store.walk("lake.nothing", "upstream")) == []
+    assert set(opened) == {1}
+
+
+def test_a_crowded_dataset_and_a_self_loop(spark, tmp_path):
+    edges = edges_of(spark, *[(f"j{i}", ["hub"], [f"x{i}"]) for i in range(40)],
+                     ("loop", ["hub"], ["hub", "x0"]))
+    store = G.Adjacency(spark, str(tmp_path / "store"), 4).write(edges, ["downstream"])
+    assert rows(store.walk("lake.hub", "downstream")) == sorted(
+        ((f"lake.x{i}", 1) for i in range(40)), key=repr)
+    assert store.walk("lake.x1", "downstream").isEmpty()
+
+
 def test_a_failed_write_does_not_raise(spark):
     assert G.emit_lineage(spark, "no_such_namespace.events", [("j", ["a"], ["b"])]) is False
