@@ -44,9 +44,9 @@ def base_spans(text):
 
 @dataclass(frozen=True)
 class Settings:
-    """`scanned` rows, in expectation, are looked through for training; `windows` sequences
-    of `length` tokens at most are trained on. Decoding is of whole texts."""
-    scanned: int = 20_000
+    """About `documents` texts, half of them with a pattern, are learned from, of each a
+    stretch of at most `longest` characters; `windows` sequences of `length` tokens at most
+    are trained on. Decoding is of whole texts."""
     documents: int = 600
     longest: int = 50_000
     windows: int = 2500
@@ -79,7 +79,8 @@ def character_kinds():
     return _KINDS[0]
 
 
-# By kind: the group whose runs are tokens, and counters of 12 bits that add up in one sum.
+# By kind: the group whose runs are tokens, and counters of 12 bits that add up in one sum;
+# tokens too long for them are counted anew.
 GROUPS = np.array([0, 1, 1, 1, 1, 2, 1], np.uint8)
 COUNTERS = np.array([0, 1, 1 << 12, 1 << 24, 1 << 36, 1 << 36, 1 << 36], np.uint64)
 TURN = np.uint64(1 << 48)
@@ -128,6 +129,11 @@ def features(texts):
     counts = total[ends] - total[starts]
     lower, upper, digit, sign, turns = (
         ((counts >> np.uint64(12 * k)) & np.uint64(4095)).astype(np.int64) for k in range(5))
+    for i in np.flatnonzero(size > 4095):
+        a, b = starts[i], ends[i]
+        seen = np.bincount(kinds[a:b], minlength=7)
+        lower[i], upper[i], digit[i], sign[i] = *seen[1:4], seen[4:].sum()
+        turns[i] = np.count_nonzero(step[a:b] >= TURN)
     up, down = powers(len(codes))
     small = (codes | ((kinds == 2).astype(np.uint32) << np.uint32(5))).astype(np.uint64)
     small *= up[:len(codes)]
@@ -298,16 +304,46 @@ def tagged_spans(model, texts):
     return out
 
 
+def outside(text, tagged, base):
+    """What the tagged spans cover beyond the base spans, both by start: one sweep over both.
+    A remainder without a letter or digit is punctuation around a secret and no span."""
+    out, i = [], 0
+    for a, b in tagged:
+        while i < len(base) and base[i][1] <= a:
+            i += 1
+        at, k = a, i
+        while at < b:
+            end = min(b, base[k][0]) if k < len(base) else b
+            part = text[at:end]
+            if any(c.isalnum() for c in part):
+                out.append((end - len(part.lstrip()), at + len(part.rstrip()), 3))
+            if end == b:
+                break
+            at, k = max(at, base[k][1]), k + 1
+    return out
+
+
+def joined(spans):
+    """(start, end) of the stretches that spans by start cover together."""
+    out = []
+    for a, b, *_ in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 def find(model, texts):
     """For each text all spans (start, end, kind) by start, then kind: what the patterns
-    match, and what the field tags besides, where it touches none of these."""
+    match, and of what the field tags besides the parts that none of these covers."""
     out = []
     for at, to in pieces(texts, 200_000):
         some = texts[at:to]
         extra = tagged_spans(model, some) if model else [()] * len(some)
         for text, tagged in zip(some, extra):
             base = [(a, b, k) for a, b, k, _ in base_spans(text)]
-            own = [(a, b, 3) for a, b in tagged if all(b <= x or a >= y for x, y, _ in base)]
+            own = outside(text, tagged, joined(base))
             out.append(sorted(base + own, key=lambda x: (x[0], x[2])))
     return out
 
@@ -317,23 +353,33 @@ def written(spans):
 
 
 def train(docs, settings=Settings()):
-    """A field from `text` of a bounded sample, or None if no secret is in it.
+    """A field from the `text` of a bounded sample, or None if no row has a secret.
 
-    About `scanned` rows are drawn; of those with a pattern and of those without, about
-    `documents` / 2 each are learned from, if they are not over `longest`.
+    Rows with a pattern come from the whole table: `documents` / 2 different texts at most,
+    those least by a hash; as many without one are drawn by the same hash. So the field does
+    not depend on partitions, on repeated rows or on how rare secrets are. Of a text over
+    `longest` characters a stretch is learned from, around its first match if there is one.
+    NULL texts play no part.
     """
     s = settings
-    texts = docs.select("text").where("text IS NOT NULL")
-    total = texts.count()
-    drawn = (texts.where(F.rand(s.seed) < min(1.0, s.scanned / max(total, 1)))
-             .where(F.char_length("text") <= s.longest)
-             .withColumn("hit", F.col("text").rlike(LIKELY)))
-    chance = F.rand(s.seed + 1)
-    share = min(1.0, s.documents / 2 / max(min(total, s.scanned), 1))
-    rows = drawn.where(F.when(F.col("hit"), chance < min(1.0, 20 * share))
-                       .otherwise(chance < share)).select("text").collect()
-    rows = sorted(r["text"] for r in rows)
-    return fit(rows, s)
+    draw = F.pmod(F.xxhash64(F.lit(s.seed), "text"), F.lit(1 << 48))
+    rows = docs.select("text").where("text IS NOT NULL").withColumn("draw", draw)
+    found = F.regexp_instr("text", F.lit(LIKELY))
+    last = (rows.where(found > 0).select("draw").distinct().orderBy("draw")
+            .limit(max(1, s.documents // 2)).agg(F.max("draw").alias("last")).first()["last"])
+    if last is None:
+        return None
+    few = int(min(1.0, s.documents / 2 / docs.count()) * (1 << 48))
+    size = F.char_length("text")
+    at = F.when(F.col("found") > 0, F.greatest(F.lit(1), F.col("found") - s.longest // 2)) \
+        .otherwise(1 + F.pmod("draw", F.greatest(F.lit(1), size - s.longest + 1)))
+    chosen = (rows.where((F.col("draw") <= last) | (F.col("draw") < few))
+              .withColumn("found", found)
+              .where(F.when(F.col("found") > 0, F.col("draw") <= last)
+                     .otherwise(F.col("draw") < few))
+              .select("draw", F.substring("text", at.cast("int"), F.lit(s.longest)).alias("text"))
+              .groupBy("draw").agg(F.max("text").alias("text")))
+    return fit(sorted(r["text"] for r in chosen.collect()), s)
 
 
 def scan(docs, model):
