@@ -1,14 +1,15 @@
 """From change logs to current state."""
 
 from functools import reduce
+from itertools import takewhile
 from operator import and_
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-
-from cdclake.session import materialised
+from pyspark.sql import types as T
 
 IGNORE, APPLY, NONE = "ignore", "apply", None
+PER_CUT = 40
 
 
 def _names(value):
@@ -39,29 +40,68 @@ def latest_by_key(log, key, order, deletes=IGNORE):
     return newest.where(F.col("op") != "d") if deletes == APPLY else newest
 
 
+def _places(log, keys, order, rest):
+    """For each row the number of cuts at or before it along (keys, newest first).
+
+    The cuts are evenly spaced rows of a sorted sample, about `PER_CUT` rows for each of as
+    many cells as a shuffle has partitions, and enter the plan as values: every pass over
+    the log finds the same cells, whatever its partitions. Columns of nested types, and all
+    after them, do not cut.
+    """
+    kinds = {f.name: f.dataType for f in log.schema}
+    by = list(takewhile(lambda c: isinstance(kinds[c], T.AtomicType), keys + order + rest))
+    newer = [c for c in by if c not in keys]
+    width = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, PER_CUT * width / max(log.count(), 1))
+    sample = (log.select(*by).sample(share, seed=1)
+              .orderBy(*[c for c in by if c in keys], *[F.col(c).desc_nulls_last() for c in newer])
+              .collect()) if by else []
+    step = max(1, -(-len(sample) // width))
+    cuts = sample[step::step]
+    if not cuts:
+        return F.lit(0)
+
+    def spot(value):
+        """Keys and the rest apart, as one ascends and the other descends."""
+        return F.struct(*[F.struct(*[value(c).cast(kinds[c]).alias(c) for c in part], F.lit(0))
+                          .alias(name)
+                          for name, part in (("k", [c for c in by if c in keys]), ("o", newer))])
+
+    table = F.array(*[spot(lambda c, row=row: F.lit(row[c])) for row in cuts])
+    row = spot(F.col)
+
+    def passed(cut):
+        return (cut["k"] < row["k"]) | ((cut["k"] == row["k"]) & (cut["o"] >= row["o"]))
+
+    # Halving steps: the number of cuts passed grows by a step where the cut there is passed.
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+
+    def advance(at, step):
+        there = at + step
+        return F.when((there <= len(cuts)) & passed(F.get(table, there - 1)), there).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), advance)
+
+
 def rank_changes(log, key, order, bucket=None, name="rn"):
     """row_number() per key, newest first, for histories of any length.
 
-    The rows are cut into buckets along (key, newest first) and ranked within (key, bucket),
-    so that the history of one hot key spreads over many tasks. The number of newer rows in
-    other buckets, known from a small count per bucket, travels with each bucket as one
-    extra row and is added on.
+    The rows are cut into cells along (key, newest first) and ranked within (key, cell), so
+    that the history of one hot key spreads over many tasks. The number of newer rows in
+    other cells, known from a small count per cell, travels with each cell as one extra row
+    and is added on.
 
-    By default the cuts are those of a range partitioning over all columns, which gives
-    buckets of even size for any distribution, for one more pass over the rows. A `bucket`
-    column that grows with the leading `order` column, such as its day, saves that pass
-    where one key has few rows in one bucket.
+    The cells are of about even size for any distribution, a hot key and ties of the order
+    columns included; only rows equal in all columns stay together. A `bucket` column that
+    grows with the leading `order` column, such as its day, cuts them further. The log is
+    read once for the sample that gives the cuts, once for the counts and once for the
+    ranks, and must hold the same rows each time; it is not written.
     """
     keys, order = _names(key), _names(order)
     rest = [c for c in log.columns if c not in keys and c not in order]
     newest_first = [F.col(c).desc_nulls_last() for c in order + rest]
-    if bucket is None:
-        width = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cut = log.repartitionByRange(width, *keys, *newest_first)
-        # Written, since the cuts must not change between the counts and the ranks.
-        rows = materialised(cut.withColumn("_bucket", -F.spark_partition_id()))
-    else:
-        rows = log.withColumn("_bucket", bucket)
+    cell = -_places(log, keys, order, rest)
+    rows = log.withColumn("_bucket", cell if bucket is None else F.struct(bucket, cell))
     later = (Window.partitionBy(*keys).orderBy(F.col("_bucket").desc_nulls_last())
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = (rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))

@@ -4,10 +4,11 @@ import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cdclake.operators.state import (
-    APPLY, align, as_of, latest_by_key, live, rank_changes, upsert)
+    APPLY, _places, align, as_of, latest_by_key, live, rank_changes, upsert)
 from cdclake.contracts import ORDERS
 
 LOG = "k STRING, op STRING, ts_ms BIGINT, v STRING"
@@ -158,6 +159,34 @@ def test_rank_changes_counts_across_buckets(spark, bucket):
     assert rows(got) == sorted(wanted, key=repr)
 
 
+def test_cells_of_a_hot_key_are_even_and_nothing_is_written(spark, monkeypatch):
+    """Most rows are one key at one time, so the columns after the order must cut as well."""
+    events = [("hot", "u", 7, f"{i * 37 % 4001:05}") for i in range(4000)]
+    events += [(f"k{i % 50}", "u", i, "x") for i in range(2000)]
+    df = log(spark, *events)
+    sizes = [r["count"] for r in df.groupBy(
+        _places(df, ["k"], ["ts_ms"], ["op", "v"])).count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 3 * 6000 / 8
+    ranked = rank_changes(df, "k", "ts_ms")
+    hot = ranked.where("k = 'hot'").orderBy("rn").collect()
+    assert [r["rn"] for r in hot] == list(range(1, 4001))
+    assert [r["v"] for r in hot] == sorted((e[3] for e in events[:4000]), reverse=True)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "interim-" not in plan and "parquet" not in plan
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "decimal(9,2)", "double", "binary"])
+def test_cuts_of_any_type(spark, kind):
+    number = F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 500)
+    value = {"timestamp": F.timestamp_seconds(number), "binary": number.cast("string"),
+             "date": F.date_add(F.lit("2024-01-01").cast("date"), number.cast("int"))}.get(
+                 kind, number).cast(kind)
+    df = spark.range(900).select((F.col("id") % 3).alias("k"), value.alias("at"), "id")
+    window = Window.partitionBy("k").orderBy(F.col("at").desc_nulls_last(), F.desc("id"))
+    assert rows(rank_changes(df, "k", "at")) == rows(
+        df.withColumn("rn", F.row_number().over(window)))
+
+
 def test_align(spark):
     df = spark.createDataFrame([("7", "web", 1)], "order_id STRING, channel STRING, extra INT")
     out = align(df, ORDERS)
