@@ -1,6 +1,7 @@
 """Sources, sinks, streams and whole jobs, in a folder of their own for every run."""
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,12 @@ from cdclake.functions.images import epoch_millis, row_image
 from cdclake.operators.changes import TOPIC_PREFIX
 from cdclake.operators.state import APPLY
 from cdclake.plans import gold
-from cdclake.plans.jobs import LakeConfig, run_etl, run_ingest, run_pipeline
+from cdclake.plans.jobs import (
+    LakeConfig, bronze_log, run_etl, run_ingest, run_pipeline, start_ingest)
 from cdclake.plans.silver import silver_events, silver_orders
-from cdclake.session import shared_dir
+from cdclake.session import materialised, shared_dir
 from cdclake.sinks import tables as K
+from cdclake.sinks.state_table import Folder
 from cdclake.sources import files
 from cdclake.sources.generator import generate_orders_delta
 
@@ -163,6 +166,71 @@ def silver_from_stream(t):
     return silver_orders(ingested(t, Lake(t.spark)))
 
 
+def all_six(t):
+    """Name, rows and contract key of every table of the shop."""
+    shop = {"customers": t.customers(), "products": t.products(), "orders": t.orders(),
+            "order_items": t.items(), "payments": t.payments(), "events": t.events()}
+    return [(name, df, CONTRACTS[name].key) for name, df in shop.items()]
+
+
+def _six(columns):
+    sources = {"events": ("events", "event_id")} | {
+        name: (f"s_{name.removeprefix('order_')}", key) for name, key in (
+            ("customers", "customer_id"), ("products", "product_id"), ("orders", "order_id"),
+            ("order_items", "item_id"), ("payments", "order_id"))}
+    return " UNION ALL ".join(f"SELECT '{name}' AS table_name, {columns.format(key=key)} FROM "
+                              f"{source}" for name, (source, key) in sources.items())
+
+
+def _keys_of(log):
+    key = F.coalesce(*[F.when(F.col("table_name") == c.table, F.get_json_object(
+        "after", f"$.{c.key_image}")) for c in CONTRACTS.values()])
+    return log.select("table_name", "op", "ts_ms", key.cast("bigint").alias("id"))
+
+
+def into_log(t, lake, **more):
+    """Config of a log of all six tables, published; not ingested yet."""
+    topics = f"{lake.folder}/topics"
+    for at, (name, df, _) in enumerate(all_six(t)):
+        write_topic(df, topics, name, F.lit(1000), at % 2 == 1)
+    return lake.config(source_format="parquet", brokers=topics, fan=3,
+                       checkpoint=f"{lake.folder}/checkpoint", **more)
+
+
+@query("x2_compacted_log", _six("'c' AS op, CAST(1000 AS BIGINT) AS ts_ms, {key} AS id"))
+def compacted_log(t):
+    """All six tables through the stream in many batches, merged while they come."""
+    lake = Lake(t.spark)
+    files = sum(1 for n in Folder(t.spark, into_log(t, lake).brokers).names("")
+                if n.endswith(".parquet"))
+    cfg = lake.config(source_format="parquet", brokers=f"{lake.folder}/topics", fan=3,
+                      checkpoint=f"{lake.folder}/checkpoint",
+                      max_per_trigger=str(-(-files // 9)))
+    run_ingest(t.spark, cfg, once=True)
+    return _keys_of(bronze_log(t.spark, cfg).read())
+
+
+@query("x5_pinned_reads", _six("{key} AS id, 1 AS then, CASE WHEN {key} % 5 = 0 THEN 2 ELSE 1 "
+                               "END AS now"))
+def pinned_reads(t):
+    """Change events per key of all six tables, at a version that was pinned and counted while
+    a stream of further changes ran and the log was merged, and after that stream."""
+    lake = Lake(t.spark)
+    cfg = into_log(t, lake)
+    run_ingest(t.spark, cfg, once=True)
+    log = bronze_log(t.spark, cfg)
+    pinned = log.commit()["version"]
+    for name, df, key in all_six(t):
+        write_topic(df.where(F.col(key) % 5 == 0), cfg.brokers, name, F.lit(2000), op="u")
+    stream = start_ingest(t.spark, replace(cfg, max_per_trigger="4"), once=True)
+    keys = ["table_name", "id"]
+    then = materialised(_keys_of(log.read(pinned)).groupBy(*keys).agg(F.count("*").alias("then")))
+    stream.awaitTermination()
+    now = _keys_of(log.read()).groupBy(*keys).agg(F.count("*").alias("now"))
+    return now.join(then, keys, "full").select(*keys, F.col("then").cast("int").alias("then"),
+                                               F.col("now").cast("int").alias("now"))
+
+
 def _kept(table, key, source):
     return (f"SELECT '{table}' AS name, count(*) AS rows, CAST(sum({key}) AS BIGINT) AS keys "
             f"FROM {source} WHERE {key} % 7 <> 0")

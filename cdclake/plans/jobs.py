@@ -7,10 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from cdclake.contracts import SILVER
+from cdclake.contracts import BRONZE_DDL, SILVER
 from cdclake.functions.money import PLACES
 from cdclake.operators import quality as Q
-from cdclake.operators.changes import TOPIC_PREFIX
+from cdclake.operators.changes import TOPIC_PREFIX, decode_envelope
 from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import APPLY, IGNORE
 from cdclake.plans import dashboards, gold
@@ -20,6 +20,7 @@ from cdclake.session import prepare, settings, shared_dir
 from cdclake.sinks.state_table import Folder
 from cdclake.sinks.tables import append, ensure_namespace, recreate_table, replace_table
 from cdclake.sources.files import inline_rows
+from cdclake.streaming.change_log import ChangeLog, follow
 from cdclake.streaming.ingest import TRIGGER, ensure_bronze, ingest, read_change_stream
 
 GOLD_INPUTS = {
@@ -53,12 +54,25 @@ class LakeConfig:
     shuffle_partitions: int = 0  # width of a refresh's shuffles; 0 for the session's
     digits: int = PLACES        # decimal places of a price that the marts keep
     buckets: int = 64           # of every table that is kept up to date by change
+    fan: int = 0                # bronze as a log of which `fan` batches at a time are merged
 
     def namespace(self, spark, name):
         ensure_namespace(spark, name, f"{self.warehouse}/{name}" if self.warehouse else None)
         return name
 
 
+def bronze_log(spark, cfg):
+    """Bronze as a log that is compacted while it grows, for a config with `fan`."""
+    ddl = f"{BRONZE_DDL}, seq BIGINT" if cfg.sequence else BRONZE_DDL
+    root = f"{cfg.warehouse or shared_dir(spark)}/logs/{cfg.bronze}"
+    return ChangeLog(spark, root, ddl, fan=int(cfg.fan))
+
+
+def bronze_rows(spark, cfg):
+    """The bronze rows: of a log, those of its newest version, whatever is appended later."""
+    return bronze_log(spark, cfg).read() if int(cfg.fan) else spark.table(cfg.bronze)
+
+
 def replace_all(tables, fmt):
     """Replace independent tables at the same time, so that the tail of one does not idle
     the cluster; the first failure is raised."""
@@ -69,7 +83,7 @@ def replace_all(tables, fmt):
 def build_silver_layer(spark, cfg):
     """Replace every silver table from the bronze log."""
     cfg.namespace(spark, cfg.silver)
-    bronze = spark.table(cfg.bronze)
+    bronze = bronze_rows(spark, cfg)
     replace_all({f"{cfg.silver}.{c.table}": build_silver(bronze, c, cfg.deletes) for c in SILVER},
                 cfg.fmt)
 
@@ -152,17 +166,25 @@ def top_customer_checks():
 def run_ingest(spark, cfg, once=False):
     """Change events into bronze, until stopped; with `once`, what is there now."""
     prepare(spark)
-    location = f"{cfg.warehouse}/{cfg.bronze.replace('.', '/')}" if cfg.warehouse else None
-    cfg.namespace(spark, cfg.bronze.rsplit(".", 1)[0])
-    ensure_bronze(spark, cfg.bronze, cfg.fmt, location, cfg.sequence)
+    query = start_ingest(spark, cfg, once)
+    query.awaitTermination()
+    return query
+
+
+def start_ingest(spark, cfg, once=False):
+    """The running stream of change events into the bronze table, or into the log."""
     raw = read_change_stream(spark, cfg.brokers, cfg.source_format, cfg.topic_prefix,
                              cfg.max_per_trigger)
     checkpoint = cfg.checkpoint or f"{shared_dir(spark)}/streams/{cfg.bronze}"
-    query = ingest(raw, cfg.bronze, checkpoint, cfg.topic_prefix, cfg.sequence,
-                   cfg.deletes == APPLY, trigger=cfg.trigger, once=once, fmt=cfg.fmt,
-                   **dict(cfg.sink_options))
-    query.awaitTermination()
-    return query
+    if int(cfg.fan):
+        rows = decode_envelope(raw, cfg.topic_prefix, cfg.deletes == APPLY, cfg.sequence)
+        return follow(rows, bronze_log(spark, cfg), checkpoint, cfg.trigger, once)
+    location = f"{cfg.warehouse}/{cfg.bronze.replace('.', '/')}" if cfg.warehouse else None
+    cfg.namespace(spark, cfg.bronze.rsplit(".", 1)[0])
+    ensure_bronze(spark, cfg.bronze, cfg.fmt, location, cfg.sequence)
+    return ingest(raw, cfg.bronze, checkpoint, cfg.topic_prefix, cfg.sequence,
+                  cfg.deletes == APPLY, trigger=cfg.trigger, once=once, fmt=cfg.fmt,
+                  **dict(cfg.sink_options))
 
 
 def live_marts(spark, cfg):
@@ -173,9 +195,21 @@ def live_marts(spark, cfg):
 
 def run_maintain(spark, cfg, once=False):
     """Silver state and marts kept up to date from the bronze table as it grows, each batch
-    rewriting only what it touches; until stopped, or with `once` what is there now."""
+    rewriting only what it touches; until stopped, or with `once` what is there now. From a
+    log (`fan`) each run takes what came after the last one, so these run with `once`."""
     prepare(spark)
     marts = live_marts(spark, cfg)
+    if int(cfg.fan):
+        if not once:
+            raise ValueError("a bronze log is followed run by run: use once")
+        log = bronze_log(spark, cfg)
+        until = log.commit()["version"]
+        # Images that a run which failed had taken in for some tables are taken in again,
+        # which changes nothing.
+        since = min(marts.tables[c.table].commit().markers.get("log", 0)
+                    for c in marts.contracts)
+        marts.apply(log.changes(since, until), until, "log")
+        return marts
     checkpoint = f"{cfg.checkpoint or shared_dir(spark) + '/streams/' + cfg.bronze}-live"
     folder = Folder(spark, checkpoint)
 

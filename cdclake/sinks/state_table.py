@@ -39,6 +39,12 @@ class Folder:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if (
             self.fs.exists(at)) else []
 
+    def sizes(self, name):
+        """{name: bytes} of what lies in a folder, whole trees summed."""
+        at = self._at(name)
+        return {s.getPath().getName(): self.fs.getContentSummary(s.getPath()).getLength()
+                for s in self.fs.listStatus(at)} if self.fs.exists(at) else {}
+
     def read(self, name):
         stream = self.fs.open(self._at(name))
         try:
