@@ -11,9 +11,11 @@ from cdclake.checks.registry import query
 from cdclake.checks.relational import CUT, cut_ms
 from cdclake.checks.tables import CTES
 from cdclake.contracts import CONTRACTS, ORDERS
+from cdclake.operators import quality as Q
 from cdclake.operators.changes import snapshot_to_changes
 from cdclake.operators.state import APPLY
 from cdclake.plans.incremental import LiveMarts
+from cdclake.plans.partition_checks import PartitionChecks
 from cdclake.plans.snapshots import StateIndex
 from cdclake.session import materialised
 
@@ -93,3 +95,39 @@ def from_snapshots(t):
     for days in (365, 1):
         index.take(log, cut - days * 86_400_000)
     return index.state_as_of(log, cut)
+
+
+# name: (SQL of the metric, SQL of its test)
+EVENT_CHECKS = {
+    "row count": ("count(*)", ">= 1"),
+    "user_id is not null": ("count(*) FILTER (user_id IS NULL)", "= 0"),
+    "value in range": ("count(*) FILTER (value < 0 OR value > 100)", "= 0"),
+    "error events": ("count(*) FILTER (event_type = 'error')", "= 0"),
+    "min(event_id) >= 0": ("min(event_id)", ">= 0"),
+    "max(event_id) > 1": ("max(event_id)", "> 1"),
+    "sum(event_id) > 0": ("sum(event_id)", "> 0"),
+    "avg(event_id) > 1": ("sum(event_id) / count(event_id)", "> 1"),
+}
+
+
+@query("q7_suite_by_partition", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "check", CAST({seen} AS DOUBLE) AS observed, {seen} {test} AS passed
+    FROM events""" for name, (seen, test) in EVENT_CHECKS.items()))
+def suite_by_partition(t):
+    """Checks of the events day by day: the first days' states, then those of the days after
+    and of the last known day once more, and the merged results of all."""
+    day = F.to_date("ts")
+    events = t.read("events").withColumn("day", day)
+    names = list(EVENT_CHECKS)
+    suite = PartitionChecks(events, f"{Lake(t.spark).folder}/checks", [
+        Q.row_count_between(1), Q.not_null("user_id"), Q.values_between("value", 0, 100),
+        Q.no_rows_where(F.col("event_type") == "error", names[3]),
+        Q.metric_threshold(Q.least("event_id"), ">=", 0, names[4]),
+        Q.metric_threshold(Q.greatest("event_id"), ">", 1, names[5]),
+        Q.metric_threshold(Q.summed("event_id"), ">", 0, names[6]),
+        Q.metric_threshold(Q.average("event_id"), ">", 1, names[7])], "day")
+    middle = events.agg(F.percentile_approx(F.unix_date("day"), 0.5)).head()[0]
+    cut = F.date_from_unix_date(F.lit(middle))
+    suite.take(events.where(F.col("day") <= cut), {"run": 1})
+    suite.take(events.where((F.col("day") >= cut) | F.col("day").isNull()), {"run": 2})
+    return suite.results()

@@ -8,7 +8,7 @@ from cdclake.contracts import ORDERS, Contract, Field
 from cdclake.functions.images import epoch_millis
 from cdclake.functions.money import from_minor_units, minor_units
 from cdclake.operators import quality as Q
-from cdclake.operators.changes import diff_to_changes, snapshot_to_changes
+from cdclake.operators.changes import diff_by_digests, diff_to_changes, snapshot_to_changes
 from cdclake.operators.integrity import orphan_keys, orphans
 from cdclake.operators.state import (
     APPLY, align, as_of, latest_by_key, live, rank_changes, upsert)
@@ -330,30 +330,33 @@ def snapshot(t):
         F.get_json_object("after", f"$.{c}").alias(c) for c in ORDERS.columns])
 
 
-@query("s8_diff_to_changes", """
+DIFFERENCES = """
     SELECT coalesce(n.item_id, o.item_id) AS item_id,
            CASE WHEN o.item_id IS NULL THEN 'c' WHEN n.item_id IS NULL THEN 'd' ELSE 'u' END AS op,
            o.product_id AS old_product, n.product_id AS new_product, n.quantity AS new_quantity
     FROM d_old o FULL JOIN d_new n ON o.item_id = n.item_id
-    WHERE (o.product_id, o.quantity) IS DISTINCT FROM (n.product_id, n.quantity)""",
-       d_old=f"""
+    WHERE (o.product_id, o.quantity) IS DISTINCT FROM (n.product_id, n.quantity)"""
+SNAPSHOTS = {"d_old": f"""
     SELECT item_id, product_id, quantity FROM (
       SELECT *, row_number() OVER (PARTITION BY item_id
                 ORDER BY l_shipdate DESC, product_id DESC, l_suppkey DESC) AS rn
-      FROM s_item_log WHERE l_shipdate <= TIMESTAMP '{CUT}') WHERE rn = 1""",
-       d_new="""
+      FROM s_item_log WHERE l_shipdate <= TIMESTAMP '{CUT}') WHERE rn = 1""", "d_new": """
     SELECT item_id, product_id, quantity FROM (
       SELECT *, row_number() OVER (PARTITION BY item_id
                 ORDER BY l_shipdate DESC, product_id DESC, l_suppkey DESC) AS rn
-      FROM s_item_log) WHERE rn = 1 AND l_returnflag <> 'R'""")
-def differences(t):
-    """From the items as of a day to the items now, less those returned."""
+      FROM s_item_log) WHERE rn = 1 AND l_returnflag <> 'R'"""}
+
+
+def item_snapshots(t):
+    """The items as of a day, and the items now, less those returned."""
     key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id")
     kept = t.lines().where(F.col("l_returnflag") != "R").select(
         key, F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("bigint").alias("quantity"))
-    changes = diff_to_changes(as_of_cut(t).drop("order_id"), kept, "item_id")
+    return as_of_cut(t).drop("order_id"), kept
 
+
+def item_changes(changes):
     def image(side, name):
         return F.get_json_object(side, f"$.{name}").cast("bigint")
     return changes.select("item_id", "op", image("before", "product_id").alias("old_product"),
@@ -361,6 +364,18 @@ def differences(t):
                           image("after", "quantity").alias("new_quantity"))
 
 
+@query("s8_diff_to_changes", DIFFERENCES, **SNAPSHOTS)
+def differences(t):
+    return item_changes(diff_to_changes(*item_snapshots(t), "item_id"))
+
+
+@query("s8_diff_by_digests", DIFFERENCES, **SNAPSHOTS)
+def differences_by_digests(t):
+    """Both snapshots are kept as tables, as snapshots are; then their digests are compared."""
+    old, new = map(materialised, item_snapshots(t))
+    return item_changes(diff_by_digests(old, new, "item_id"))
+
+
 # --- sorts
 
 @query("l1_sort", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey")

@@ -1,10 +1,13 @@
 import datetime
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from cdclake.functions.images import epoch_millis, row_image
-from cdclake.operators.changes import decode_envelope, diff_to_changes, snapshot_to_changes
+from cdclake.operators.changes import (
+    PART, decode_envelope, diff_by_digests, diff_to_changes, digests, snapshot_to_changes,
+    unequal_parts, with_part)
 
 UPDATE = '{"payload":{"op":"u","ts_ms":2,"before":null,"after":{"order_id":1,"status":"shipped"}}}'
 RECORDS = [
@@ -98,3 +101,52 @@ def test_sequence_of_the_records(spark):
     df = raw(spark).withColumn("offset", F.monotonically_increasing_id())
     out = decode_envelope(df, sequence="offset")
     assert out.columns[-1] == "seq" and out.where("seq IS NULL").isEmpty()
+
+
+PAIR = "id BIGINT, a STRING, b STRING, at DOUBLE, tags ARRAY<STRING>"
+
+
+def snapshot(spark, *changed, n=400):
+    kept = {i: (i, f"a{i}", None if i % 3 else "b", i / 7, ["x", None]) for i in range(n)}
+    for row in changed:
+        kept[row[0]] = row if len(row) > 1 else None
+    return spark.createDataFrame([r for r in kept.values() if r], PAIR)
+
+
+def test_only_parts_that_differ_are_joined(spark):
+    old = snapshot(spark)
+    assert unequal_parts(digests(old, "id"), digests(old.repartition(5), "id")) == []
+    assert diff_by_digests(old, old.repartition(3), "id").isEmpty()
+    one = snapshot(spark, (7, "other", None, 1.0, ["x", None]))
+    assert len(unequal_parts(digests(old, "id", 64), digests(one, "id", 64))) == 1
+    new = snapshot(spark, (7, "other", None, 1.0, ["x", None]), (9,), (11,),
+                   (500, "new", "b", None, None), (12, "a12", None, 12 / 7, ["x", None]))
+    wanted = rows(diff_to_changes(old, new, "id"))
+    assert len(wanted) == 5
+    assert rows(diff_by_digests(old, new, "id", 64)) == wanted
+    assert rows(diff_by_digests(old, new, ["id"], 64, known=digests(old, "id", 64))) == wanted
+    assert rows(diff_by_digests(old.limit(0), new, "id", 64)) == rows(
+        diff_to_changes(old.limit(0), new, "id"))
+
+
+@pytest.mark.parametrize("left, right", [
+    ((1, None, "x", 0.0, None), (1, "x", None, 0.0, None)),
+    ((1, "", "x", 0.0, None), (1, None, "x", 0.0, None)),
+    ((1, "a", "b", None, ["x", None]), (1, "a", "b", None, [None, "x"])),
+    ((1, "a", "b", None, []), (1, "a", "b", None, None)),
+    ((1, "ab", "c", None, None), (1, "a", "bc", None, None))])
+def test_rows_that_look_alike_have_other_digests(spark, left, right):
+    one, other = (spark.createDataFrame([r], PAIR) for r in (left, right))
+    assert rows(digests(one, "id")) != rows(digests(other, "id"))
+    assert diff_by_digests(one, other, "id").count() == 1
+
+
+def test_a_snapshot_stored_by_part_is_read_where_it_differs(spark, tmp_path):
+    old, new = snapshot(spark), snapshot(spark, (7, "other", None, 1.0, None))
+    for name, df in (("old", old), ("new", new)):
+        with_part(df, "id", 16).write.partitionBy(PART).parquet(f"{tmp_path}/{name}")
+    stored = [spark.read.parquet(f"{tmp_path}/{n}") for n in ("old", "new")]
+    got = diff_by_digests(*stored, "id", 16)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(_part") == 2
+    assert rows(got) == rows(diff_to_changes(old, new, "id"))
