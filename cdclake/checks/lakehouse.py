@@ -300,6 +300,43 @@ def full_refresh(t):
     return run_pipeline(t.spark, cfg)
 
 
+@query("r1_refresh_with_bad_rows", """
+    SELECT 'orders' AS table_name, count(*) FILTER (order_id % 11 <> 0) AS rows,
+           count(*) FILTER (order_id % 11 = 0) AS aside,
+           CAST(sum(order_id) FILTER (order_id % 11 <> 0) AS BIGINT) AS keys FROM s_orders
+    UNION ALL SELECT 'customers', count(*) FILTER (customer_id % 13 <> 0),
+           count(*) FILTER (customer_id % 13 = 0),
+           CAST(sum(customer_id) FILTER (customer_id % 13 <> 0) AS BIGINT) FROM s_customers
+    UNION ALL SELECT 'products', count(*), 0, CAST(sum(product_id) AS BIGINT) FROM s_products
+    UNION ALL SELECT 'order_items', count(*), 0, CAST(sum(item_id) AS BIGINT) FROM s_silver_items
+    UNION ALL SELECT 'payments', count(*), 0, CAST(sum(order_id) AS BIGINT) FROM s_payments""")
+def refresh_with_bad_rows(t):
+    """A whole refresh where some orders have a time that is none, and the images of some
+    customers have lost their key."""
+    lake = Lake(t.spark)
+    cfg = lake.config(aside=lake.namespace("aside"))
+    cfg.namespace(t.spark, cfg.bronze.split(".")[0])
+
+    def whole(table, key, divisor):
+        number = F.get_json_object("after", f"$.{key}").cast("bigint")
+        return (F.col("table_name") == table) & (number % divisor == 0)
+
+    spoilt = (F.when(whole("orders", "order_id", 11),
+                     F.regexp_replace("after", r'"order_ts":"[^"]*"', '"order_ts":"soon"'))
+              .when(whole("customers", "customer_id", 13),
+                    F.replace("after", F.lit('"customer_id"'), F.lit('"id"')))
+              .otherwise(F.col("after")))
+    t.bronze().withColumn("after", spoilt).write.partitionBy("table_name").saveAsTable(cfg.bronze)
+    run_pipeline(t.spark, cfg)
+    parts = []
+    for c in SILVER:
+        good, bad = (t.spark.table(f"{space}.{c.table}") for space in (cfg.silver, cfg.aside))
+        parts.append(good.agg(F.lit(c.table).alias("table_name"), F.count("*").alias("rows"),
+                              F.sum(c.key).alias("keys")).join(
+            bad.agg(F.count("*").alias("aside"))))
+    return reduce(DataFrame.unionByName, parts).select("table_name", "rows", "aside", "keys")
+
+
 @query("r2_top_customers_job", """
     SELECT count(*) AS rows, max(c_acctbal) AS best FROM customer WHERE c_acctbal > 5000""")
 def etl_job(t):

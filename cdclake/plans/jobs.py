@@ -5,6 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cdclake.contracts import BRONZE_DDL, SILVER
@@ -15,7 +16,7 @@ from cdclake.operators.lineage import emit_lineage
 from cdclake.operators.state import APPLY, IGNORE
 from cdclake.plans import dashboards, gold
 from cdclake.plans.incremental import LiveMarts
-from cdclake.plans.silver import build_silver
+from cdclake.plans.silver import ASIDE, build_silver, checked_silver
 from cdclake.session import prepare, settings, shared_dir
 from cdclake.sinks.state_table import Folder
 from cdclake.sinks.tables import append, ensure_namespace, recreate_table, replace_table
@@ -54,6 +55,7 @@ class LakeConfig:
     shuffle_partitions: int = 0  # width of a refresh's shuffles; 0 for the session's
     digits: int = PLACES        # decimal places of a price that the marts keep
     buckets: int = 64           # of every table that is kept up to date by change
+    aside: str = ""             # namespace for rows that do not fit; without it they fail a refresh
     fan: int = 0                # bronze as a log of which `fan` batches at a time are merged
 
     def namespace(self, spark, name):
@@ -81,13 +83,33 @@ def replace_all(tables, fmt):
 
 
 def build_silver_layer(spark, cfg):
-    """Replace every silver table from the bronze log."""
+    """Replace every silver table from the bronze log. With `aside`, rows that do not fit go to
+    a table of that namespace; returns {table: (rows, rows set aside)} then."""
     cfg.namespace(spark, cfg.silver)
     bronze = bronze_rows(spark, cfg)
+    if cfg.aside:
+        return build_checked_silver(spark, cfg, bronze)
     replace_all({f"{cfg.silver}.{c.table}": build_silver(bronze, c, cfg.deletes) for c in SILVER},
                 cfg.fmt)
 
 
+def build_checked_silver(spark, cfg, bronze):
+    """One read of the log per table, counted as it is written to a staging table, and from
+    there the good rows to silver and the others to the tables of `aside`."""
+    cfg.namespace(spark, cfg.aside)
+    staging = cfg.namespace(spark, cfg.staging)
+    seen = {c.table: Observation() for c in SILVER}
+    replace_all({f"{staging}.{c.table}_checked": checked_silver(bronze, c, cfg.deletes).observe(
+        seen[c.table], F.count_if(F.col(ASIDE).isNull()).alias("good"),
+        F.count(ASIDE).alias("bad")) for c in SILVER}, cfg.fmt)
+    checked = {c.table: spark.table(f"{staging}.{c.table}_checked") for c in SILVER}
+    bad = F.col(ASIDE).isNotNull()
+    replace_all({f"{cfg.silver}.{n}": df.where(~bad).drop(ASIDE) for n, df in checked.items()}
+                | {f"{cfg.aside}.{n}": df.where(bad).select(f"{ASIDE}.*")
+                   for n, df in checked.items()}, cfg.fmt)
+    return {name: (o.get["good"], o.get["bad"]) for name, o in seen.items()}
+
+
 def build_gold_layer(spark, cfg):
     """Replace every mart from silver. Order totals, which two marts need, are made once and
     kept in a staging table until the next refresh replaces them."""

@@ -61,7 +61,7 @@ def split_silver(bronze, contract, deletes=IGNORE):
 
     Bad are the current rows with a value that does not fit its type, and every image
     without a key, such as text that is no JSON; the column `image` has the latter.
-    Each of the two reads the log.
+    Each of the two reads the log; `checked_silver` gives both from one read.
     """
     keyless = F.col("after").isNotNull() & _key_text(contract).isNull()
     text = newest_images(bronze.where(~keyless), contract, deletes)
@@ -74,6 +74,31 @@ def split_silver(bronze, contract, deletes=IGNORE):
             text.where(misfit).unionByName(unread, allowMissingColumns=True))
 
 
+ASIDE = "_aside"
+
+
+def checked_silver(bronze, contract, deletes=IGNORE):
+    """Good and bad rows from one read of the log: the contract's columns and `_aside`, which
+    is NULL for a good row. Else it has the fields in text, or under `image` an image without
+    a key; of equal ones among those there is one. Good rows are those of `split_silver`.
+
+    A keyless image is a key of its own, so it neither hides a row nor meets all others."""
+    order = [c for c in ("ts_ms", "seq", "ingest_ts") if c in bronze.columns]
+    key = change_key(contract, deletes)
+    keyless = F.when(key.isNull(), F.col("after"))
+    log = bronze.where(F.col("table_name") == contract.table).select(
+        key.alias(_KEY), keyless.alias("_image"), "op", *order, "after")
+    newest = latest_by_key(log, [_KEY, "_image"], order + ["after"], deletes)
+    text = newest.select(F.from_json("after", contract.text_schema).alias("row"), "_image")
+    fit = {f.name: F.col("row")[f.image].try_cast(f.type) for f in contract.fields}
+    misfit = reduce(or_, [F.col("row")[f.image].isNotNull() & fit[f.name].isNull()
+                          for f in contract.fields])
+    unread = F.col("_image").isNotNull()
+    known = [F.when(~unread, F.col("row")[f.image]).alias(f.image) for f in contract.fields]
+    aside = F.when(misfit | unread, F.struct(*known, F.col("_image").alias("image")))
+    return text.select(*[c.alias(n) for n, c in fit.items()], aside.alias(ASIDE))
+
+
 def silver_customers(bronze, deletes=IGNORE):
     return build_silver(bronze, C.CUSTOMERS, deletes)
 
