@@ -332,8 +332,8 @@ def refresh_with_bad_rows(t):
     for c in SILVER:
         good, bad = (t.spark.table(f"{space}.{c.table}") for space in (cfg.silver, cfg.aside))
         parts.append(good.agg(F.lit(c.table).alias("table_name"), F.count("*").alias("rows"),
-                              F.sum(c.key).alias("keys")).join(
-            bad.agg(F.count("*").alias("aside"))))
+                              F.sum(c.key).alias("keys")).select(
+            "*", bad.agg(F.count("*")).scalar().alias("aside")))
     return reduce(DataFrame.unionByName, parts).select("table_name", "rows", "aside", "keys")
 
 
