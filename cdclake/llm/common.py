@@ -37,7 +37,8 @@ def remainder(column, divisor):
 def checkpointed(df):
     """Written to the folder of `spark.checkpoint.dir` and cut from its lineage.
 
-    Spark's cleaner removes the files when nothing refers to them any more.
+    The files stay until the folder is cleared, or until Spark's cleaner finds that nothing
+    refers to them, where `spark.cleaner.referenceTracking.cleanCheckpoints` is set.
     """
     sc = df.sparkSession.sparkContext
     folder = shared_dir(df.sparkSession)
