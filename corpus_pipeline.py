@@ -45,8 +45,8 @@ def packed(spark, docs, sf_dir):
 STAGES = [("language_id", identified), ("toxicity", not_toxic), ("near_dedup", one_of_each),
           ("secrets", without_secrets), ("packing", packed)]
 
-# Trained models and token ids are nothing SQL can express. The tests cover the operators of the
-# stages, not run() itself.
+# Trained models and token ids are nothing SQL can express. tests/llm/test_pipeline.py runs the
+# stages and compares each with a plain version.
 ORACLE_SQL = None
 
 
