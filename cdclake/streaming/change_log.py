@@ -20,7 +20,9 @@ import json
 import threading
 import uuid
 from collections import defaultdict
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,30 +106,26 @@ class ChangeLog:
         return done
 
     def _merge(self, old, unit):
-        """Files of about `file_bytes` each. The rows of a large source table spread over as
-        many tasks as it fills files, by their content and the task that reads them: copies of
-        one row spread as far as they are read apart, and a task that runs again deals its rows
-        as before."""
-        sizes = defaultdict(int)
+        """Files of about `file_bytes` each. Every source table is read by itself, in as many
+        tasks as it fills files, and each task writes what it has read: nothing is shuffled, so
+        neither copies of one row nor a large table gather in a task."""
+        sizes, paths = defaultdict(int), defaultdict(list)
         for u in old:
             for name, size in self.folder.sizes(f"data/{u['name']}").items():
                 if name.startswith(f"{self.split}="):
-                    sizes[name.partition("=")[2]] += size
-        files = {name: -(-size // self.file_bytes) for name, size in sizes.items()}
-        rows, salt = self._rows(old), F.lit(0)
-        large = {name: n for name, n in files.items() if n > 1}
-        if large:
-            width = F.element_at(F.create_map(*[F.lit(x) for pair in large.items()
-                                                for x in pair]), F.col(self.split))
-            mixed = F.xxhash64(*self.columns, F.spark_partition_id())
-            salt = F.coalesce(F.pmod(mixed, width), F.lit(0))
-        (rows.withColumn("_salt", salt)
-         .repartition(max(1, sum(files.values())), self.split, "_salt").drop("_salt")
-         .sortWithinPartitions(self.split, VERSION)
+                    sizes[name] += size
+                    paths[name].append(f"{u['name']}/{name}")
+        tables = [self._read(paths[name]).coalesce(max(1, -(-size // self.file_bytes)))
+                  for name, size in sorted(sizes.items())]
+        rows = reduce(DataFrame.unionByName, tables) if tables else self._rows([])
+        (rows.sortWithinPartitions(self.split, VERSION)
          .write.partitionBy(self.split).parquet(f"{self.root}/data/{unit}"))
 
     def _rows(self, units):
-        paths = [f"{self.root}/data/{u['name']}" for u in units]
+        return self._read([u["name"] for u in units])
+
+    def _read(self, folders):
+        paths = [f"{self.root}/data/{name}" for name in folders]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         reader = self.spark.read.schema(self.schema).option("basePath", f"{self.root}/data")

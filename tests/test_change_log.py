@@ -156,3 +156,20 @@ def test_jobs_over_a_log(spark, lake):
     assert rows(spark.table(f"{lake.silver}.orders").select("order_id", "status")) == wanted
     with pytest.raises(ValueError):
         run_maintain(spark, lake)
+
+
+def test_a_merge_shuffles_nothing(spark, tmp_path, monkeypatch):
+    log, plans = ChangeLog(spark, str(tmp_path), DDL, fan=2), []
+    for i in (1, 2):
+        log.append(batch(spark, i, 40))
+    kind = type(log.read())
+    inner = kind.sortWithinPartitions
+
+    def kept(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return inner(df, *by)
+
+    monkeypatch.setattr(kind, "sortWithinPartitions", kept)
+    assert log.compact() == 1 and len(plans) == 1 and "Exchange" not in plans[0]
+    assert files(log) == 3
+    assert rows(log.read()) == sorted(content(1, 40) + content(2, 40), key=repr)
