@@ -88,10 +88,10 @@ def _walk(start, at, to):
 @query("g3_upstream", "SELECT dataset, min(depth) AS depth FROM graph GROUP BY 1",
        **_walk("region.1", "output", "input"))
 def upstream(t):
-    return G.upstream(G.lineage_edges(t.lineage()), "region.1")
+    return G.upstream(G.lineage_edges(t.lineage(), far=True), "region.1")
 
 
 @query("g3_downstream", "SELECT dataset, min(depth) AS depth FROM graph GROUP BY 1",
        **_walk("supplier.3", "input", "output"))
 def downstream(t):
-    return G.downstream(G.lineage_edges(t.lineage()), "supplier.3")
+    return G.downstream(G.lineage_edges(t.lineage(), far=True), "supplier.3")

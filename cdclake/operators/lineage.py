@@ -53,7 +53,7 @@ def _names(side):
     return F.array_sort(F.array_distinct(F.transform(side, name)))
 
 
-def lineage_edges(events):
+def lineage_edges(events, far=False):
     """Completed runs -> edges (job, version, role, dataset), deduplicated.
 
     A role of `input` leads from the dataset into the job, `output` from the job to the
@@ -61,22 +61,34 @@ def lineage_edges(events):
     one row per name listed, where pairing inputs with outputs would multiply them.
     A version is a job with one set of inputs and outputs; repeated runs are reduced to
     it before anything else, within each task first.
+
+    `far` is for an `Adjacency`, which reduces what repeats as it stores it, so repeated runs
+    are left. It adds `direct`, that a version has a single dataset on one side, and `far`,
+    for such a version that dataset beside each of the other side: those are all its paths, no
+    more than its names, so none has to lead through the version.
     """
     versions = events.where(F.col("eventType") == "COMPLETE").select(
         F.concat_ws(".", "job.namespace", "job.name").alias("job"),
-        _names("inputs").alias("ins"), _names("outputs").alias("outs")).distinct()
-
-    def ends(side, role):
-        return F.transform(side, lambda d: F.struct(F.lit(role).alias("role"),
-                                                    d.alias("dataset")))
-    both = F.concat(ends("ins", "input"), ends("outs", "output"))
-    return versions.select("job", F.md5(F.to_json(F.struct("job", "ins", "outs")))
+        _names("inputs").alias("ins"), _names("outputs").alias("outs"))
+    versions = versions if far else versions.distinct()
+
+    def ends(side, role, other, alone):
+        names = [F.lit(role).alias("role")]
+        if far:
+            names += [F.when(alone, F.get(other, F.lit(0))).alias("far"), direct.alias("direct")]
+        return F.transform(side, lambda d: F.struct(*names, d.alias("dataset")))
+
+    one_in, one_out = F.size("ins") == 1, F.size("outs") == 1
+    direct = (one_in & (F.size("outs") > 0)) | (one_out & (F.size("ins") > 0))
+    both = F.concat(ends("ins", "input", "outs", one_out),
+                    ends("outs", "output", "ins", one_in & ~one_out))
+    version = F.md5(F.to_json(F.struct("job", "ins", "outs")))
+    return versions.select("job", (F.when(~direct, version) if far else version)
                            .alias("version"), F.inline(both))
 
 
-ENTER, LEAVE = "enter", "leave"
+ENTER, LEAVE, DIRECT = "enter", "leave", "direct"
 # Which role leads into a job and which out of it, by direction.
-SHARES = 2
 ROLES = {"downstream": ("input", "output"), "upstream": ("output", "input")}
 
 
@@ -85,6 +97,7 @@ class Adjacency:
 
         root/<direction>/step=enter/_bucket=3   from a dataset to versions of jobs
         root/<direction>/step=leave/_bucket=5   from a version to datasets
+        root/<direction>/step=direct/_bucket=3  from a dataset to datasets, where edges tell
 
     A step of a walk reads the buckets its frontier falls into and no others, and the frontier
     says which while it is written. A walk goes level by level; a level holds datasets not met
@@ -99,16 +112,23 @@ class Adjacency:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
     def write(self, edges, directions=tuple(ROLES)):
-        """Store the edges for walks in some directions. Each is dealt by its bucket and a few
-        shares of its other end, so that the edges of one crowded dataset are several tasks."""
+        """Store the edges for walks in some directions. What repeats is reduced within each
+        task, then dealt by both ends, so that the edges of one crowded dataset are many tasks,
+        and stored by the end it is looked up by."""
+        direct = F.lit(False)
+        if "far" in edges.columns:
+            direct, edges = F.col("direct"), edges.where(~F.col("direct") | F.col("far").isNotNull())
+            edges = edges.withColumn("other", F.when(direct, F.col("far")).otherwise(F.col("version")))
+        else:
+            edges = edges.withColumn("other", F.col("version"))
         for direction in directions:
             enters = F.col("role") == ROLES[direction][0]
-            ends = [F.col("dataset"), F.col("version")]
-            (edges.select(F.when(enters, ENTER).otherwise(LEAVE).alias("step"),
+            ends = [F.col("dataset"), F.col("other")]
+            (edges.select(F.when(direct, DIRECT).when(enters, ENTER).otherwise(LEAVE).alias("step"),
                           F.when(enters, ends[0]).otherwise(ends[1]).alias("at"),
                           F.when(enters, ends[1]).otherwise(ends[0]).alias("to"))
-             .withColumn("_bucket", self._bucket("at"))
-             .repartition("step", "_bucket", F.pmod(F.xxhash64("to"), F.lit(SHARES)))
+             .distinct().withColumn("_bucket", self._bucket("at"))
+             .sortWithinPartitions("step", "_bucket", "at")
              .write.mode("overwrite").partitionBy("step", "_bucket")
              .parquet(f"{self.root}/{direction}"))
         return self
@@ -129,8 +149,21 @@ class Adjacency:
         if not paths:
             return None
         edges = self.spark.read.schema("at STRING, to STRING").parquet(*paths)
+        if step != LEAVE:  # a level is written down, and files are sorted by this end
+            least, most = (level.agg(f(level.columns[0])).scalar() for f in (F.min, F.max))
+            edges = edges.where(F.col("at").between(least, most))
         return edges.join(level.toDF("at"), "at", "left_semi").select("to").distinct()
 
+    def _through(self, direction, level, only, folder):
+        """What is reached through versions of jobs; None if no edge can be."""
+        versions = self._step(direction, ENTER, level, set(only))
+        if versions is None:
+            return None
+        via, passed = versions, range(self.buckets)
+        if len(only) * 2 < self.buckets:  # else its versions are about everywhere, too
+            via, passed = self._write(versions, folder)
+        return self._step(direction, LEAVE, via, set(passed))
+
     def walk(self, start, direction):
         """(dataset, depth) of all that is reached from `start`, by the least number of jobs."""
         run, first = f"walk-{uuid.uuid4().hex}", self.spark.createDataFrame(
@@ -138,15 +171,12 @@ class Adjacency:
         level, only = first, first.agg(F.collect_set(self._bucket("dataset"))).head()[0]
         levels = [first]
         while only:
-            versions = self._step(direction, ENTER, level, set(only))
-            if versions is None:
-                break
-            via, passed = versions, range(self.buckets)
-            if len(only) * 2 < self.buckets:  # else its versions are about everywhere, too
-                via, passed = self._write(versions, f"{run}/versions-{len(levels)}")
-            found = self._step(direction, LEAVE, via, set(passed))
-            if found is None:
+            found = [self._step(direction, DIRECT, level, set(only)),
+                     self._through(direction, level, only, f"{run}/versions-{len(levels)}")]
+            found = [rows for rows in found if rows is not None]
+            if not found:
                 break
+            found = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
             found = found.toDF("dataset").join(
                 reduce(DataFrame.unionByName, levels), "dataset", "left_anti")
             level, only = self._write(found, f"{run}/level-{len(levels)}")

@@ -82,5 +82,26 @@ def test_a_crowded_dataset_and_a_self_loop(spark, tmp_path):
     assert store.walk("lake.x1", "downstream").isEmpty()
 
 
+def test_paths_of_a_single_dataset_are_stored_without_versions(spark, tmp_path):
+    """Each of the runs has several datasets on neither, one or both sides; some run twice."""
+    runs = [(f"j{i}", [f"d{i * k % 11}" for k in range(1, 2 + i % 3)],
+             [f"d{(i + k * k) % 13}" for k in range(1, 2 + i // 3 % 3)]) for i in range(18)]
+    runs += [("none", [], ["d0"]), ("end", ["d0"], []), ("loop", ["d1"], ["d1"])]
+    events = G.lineage_events(spark, *runs[0])
+    for run in [*runs[1:], *runs[:4]]:
+        events = events.unionByName(G.lineage_events(spark, *run))
+    plain, far = G.lineage_edges(events), G.lineage_edges(events, far=True)
+    for start in ("lake.d0", "lake.d5", "lake.d12"):
+        assert rows(G.upstream(far, start)) == rows(G.upstream(plain, start))
+        assert rows(G.downstream(far, start)) == rows(G.downstream(plain, start))
+    single = far.where("direct")
+    store = G.Adjacency(spark, str(tmp_path / "store"), 4).write(single, ["upstream"])
+    assert [n for n in store.folder.names("upstream") if "=" in n] == ["step=direct"]
+    wanted = {(f"lake.{o}", f"lake.{i}") for _, ins, outs in runs if 1 in (len({*ins}), len({*outs}))
+              for i in ins for o in outs}
+    stored = spark.read.parquet(f"{store.root}/upstream").select("at", "to")
+    assert rows(stored) == sorted(wanted, key=repr)
+
+
 def test_a_failed_write_does_not_raise(spark):
     assert G.emit_lineage(spark, "no_such_namespace.events", [("j", ["a"], ["b"])]) is False
