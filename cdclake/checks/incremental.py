@@ -48,10 +48,17 @@ def change_log(t):
     logs = []
     for table, df in shop.items():
         key, (column, value) = F.col(CONTRACTS[table].key), CHANGES[table]
-        for ts, op, rows in ((1000, "c", df),
-                             (2000, "u", df.where(key % 5 == 0).withColumn(column, F.expr(value))),
-                             (3000, "d", df.where(key % 7 == 0))):
-            logs.append(snapshot_to_changes(rows, table, F.lit(ts).cast("bigint"), op))
+
+        def event(ts, op):
+            return F.struct(F.lit(ts).cast("bigint").alias("_ts"), F.lit(op).alias("_op"))
+
+        # Each row is made once and gives its creation, its update and its delete.
+        rows = df.select("*", F.inline(F.array_compact(F.array(
+            event(1000, "c"), F.when(key % 5 == 0, event(2000, "u")),
+            F.when(key % 7 == 0, event(3000, "d"))))))
+        moved = F.when(F.col("_op") == "u", F.expr(value)).otherwise(F.col(column))
+        logs.append(snapshot_to_changes(rows.withColumn(column, moved), table, F.col("_ts"),
+                                        F.col("_op"), CONTRACTS[table].columns))
     return reduce(DataFrame.unionByName, logs)
 
 

@@ -138,7 +138,8 @@ class LiveMarts:
         items = self._priced(feeds["order_items"])
         line = F.col("sign") * F.col("quantity") * F.col("price")
         table.add(summed(items, ["order_id"], rows=F.col("sign"), amount=line,
-                         amounts=F.when(line.isNotNull(), F.col("sign"))), reached)
+                         amounts=F.when(line.isNotNull(), F.col("sign"))), reached,
+                  near=items)
 
     def _product_sales(self, table, feeds, reached):
         items = self._priced(feeds["order_items"])
@@ -148,33 +149,32 @@ class LiveMarts:
             items, ["product_id"], rows=sign, units=units,
             unit_rows=F.when(F.col("quantity").isNotNull(), sign), amount=line,
             priced=F.when(F.col("price").isNotNull(), units),
-            amounts=F.when(line.isNotNull(), sign)), reached)
+            amounts=F.when(line.isNotNull(), sign)), reached, near=items)
 
     def _priced(self, feed):
         return signed(feed, C.ORDER_ITEMS).withColumn(
             "price", minor_units(F.col("unit_price"), self.digits))
 
-    def _silver_near(self, contract, keys):
-        return rows_of(self.tables[contract.table].near(keys), contract)
-
-    def _keys(self, feeds, key):
-        """The keys that any of the feeds has changed."""
+    def _keys(self, table, feeds, key):
+        """The keys that any of the feeds has changed, and the buckets they fall into in every
+        table that has this key."""
         found = [f.select(F.when(F.col("after").isNotNull(), F.col("after")[key])
                           .otherwise(F.col("before")[key]).alias(key)) for f in feeds.values()]
-        return found[0].unionByName(found[1]).distinct()
+        every = found[0].unionByName(found[1])
+        return every.distinct(), table.touched(every)
 
     def _order_facts(self, table, feeds, reached):
         """Orders that count. One that does not, or has gone, has no fact."""
-        keys = self._keys(feeds, "order_id")
-        orders = self._silver_near(C.ORDERS, keys).select(
+        keys, only = self._keys(table, feeds, "order_id")
+        orders = rows_of(self.tables["orders"].read(only=only), C.ORDERS).select(
             "order_id", "customer_id", F.col("order_ts").cast("date").alias("order_date"),
             "channel", (F.col("status") != CANCELLED).alias("billed"))
-        totals = self.tables["order_totals"].near(keys).select(
+        totals = self.tables["order_totals"].read(only=only).select(
             "order_id", F.col("rows").alias("lines"), "amount", "amounts")
         facts = (self._joined(keys, orders, "order_id", "left")
                  .join(totals, "order_id", "left")  # a line without an order number has no order
                  .fillna(0, ["lines", "amount", "amounts"]))
-        table.replace(facts, reached, gone=~F.coalesce("billed", F.lit(False)))
+        table.replace(facts, reached, gone=~F.coalesce("billed", F.lit(False)), only=only)
 
     @staticmethod
     def _joined(keys, rows, key, how):
@@ -186,30 +186,33 @@ class LiveMarts:
         facts = signed(feeds["order_facts"]).where(F.col("lines") > 0)
         table.add(summed(facts, ["order_date", "channel"], rows=F.col("sign"),
                          amount=F.col("sign") * F.col("amount"),
-                         amounts=F.when(F.col("amounts") > 0, F.col("sign"))), reached)
+                         amounts=F.when(F.col("amounts") > 0, F.col("sign"))), reached,
+                  near=facts)
 
     def _customer_spend(self, table, feeds, reached):
         facts = signed(feeds["order_facts"])
         table.add(summed(facts, ["customer_id"], rows=F.col("sign"),
                          orders=F.when(F.col("order_id").isNotNull(), F.col("sign")),
-                         amount=F.col("sign") * F.col("amount")), reached)
+                         amount=F.col("sign") * F.col("amount")), reached,
+                  near=facts)
 
     def _customer_ltv(self, table, feeds, reached):
-        keys = self._keys(feeds, "customer_id")
-        there = self._silver_near(C.CUSTOMERS, keys).select(
+        keys, only = self._keys(table, feeds, "customer_id")
+        there = rows_of(self.tables["customers"].read(only=only), C.CUSTOMERS).select(
             "customer_id", "segment", "country", F.lit(True).alias("there"))
-        spend = self.tables["customer_spend"].near(keys).select("customer_id", "orders", "amount")
+        spend = self.tables["customer_spend"].read(only=only).select(
+            "customer_id", "orders", "amount")
         rows = self._joined(keys, there, "customer_id", "left").join(
             spend, "customer_id", "left").fillna(0, ["orders", "amount"])
         table.replace(rows.withColumn("lifetime_value", from_minor_units(
-            F.col("amount"), digits=self.digits)), reached, gone=F.col("there").isNull())
+            F.col("amount"), digits=self.digits)), reached, gone=F.col("there").isNull(), only=only)
 
     def _top_products(self, table, feeds, reached):
-        keys = self._keys(feeds, "product_id")
-        products = self._silver_near(C.PRODUCTS, keys).select(
+        keys, only = self._keys(table, feeds, "product_id")
+        products = rows_of(self.tables["products"].read(only=only), C.PRODUCTS).select(
             "product_id", "name", "category",
             minor_units(F.col("unit_cost"), self.digits).alias("cost"), F.lit(True).alias("there"))
-        sold = self.tables["product_sales"].near(keys)
+        sold = self.tables["product_sales"].read(only=only)
         rows = self._joined(keys, products, "product_id", "left").join(sold, "product_id", "left")
         amount = F.when(F.col("amounts") > 0, F.col("amount"))
         rows = rows.withColumns({
@@ -217,7 +220,8 @@ class LiveMarts:
             "revenue": from_minor_units(amount, digits=self.digits),
             "margin": from_minor_units(amount - F.col("cost") * F.col("priced"),
                                        digits=self.digits)})
-        table.replace(rows, reached, gone=F.col("there").isNull() | F.col("rows").isNull())
+        table.replace(rows, reached, gone=F.col("there").isNull() | F.col("rows").isNull(),
+                      only=only)
 
     def silver(self, table):
         """The captured table as it is now."""

@@ -1,8 +1,8 @@
 """Keyed state in hash buckets, of which a batch rewrites only those it touches.
 
     root/commits/7.json            which version of each bucket is current, and markers
-    root/rows/version=7/_bucket=3  the rows of a bucket as of a version
-    root/feed/version=7            what version 7 changed: (before, after) per key
+    root/rows/version=7/_bucket=3  the rows of a bucket as of a version, with what they were before
+    root/feed/version=7            the buckets in which version 7 changed rows
 
 A version is its commit file, written last: readers see the old rows or the new rows, a batch
 that failed half-way leaves nothing they see, and a reader keeps the version it opened. Each
@@ -12,8 +12,6 @@ per table at a time.
 """
 
 import json
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -21,7 +19,11 @@ from pyspark.sql import types as T
 
 from cdclake.operators.state import NONE, latest_by_key
 
-BUCKET = "_bucket"
+BUCKET, SHARE = "_bucket", "_share"
+# Beside the columns of a stored row: the row it replaced, and whether the version set it or
+# took it away; NULL where the version left it as it was.
+WAS, STEP = "_was", "_step"
+SET, GONE = "set", "gone"
 
 
 class Folder:
@@ -120,42 +122,73 @@ class StateTable:
                  if only is None or b in only]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return self._stored(*paths).where(~F.col(STEP).eqNullSafe(GONE)).select(
+            *self.schema.names)
+
+    def _stored(self, *paths):
+        more = [T.StructField(WAS, self.schema), T.StructField(STEP, T.StringType())]
+        return self.spark.read.schema(T.StructType([*self.schema.fields, *more])).parquet(*paths)
 
     def near(self, keys):
         """The rows of the buckets that the keys of `keys` fall into."""
-        return self.read(only=self._touched(keys))
+        return self.read(only=self.touched(keys))
 
     def feed(self, since, until=None):
         """(before, after) of every key changed by the versions after `since`, version by
         version; NULL before a row was there and after it went."""
         row = T.StructType([T.StructField(n, self.schema) for n in ("before", "after")])
         until = self.commit().version if until is None else until
-        paths = [f"{self.root}/feed/version={v}" for v in range(since + 1, until + 1)]
+        paths = [f"{self.root}/rows/version={v}/{BUCKET}={b}" for v in range(since + 1, until + 1)
+                 for b in json.loads(self.folder.read(f"feed/version={v}/buckets.json"))]
         if not paths:
             return self.spark.createDataFrame([], row)
-        return self.spark.read.schema(row).parquet(*paths)
+        side = F.when(F.col(STEP) == SET, F.struct(*self.schema.names))
+        return self._stored(*paths).where(F.col(STEP).isNotNull()).select(
+            F.col(WAS).alias("before"), side.alias("after"))
 
-    def _touched(self, rows):
+    def touched(self, rows):
+        """The buckets that the keys of `rows` fall into; only the key columns are read, so hand
+        in rows as they are before they are joined or summed."""
         return set(rows.agg(F.collect_set(self.bucket_of()).alias("b")).head()["b"])
 
-    def _paired(self, rows):
-        """(new, old): `rows` with the stored row of their key, where there is one."""
-        new = rows.select(F.struct("*").alias("new"))
-        old = self.near(rows).select(F.struct("*").alias("old"))
-        same = [F.col("new")[k].eqNullSafe(F.col("old")[k]) for k in self.key]
-        return new.join(old, reduce(and_, same), "left")
+    def _paired(self, rows, only):
+        """(new, old): `rows` and the stored rows of some buckets, one row per key that is in
+        either. Both are dealt once, by bucket and shares of it, and stay so until written."""
+        kinds = {f.name: f.dataType for f in self.schema}
+        own = [F.col(k).cast(kinds[k]).alias(k) for k in self.key]
+        old = self.read(only=only)
+        names = {"new": [c for c in rows.columns if c not in self.key],
+                 "old": [c for c in old.columns if c not in self.key]}
+        # The keys are dealt once, not with each side; the flag is for tables of keys alone.
+        new, old = (df.select(*own, F.struct(F.lit(True).alias("_there"), *names[side]).alias(side))
+                    for side, df in (("new", rows), ("old", old)))
+        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        share = F.pmod(F.xxhash64(F.lit(1), *self.key), F.lit(max(1, width // self.buckets)))
+        dealt = (new.unionByName(old, allowMissingColumns=True)
+                 .withColumn(BUCKET, self.bucket_of()).withColumn(SHARE, share)
+                 .repartition(BUCKET, SHARE))
+        pairs = dealt.groupBy(BUCKET, SHARE, *self.key).agg(*[
+            F.first(side, ignorenulls=True).alias(side) for side in names])
+        return pairs.select(BUCKET, *[F.when(F.col(side).isNotNull(), F.struct(
+            *self.key, *[F.col(side)[c].alias(c) for c in names[side]])).alias(side)
+            for side in names])
+
+    def _near(self, rows):
+        """The buckets to be looked at for `rows`; none while nothing is stored."""
+        return self.touched(rows) if self.commit().buckets else set()
 
     def _row(self, side):
         return F.struct(*[F.col(side)[f.name].cast(f.dataType).alias(f.name)
                           for f in self.schema])
 
-    def replace(self, rows, markers=None, gone=None):
-        """Store `rows`, one per key; with `gone`, a condition on them, drop those keys."""
+    def replace(self, rows, markers=None, gone=None, only=None):
+        """Store `rows`, one per key; with `gone`, a condition on them, drop those keys. `only`
+        are the buckets of their keys, where they are known."""
         if self.commit().reached(markers):
             return False
         kept = F.lit(True) if gone is None else ~F.coalesce(gone, F.lit(False))
-        pairs = self._paired(rows.withColumn("_kept", kept))
+        pairs = self._paired(rows.withColumn("_kept", kept),
+                             self._near(rows) if only is None else only)
         return self._apply(pairs, F.when(F.col("new._kept"), self._row("new")), markers)
 
     def upsert(self, changes, order, markers=None):
@@ -171,12 +204,13 @@ class StateTable:
             return F.struct(*[F.col(side)[c] for c in [*order, *rest]])
 
         newer = F.col("old").isNull() | (by("new") > by("old"))
-        return self._apply(self._paired(newest), F.when(newer, self._row("new"))
-                           .otherwise(self._row("old")), markers)
+        return self._apply(self._paired(newest, self._near(changes)),
+                           F.when(newer, self._row("new")).otherwise(self._row("old")), markers)
 
-    def add(self, deltas, markers=None, alive="rows"):
+    def add(self, deltas, markers=None, alive="rows", near=None):
         """Add numbers per key to those stored; a key whose `alive` comes to 0 goes. Each
-        marker counts once, so a delta is never added twice."""
+        marker counts once, so a delta is never added twice. `near`: rows with the
+        keys of the deltas, as they were before they were summed."""
         if self.commit().reached(markers):
             return False
         numbers = [f.name for f in self.schema if f.name not in self.key]
@@ -185,48 +219,43 @@ class StateTable:
                 for c in numbers}
         row = F.struct(*[F.col("new")[k].alias(k) for k in self.key],
                        *[sums[c].cast(self.schema[c].dataType).alias(c) for c in numbers])
-        return self._apply(self._paired(deltas), F.when(sums[alive] != 0, row), markers)
+        return self._apply(self._paired(deltas, self._near(deltas if near is None else near)),
+                           F.when(sums[alive] != 0, row), markers)
 
     def _apply(self, pairs, after, markers):
-        """Write the feed, then the buckets it touches, then the commit."""
+        """Write the buckets, each row with what it was before, the list of those that changed,
+        then the commit. Buckets in which nothing changed are not kept."""
         now = self.commit()
         version = now.version + 1
+        seen, written = Observation(), f"rows/version={version}"
         before = F.when(F.col("old").isNotNull(), self._row("old"))
-        seen = Observation()
-        feed = pairs.select(before.alias("before"), after.alias("after")).where(
-            ~F.col("before").eqNullSafe(F.col("after")))
-        keys = [F.when(F.col("after").isNotNull(), F.col("after")[k])
-                .otherwise(F.col("before")[k]) for k in self.key]
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        feed.observe(seen, F.collect_set(bucket).alias("buckets")).write.mode(
-            "overwrite").parquet(f"{self.root}/feed/version={version}")
-        touched = set(seen.get["buckets"])
-        buckets = {b: v for b, v in now.buckets.items() if b not in touched}
-        if touched:
-            written = f"rows/version={version}"
-            (self._content(version, touched).withColumn(BUCKET, self.bucket_of())
-             .repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
-             .parquet(f"{self.root}/{written}"))
-            # A bucket that lost its last row has no folder.
-            buckets |= {int(n.split("=")[1]): version for n in self.folder.names(written)
-                        if n.startswith(f"{BUCKET}=")}
+        sides = pairs.select(BUCKET, before.alias("before"), F.when(
+            F.col("new").isNull(), before).otherwise(after).alias("after"))
+        same = F.col("before").eqNullSafe(F.col("after"))
+        step = F.when(~same, F.when(F.col("after").isNull(), GONE).otherwise(SET))
+        rows = sides.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select(
+            "after.*", F.when(~same, F.col("before")).alias(WAS), step.alias(STEP), BUCKET)
+        (rows.observe(seen, F.collect_set(F.when(F.col(STEP).isNotNull(), F.col(BUCKET)))
+                      .alias("changed"),
+                      F.collect_set(F.when(~F.col(STEP).eqNullSafe(GONE), F.col(BUCKET)))
+                      .alias("filled"))
+         .write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{written}"))
+        changed, filled = set(seen.get["changed"]), set(seen.get["filled"])
+        for bucket in filled - changed:
+            self.folder.remove(f"{written}/{BUCKET}={bucket}")
+        self.folder.remove(f"feed/version={version}")  # of a version that was not committed
+        self.folder.write_new(f"feed/version={version}/buckets.json", json.dumps(sorted(changed)))
+        # A bucket that lost its last row is none.
+        buckets = {b: v for b, v in now.buckets.items() if b not in changed}
+        buckets |= {b: version for b in filled & changed}
         self.folder.write_new(f"commits/{version}.json", Commit(
             version, buckets, {**now.markers, **(markers or {})}).text())
         return True
 
-    def _content(self, version, touched):
-        changes = self.feed(version - 1, version)
-        keys = changes.select(*[F.when(F.col("after").isNotNull(), F.col("after")[k])
-                                .otherwise(F.col("before")[k]).alias(k)
-                                for k in self.key]).alias("c")
-        old = self.read(only=touched).alias("s")
-        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in self.key]
-        return old.join(keys, reduce(and_, same), "left_anti").unionByName(
-            changes.where(F.col("after").isNotNull()).select("after.*"))
-
     def vacuum(self, keep=2, feed_from=None):
         """Remove what only versions before the last `keep` ones need, and feeds up to a
-        version that every follower has passed. Readers of older versions lose their files."""
+        version that every follower has passed. Readers of older versions lose their files. The
+        rows of a feed are those of its version, so a feed that stays keeps its buckets."""
         newest = self.commit().version
         first = max(newest - keep + 1, 1)
         for name in self.folder.names("commits"):
@@ -235,15 +264,17 @@ class StateTable:
                 self.folder.remove(f"commits/{name}")
         used = {(b, v) for n in range(first, newest + 1)
                 for b, v in self.commit(n).buckets.items()}
+        for name in self.folder.names("feed"):
+            if feed_from is not None and int(name.split("=")[1]) <= min(feed_from, newest):
+                self.folder.remove(f"feed/{name}")
+        fed = {int(name.split("=")[1]) for name in self.folder.names("feed")}
         for name in self.folder.names("rows"):
             version, left = int(name.split("=")[1]), 0
             for own in self.folder.names(f"rows/{name}"):
-                if own.startswith(f"{BUCKET}=") and (int(own.split("=")[1]), version) in used:
+                if own.startswith(f"{BUCKET}=") and (int(own.split("=")[1]), version) in used or (
+                        version in fed):
                     left += 1
                 elif own.startswith(f"{BUCKET}="):
                     self.folder.remove(f"rows/{name}/{own}")
             if not left and version <= newest:
                 self.folder.remove(f"rows/{name}")
-        for name in self.folder.names("feed"):
-            if feed_from is not None and int(name.split("=")[1]) <= min(feed_from, newest):
-                self.folder.remove(f"feed/{name}")

@@ -175,3 +175,13 @@ def test_a_state_of_an_empty_log(spark, tmp_path):
     whole = orders_log(spark, 60, 2)
     assert rows(index.state_as_of(empty, 500)) == []
     assert rows(index.state_as_of(whole, 800)) == rows(silver.state_as_of(whole, ORDERS, 800))
+
+
+def test_a_version_deals_its_rows_once_and_writes_them_once(spark, table):
+    table.upsert(log(spark, [(i, "c", 1, "a") for i in range(50)]), ["ts"])
+    table.upsert(log(spark, [(i, "u", 2, "b") for i in range(0, 50, 2)]), ["ts"])
+    assert not [n for v in table.folder.names("feed") for n in table.folder.names(f"feed/{v}")
+                if n.endswith(".parquet")]
+    assert table.feed(1).count() == 25
+    pairs = table._paired(log(spark, [(1, "u", 3, "c")]), {0, 1, 2})
+    assert str(pairs._jdf.queryExecution().executedPlan()).count("Exchange") == 1
