@@ -138,13 +138,21 @@ class StateTable:
         version; NULL before a row was there and after it went."""
         row = T.StructType([T.StructField(n, self.schema) for n in ("before", "after")])
         until = self.commit().version if until is None else until
-        paths = [f"{self.root}/rows/version={v}/{BUCKET}={b}" for v in range(since + 1, until + 1)
+        versions, feed = range(since + 1, until + 1), self.spark.createDataFrame([], row)
+        # Earlier code wrote the rows of a feed themselves.
+        plain = [v for v in versions if any(
+            n.endswith(".parquet") for n in self.folder.names(f"feed/version={v}"))]
+        paths = [f"{self.root}/rows/version={v}/{BUCKET}={b}" for v in versions if v not in plain
                  for b in json.loads(self.folder.read(f"feed/version={v}/buckets.json"))]
-        if not paths:
-            return self.spark.createDataFrame([], row)
-        side = F.when(F.col(STEP) == SET, F.struct(*self.schema.names))
-        return self._stored(*paths).where(F.col(STEP).isNotNull()).select(
-            F.col(WAS).alias("before"), side.alias("after"))
+        if paths:
+            side = F.when(F.col(STEP) == SET, F.struct(*self.schema.names))
+            feed = self._stored(*paths).where(F.col(STEP).isNotNull()).select(
+                F.col(WAS).alias("before"), side.alias("after"))
+        if not plain:
+            return feed
+        old = self.spark.read.schema(row).parquet(
+            *[f"{self.root}/feed/version={v}" for v in plain])
+        return feed.unionByName(old) if paths else old
 
     def touched(self, rows):
         """The buckets that the keys of `rows` fall into; only the key columns are read, so hand

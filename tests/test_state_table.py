@@ -185,3 +185,13 @@ def test_a_version_deals_its_rows_once_and_writes_them_once(spark, table):
     assert table.feed(1).count() == 25
     pairs = table._paired(log(spark, [(1, "u", 3, "c")]), {0, 1, 2})
     assert str(pairs._jdf.queryExecution().executedPlan()).count("Exchange") == 1
+
+
+def test_feeds_that_earlier_code_wrote_are_read(spark, table):
+    for i in (1, 2):
+        table.upsert(log(spark, [(i, "c", 1, "a")]), ["ts"])
+    wanted = rows(table.feed(0))
+    first = table.feed(0, 1).collect()
+    table.folder.remove("feed/version=1")
+    spark.createDataFrame(first, table.feed(1).schema).write.parquet(f"{table.root}/feed/version=1")
+    assert len(wanted) == 2 and rows(table.feed(0)) == wanted
