@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cdclake.checks.layers import REPORT
 from cdclake.checks.registry import query
 from cdclake.contracts import CONTRACTS, ORDERS, SILVER
-from cdclake.functions.images import epoch_millis, row_image
+from cdclake.functions.images import epoch_millis
 from cdclake.operators.changes import TOPIC_PREFIX
 from cdclake.operators.state import APPLY
 from cdclake.plans import gold
@@ -127,23 +127,29 @@ def across_sources(t):
         "customer_id", "segment", "order_id")
 
 
-def write_topic(df, folder, table, ts_ms, wrapped=False, op="c"):
-    """Rows as broker records of one topic, for the file source; a delete has its row before."""
-    after = F.from_json(row_image(df), df.select(*[
-        F.col(c).cast("string").alias(c) for c in df.columns]).schema)
+def topic_records(df, table, ts_ms, wrapped=False, op="c"):
+    """Rows as broker records of one topic; a delete has its row before. An image has its
+    fields as text."""
+    after = F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])
     change = F.struct(F.lit(op).alias("op"), ts_ms.alias("ts_ms"),
                       after.alias("before" if op == "d" else "after"))
     value = F.to_json(F.struct(change.alias("payload")) if wrapped else change,
                       {"ignoreNullFields": "false"})
-    df.select(F.lit(TOPIC_PREFIX + table).alias("topic"), value.alias("value")).write.mode(
-        "append").parquet(folder)
+    return df.select(F.lit(TOPIC_PREFIX + table).alias("topic"), value.alias("value"))
+
+
+def publish(folder, *records):
+    """Records of several topics for the file source, written by one job, so that a small
+    table or the last tasks of a large one do not hold up the others."""
+    reduce(DataFrame.unionByName, records).write.mode("append").parquet(folder)
 
 
 def ingested(t, lake):
     """Orders and events through the stream, in both forms of the envelope."""
     topics = f"{lake.folder}/topics"
-    write_topic(t.orders(), topics, "orders", epoch_millis(F.col("order_ts")))
-    write_topic(t.events(), topics, "events", epoch_millis(F.col("event_ts")), wrapped=True)
+    publish(topics,
+            topic_records(t.orders(), "orders", epoch_millis(F.col("order_ts"))),
+            topic_records(t.events(), "events", epoch_millis(F.col("event_ts")), wrapped=True))
     cfg = lake.config(source_format="parquet", brokers=topics,
                       checkpoint=f"{lake.folder}/checkpoint")
     run_ingest(t.spark, cfg, once=True)
@@ -191,8 +197,8 @@ def _keys_of(log):
 def into_log(t, lake, **more):
     """Config of a log of all six tables, published; not ingested yet."""
     topics = f"{lake.folder}/topics"
-    for at, (name, df, _) in enumerate(all_six(t)):
-        write_topic(df, topics, name, F.lit(1000), at % 2 == 1)
+    publish(topics, *[topic_records(df, name, F.lit(1000), at % 2 == 1)
+                      for at, (name, df, _) in enumerate(all_six(t))])
     return lake.config(source_format="parquet", brokers=topics, fan=3,
                        checkpoint=f"{lake.folder}/checkpoint", **more)
 
@@ -220,8 +226,8 @@ def pinned_reads(t):
     run_ingest(t.spark, cfg, once=True)
     log = bronze_log(t.spark, cfg)
     pinned = log.commit()["version"]
-    for name, df, key in all_six(t):
-        write_topic(df.where(F.col(key) % 5 == 0), cfg.brokers, name, F.lit(2000), op="u")
+    publish(cfg.brokers, *[topic_records(df.where(F.col(key) % 5 == 0), name, F.lit(2000), op="u")
+                           for name, df, key in all_six(t)])
     stream = start_ingest(t.spark, replace(cfg, max_per_trigger="4"), once=True)
     keys = ["table_name", "id"]
     then = materialised(_keys_of(log.read(pinned)).groupBy(*keys).agg(F.count("*").alias("then")))
@@ -255,9 +261,9 @@ def refreshed_from_stream(t):
         changed = df.where(key % 5 == 0)
         if name == "orders":
             changed = changed.withColumn("status", F.lit("returned"))
-        write_topic(df, topics, name, F.lit(1000), wrapped)
-        write_topic(changed, topics, name, F.lit(2000), not wrapped, "u")
-        write_topic(df.where(key % 7 == 0), topics, name, F.lit(3000), wrapped, "d")
+        publish(topics, topic_records(df, name, F.lit(1000), wrapped))
+        publish(topics, topic_records(changed, name, F.lit(2000), not wrapped, "u"))
+        publish(topics, topic_records(df.where(key % 7 == 0), name, F.lit(3000), wrapped, "d"))
     cfg = lake.config(source_format="parquet", brokers=topics, deletes=APPLY,
                       checkpoint=f"{lake.folder}/checkpoint")
     run_ingest(t.spark, cfg, once=True)

@@ -6,9 +6,11 @@
 Every batch becomes a unit of level 0. As soon as there are `fan` neighbouring units of one
 level, `compact` writes them again as one unit of the next, so that a row is rewritten once
 per level and the number of units grows with the logarithm of that of the batches, up to
-`levels`; beyond that units are large enough to stay. A version is its commit file, written
-last. Readers take the units of one version: a compaction or a batch that comes meanwhile
-changes nothing for them, until `vacuum` removes what only old versions need.
+`levels`; beyond that units are large enough to stay. A unit that holds over `fan` times all
+those it would be merged with, in large files, is raised to the next level as it is: a first
+load is not written again for each level that small batches after it fill. A version is its
+commit file, written last. Readers take the units of one version: a compaction or a batch that
+comes meanwhile changes nothing for them, until `vacuum` removes what only old versions need.
 
 Every row carries the version that brought it, which compaction keeps. So a reader can be
 pinned to any version, and a follower reads what came after the one it knows, compacted or not.
@@ -30,6 +32,7 @@ from cdclake.contracts import BRONZE_DDL
 from cdclake.sinks.state_table import Folder
 
 VERSION, UNIT = "_version", "_unit"
+FILLED = 16  # files of at least 1/16 of `file_bytes` on average are large ones
 _LOCKS = defaultdict(threading.Lock)
 
 
@@ -91,6 +94,9 @@ class ChangeLog:
         done = 0
         with self.work:
             while old := self._due(self.commit()["units"]):
+                if large := self._outgrown(old):
+                    self._raise(large)
+                    continue
                 unit = f"{UNIT}=merged-{uuid.uuid4().hex}"
                 self._merge(old, unit)
                 merged = {"name": unit, "level": old[0]["level"] + 1, "first": old[0]["first"],
@@ -105,6 +111,29 @@ class ChangeLog:
                 done += 1
         return done
 
+    def _outgrown(self, due):
+        """The unit, if any, that holds over `fan` times what all others due hold, at least a
+        file's worth, in files large enough to stay."""
+        sizes = {u["name"]: self.folder.sizes(f"data/{u['name']}") for u in due}
+        whole = {n: sum(s.values()) for n, s in sizes.items()}
+        name = max(whole, key=whole.get)
+        rest = sum(whole.values()) - whole[name]
+        if whole[name] < self.file_bytes or whole[name] <= self.fan * rest:
+            return None
+        few = sum(-(-s * FILLED // self.file_bytes) for n, s in sizes[name].items()
+                  if n.startswith(f"{self.split}="))
+        files = sum(n.endswith(".parquet") for table in sizes[name]
+                    for n in self.folder.names(f"data/{name}/{table}"))
+        return name if files <= few else None
+
+    def _raise(self, name):
+        with self.commits:
+            now = self.commit()
+            units = [{**u, "level": u["level"] + 1} if u["name"] == name else u
+                     for u in now["units"]]
+            self._write({"version": now["version"] + 1, "units": units,
+                         "markers": now["markers"]})
+
     def _merge(self, old, unit):
         """Files of about `file_bytes` each. Every source table is read by itself, in as many
         tasks as it fills files, and each task writes what it has read: nothing is shuffled, so

@@ -79,6 +79,44 @@ def test_large_tables_fill_several_files(spark, tmp_path):
     assert log.read().count() == 8000
 
 
+def loads(spark, rows, files):
+    """One large batch in so many files, whose rows do not compress."""
+    return (spark.range(rows).select(F.lit("t0").alias("table_name"),
+                                     F.xxhash64("id").alias("n")).repartition(files))
+
+
+def test_a_large_load_is_not_written_again_for_each_level(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path), DDL, fan=2, levels=4, file_bytes=40_000)
+    log.append(batch(spark, 0).coalesce(1))
+    first = log.append(loads(spark, 20_000, 4))
+    large, wanted, at = log.commit()["units"][1]["name"], [], {}
+    for i in range(1, 18):
+        wanted = wanted + content(i)
+        at[log.append(batch(spark, i).coalesce(1))] = wanted
+        log.compact()
+    units = log.commit()["units"]
+    assert [u["level"] for u in units if u["name"] == large] == [4] and len(units) <= 5
+    assert log.read(first).count() == 20_004 and log.read().count() == 20_004 + len(wanted)
+    known = sorted(at)[8]
+    assert rows(log.changes(first, known)) == sorted(at[known], key=repr)
+    assert rows(log.changes(known)) == sorted(wanted[len(at[known]):], key=repr)
+    assert rows(log.changes(first - 1, first)) == rows(loads(spark, 20_000, 1))
+
+
+def test_a_large_load_in_small_files_is_merged_once(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path), DDL, fan=2, levels=4, file_bytes=40_000)
+    log.append(loads(spark, 20_000, 100))
+    assert files(log) == 100
+    log.append(batch(spark, 1).coalesce(1))
+    assert log.compact() == 1 and files(log) <= 8
+    merged = log.commit()["units"][0]["name"]
+    for i in range(2, 10):
+        log.append(batch(spark, i).coalesce(1))
+        log.compact()
+    assert log.commit()["units"][0]["name"] == merged
+    assert log.read().count() == 20_000 + 9 * 4
+
+
 def test_reads_and_merges_while_batches_come(spark, tmp_path):
     log = ChangeLog(spark, str(tmp_path), DDL, fan=2, levels=4)
     stop, faults = threading.Event(), []

@@ -5,6 +5,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from cdclake.checks.lakehouse import publish as publish_topics
+from cdclake.checks.lakehouse import topic_records
 from cdclake.operators.changes import decode_envelope
 from cdclake.operators.state import upsert
 from cdclake.plans import gold
@@ -201,3 +203,30 @@ def test_marts_kept_up_to_date_from_the_bronze_stream(spark, lake):
     again = replace(lake, checkpoint=f"{lake.checkpoint}-new")
     live = run_maintain(spark, again, once=True)
     assert live.mart("daily_revenue").agg(F.sum("revenue")).head()[0] == 2.5
+
+
+def test_topics_are_written_by_one_job_as_their_rows_read_back(spark, tmp_path):
+    """Images have their fields as text, whatever these hold; all topics take one job."""
+    folder, sc = str(tmp_path / "topics"), spark.sparkContext
+    values = [(1, 1.0e22, 'q"\\/\n'), (2, float("nan"), "null"), (None, -0.0, ""), (4, None, None)]
+    df = spark.createDataFrame(values, "id BIGINT, x DOUBLE, s STRING").withColumn(
+        "at", F.lit("1999-01-02 03:04:05.000006").cast("timestamp_ntz"))
+    records = [topic_records(df, "a", F.lit(1000)),
+               topic_records(df, "b", F.lit(2000), True, "u"),
+               topic_records(df.where("id = 1"), "c", F.lit(3000), True, "d")]
+    sc.setJobGroup("topics", "topics")
+    publish_topics(folder, *records)
+    jobs = sc.statusTracker().getJobIdsForGroup("topics")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    texts = [(1, "1.0E22", 'q"\\/\n'), (2, "NaN", "null"), (None, "-0.0", ""), (4, None, None)]
+    images = [{"id": i if i is None else str(i), "x": x, "s": s,
+               "at": "1999-01-02 03:04:05.000006"} for i, x, s in texts]
+    found = spark.read.parquet(folder)
+    got = sorted(((r["topic"], json.loads(r["value"])) for r in found.collect()), key=repr)
+    wanted = [("ecom.public.a", {"op": "c", "ts_ms": 1000, "after": i}) for i in images]
+    wanted += [("ecom.public.b", {"payload": {"op": "u", "ts_ms": 2000, "after": i}})
+               for i in images]
+    wanted += [("ecom.public.c", {"payload": {"op": "d", "ts_ms": 3000, "before": images[0]}})]
+    assert got == sorted(wanted, key=repr)
+    assert decode_envelope(found, keep_delete_image=True).where("after IS NULL").count() == 0
