@@ -256,14 +256,16 @@ def refreshed_from_stream(t):
     topics = f"{lake.folder}/topics"
     shop = {"customers": t.customers(), "products": t.products(), "orders": t.orders(),
             "order_items": t.items(), "payments": t.payments(), "events": t.events()}
+    records = []
     for at, (name, df) in enumerate(shop.items()):
         key, wrapped = F.col(CONTRACTS[name].key), at % 2 == 1
         changed = df.where(key % 5 == 0)
         if name == "orders":
             changed = changed.withColumn("status", F.lit("returned"))
-        publish(topics, topic_records(df, name, F.lit(1000), wrapped))
-        publish(topics, topic_records(changed, name, F.lit(2000), not wrapped, "u"))
-        publish(topics, topic_records(df.where(key % 7 == 0), name, F.lit(3000), wrapped, "d"))
+        records += [topic_records(df, name, F.lit(1000), wrapped),
+                    topic_records(changed, name, F.lit(2000), not wrapped, "u"),
+                    topic_records(df.where(key % 7 == 0), name, F.lit(3000), wrapped, "d")]
+    publish(topics, *records)
     cfg = lake.config(source_format="parquet", brokers=topics, deletes=APPLY,
                       checkpoint=f"{lake.folder}/checkpoint")
     run_ingest(t.spark, cfg, once=True)

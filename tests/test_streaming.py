@@ -1,10 +1,14 @@
 import json
 from dataclasses import replace
+from functools import reduce
+from types import SimpleNamespace
 
 import pytest
 from conftest import rows
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cdclake.checks import lakehouse
 from cdclake.checks.lakehouse import publish as publish_topics
 from cdclake.checks.lakehouse import topic_records
 from cdclake.operators.changes import decode_envelope
@@ -230,3 +234,25 @@ def test_topics_are_written_by_one_job_as_their_rows_read_back(spark, tmp_path):
     wanted += [("ecom.public.c", {"payload": {"op": "d", "ts_ms": 3000, "before": images[0]}})]
     assert got == sorted(wanted, key=repr)
     assert decode_envelope(found, keep_delete_image=True).where("after IS NULL").count() == 0
+
+
+def test_a_refresh_publishes_all_changes_at_once(spark, monkeypatch):
+    keys = {"customers": "customer_id", "products": "product_id", "orders": "order_id",
+            "items": "item_id", "payments": "order_id", "events": "event_id"}
+    shop = {name: (lambda key=key: spark.range(70).select(F.col("id").alias(key), F.lit(
+        "placed").alias("status"))) for name, key in keys.items()}
+    calls = []
+
+    def seen(folder, *records):
+        calls.append(records)
+        raise InterruptedError
+
+    monkeypatch.setattr(lakehouse, "publish", seen)
+    with pytest.raises(InterruptedError):
+        lakehouse.refreshed_from_stream(SimpleNamespace(spark=spark, **shop))
+    assert len(calls) == 1
+    found = decode_envelope(reduce(DataFrame.unionByName, calls[0]))
+    assert rows(found.groupBy("table_name", "op", "ts_ms").count()) == sorted([
+        (name, op, ts, n) for name in ("customers", "products", "orders", "order_items",
+                                       "payments", "events")
+        for op, ts, n in (("c", 1000, 70), ("u", 2000, 14), ("d", 3000, 10))], key=repr)
