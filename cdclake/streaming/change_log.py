@@ -5,7 +5,7 @@
 
 Every batch becomes a unit of level 0. As soon as there are `fan` neighbouring units of one
 level, `compact` writes them again as one unit of the next, so that a row is rewritten once
-per level and the number of units grows with the logarithm of that of the batches, up to
+per level at most and the number of units grows with the logarithm of that of the batches, up to
 `levels`; beyond that units are large enough to stay. A unit that holds over `fan` times all
 those it would be merged with, in large files, is raised to the next level as it is: a first
 load is not written again for each level that small batches after it fill. A version is its
@@ -93,14 +93,15 @@ class ChangeLog:
         Batches may be committed meanwhile: only the commit itself waits for them."""
         done = 0
         with self.work:
-            while old := self._due(self.commit()["units"]):
-                if large := self._outgrown(old):
+            while due := self._due(units := self.commit()["units"]):
+                if large := self._outgrown(due):
                     self._raise(large)
                     continue
+                old, level = self._with_next(due, units)
                 unit = f"{UNIT}=merged-{uuid.uuid4().hex}"
                 self._merge(old, unit)
-                merged = {"name": unit, "level": old[0]["level"] + 1, "first": old[0]["first"],
-                          "last": old[-1]["last"]}
+                merged = {"name": unit, "level": level, "first": min(u["first"] for u in old),
+                          "last": max(u["last"] for u in old)}
                 gone = {u["name"] for u in old}
                 with self.commits:
                     now = self.commit()
@@ -111,6 +112,17 @@ class ChangeLog:
                 done += 1
         return done
 
+    def _with_next(self, due, units):
+        """The units to merge now and the level of what they become: where that would be due on
+        its level at once, the units there are taken along, so that it is not written twice."""
+        level = due[0]["level"] + 1
+        while level < self.levels:
+            more = [u for u in units if u["level"] == level]
+            if len(more) != self.fan - 1 or self._outgrown([*more, *due]):
+                break
+            due, level = [*more, *due], level + 1
+        return [u for u in units if u in due], level
+
     def _outgrown(self, due):
         """The unit, if any, that holds over `fan` times what all others due hold, at least a
         file's worth, in files large enough to stay."""

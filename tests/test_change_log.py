@@ -79,6 +79,16 @@ def test_large_tables_fill_several_files(spark, tmp_path):
     assert log.read().count() == 8000
 
 
+def test_levels_that_fill_together_are_merged_in_one_write(spark, tmp_path):
+    log, merges = ChangeLog(spark, str(tmp_path), DDL, fan=3, levels=3), []
+    for i in range(1, 28):
+        log.append(batch(spark, i).coalesce(1))
+        merges.append(log.compact())
+    assert max(merges) == 1 and sum(merges) == 9
+    assert [u["level"] for u in log.commit()["units"]] == [3]
+    assert rows(log.read()) == sorted([r for i in range(1, 28) for r in content(i)], key=repr)
+
+
 def loads(spark, rows, files):
     """One large batch in so many files, whose rows do not compress."""
     return (spark.range(rows).select(F.lit("t0").alias("table_name"),
