@@ -17,7 +17,7 @@ from cdclake.operators.state import APPLY
 from cdclake.plans.incremental import LiveMarts
 from cdclake.plans.partition_checks import PartitionChecks
 from cdclake.plans.snapshots import StateIndex
-from cdclake.session import materialised
+from cdclake.session import CODEC, materialised, shuffles_dropped
 
 BATCHES = 3
 # Keys that 5 divides change one column, those that 7 divides are deleted.
@@ -63,12 +63,15 @@ def change_log(t):
 
 
 def kept_up(t, **chosen):
-    """The batches taken in one after the other, the last one twice."""
+    """The batches taken in one after the other, the last one twice; versions that nobody reads
+    any more go after each."""
     batch = F.pmod(F.xxhash64("table_name", "op", "after"), F.lit(BATCHES))
-    log = materialised(change_log(t).withColumn("batch", batch))
+    with shuffles_dropped(t.spark):
+        log = materialised(change_log(t).withColumn("batch", batch), compression=CODEC)
     live = LiveMarts(t.spark, f"{Lake(t.spark).folder}/live", APPLY, buckets=16, **chosen)
     for number in [*range(BATCHES), BATCHES - 1]:
         live.apply(log.where(F.col("batch") == number).drop("batch"), number)
+        live.vacuum(keep=1)
     return live
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from cdclake import contracts as C
 from cdclake.functions.money import PLACES, from_minor_units, minor_units
 from cdclake.operators.state import IGNORE, live
-from cdclake.plans.gold import CANCELLED
+from cdclake.plans.gold import billed
 from cdclake.plans.silver import change_key, typed
-from cdclake.sinks.state_table import StateTable
+from cdclake.session import shuffles_dropped
+from cdclake.sinks.state_table import StateTable, dealing
 
 ORDER = ("ts_ms", "seq", "ingest_ts", "after")
 SUMS = {  # table: (key, its numbers); `rows` says whether the key is still there
@@ -84,18 +85,13 @@ def signed(feed, contract=None):
     return there.select("sign", *typed(F.col("row"), contract))
 
 
-def summed(df, keys, **numbers):
-    """Sums per key; what is NULL counts as nothing."""
-    return df.groupBy(*keys).agg(*[
-        F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in numbers.items()])
-
-
 class LiveMarts:
     """The captured tables' state and the marts, below one folder; `marts` chooses some."""
 
     def __init__(self, spark, root, deletes=IGNORE, digits=PLACES, buckets=64, marts=tuple(MARTS),
                  tables=()):
         self.spark, self.deletes, self.digits = spark, deletes, int(digits)
+        self.buckets = buckets
         made = {t for mart in marts for t in MARTS[mart]}
         self.steps = [[t for t in step if t in made] for step in STEPS]
         logs = {s for t in made for s in SOURCES[t] if s in C.CONTRACTS} | set(tables)
@@ -119,7 +115,9 @@ class LiveMarts:
             self.tables[contract.table].upsert(
                 changes_of(bronze, contract, self.deletes), ORDER, {stream: batch})
 
-        with ThreadPoolExecutor(8) as pool:
+        # Set here once, as what a table sets for its own writes is not for threads.
+        with (shuffles_dropped(self.spark), dealing(self.spark, self.buckets),
+              ThreadPoolExecutor(8) as pool):
             list(pool.map(log, self.contracts))
             for step in self.steps:
                 list(pool.map(self._follow, step))
@@ -135,93 +133,94 @@ class LiveMarts:
         getattr(self, f"_{name}")(table, feeds, reached)
 
     def _order_totals(self, table, feeds, reached):
-        items = self._priced(feeds["order_items"])
-        line = F.col("sign") * F.col("quantity") * F.col("price")
-        table.add(summed(items, ["order_id"], rows=F.col("sign"), amount=line,
-                         amounts=F.when(line.isNotNull(), F.col("sign"))), reached,
-                  near=items)
+        sign = F.col("sign")
+        line = sign * F.col("quantity") * F.col("price")
+        table.add(self._priced(feeds["order_items"]).select(
+            "order_id", sign.alias("rows"), line.alias("amount"),
+            F.when(line.isNotNull(), sign).alias("amounts")), reached)
 
     def _product_sales(self, table, feeds, reached):
-        items = self._priced(feeds["order_items"])
         sign, units = F.col("sign"), F.col("sign") * F.col("quantity")
         line = units * F.col("price")
-        table.add(summed(
-            items, ["product_id"], rows=sign, units=units,
-            unit_rows=F.when(F.col("quantity").isNotNull(), sign), amount=line,
-            priced=F.when(F.col("price").isNotNull(), units),
-            amounts=F.when(line.isNotNull(), sign)), reached, near=items)
+        table.add(self._priced(feeds["order_items"]).select(
+            "product_id", sign.alias("rows"), units.alias("units"),
+            F.when(F.col("quantity").isNotNull(), sign).alias("unit_rows"), line.alias("amount"),
+            F.when(F.col("price").isNotNull(), units).alias("priced"),
+            F.when(line.isNotNull(), sign).alias("amounts")), reached)
 
     def _priced(self, feed):
         return signed(feed, C.ORDER_ITEMS).withColumn(
             "price", minor_units(F.col("unit_price"), self.digits))
 
     def _keys(self, table, feeds, key):
-        """The keys that any of the feeds has changed, and the buckets they fall into in every
-        table that has this key."""
+        """The keys that any of the feeds has changed, one row per change, and the buckets they
+        fall into in every table that has this key."""
         found = [f.select(F.when(F.col("after").isNotNull(), F.col("after")[key])
                           .otherwise(F.col("before")[key]).alias(key)) for f in feeds.values()]
         every = found[0].unionByName(found[1])
-        return every.distinct(), table.touched(every)
+        return every, table.touched(every)
 
     def _order_facts(self, table, feeds, reached):
         """Orders that count. One that does not, or has gone, has no fact."""
         keys, only = self._keys(table, feeds, "order_id")
-        orders = rows_of(self.tables["orders"].read(only=only), C.ORDERS).select(
+        orders = billed(rows_of(self.tables["orders"].read(only=only), C.ORDERS)).select(
             "order_id", "customer_id", F.col("order_ts").cast("date").alias("order_date"),
-            "channel", (F.col("status") != CANCELLED).alias("billed"))
-        totals = self.tables["order_totals"].read(only=only).select(
-            "order_id", F.col("rows").alias("lines"), "amount", "amounts")
-        facts = (self._joined(keys, orders, "order_id", "left")
-                 .join(totals, "order_id", "left")  # a line without an order number has no order
-                 .fillna(0, ["lines", "amount", "amounts"]))
-        table.replace(facts, reached, gone=~F.coalesce("billed", F.lit(False)), only=only)
-
-    @staticmethod
-    def _joined(keys, rows, key, how):
-        """A join that finds NULL keys, too."""
-        return (keys.withColumnRenamed(key, "_k").join(rows, F.col("_k").eqNullSafe(F.col(key)), how)
-                .withColumn(key, F.col("_k")).drop("_k"))
+            "channel")
+        # A line without an order number has no order.
+        totals = self.tables["order_totals"].read(only=only).where(
+            F.col("order_id").isNotNull()).select(
+                "order_id", F.col("rows").alias("lines"), "amount", "amounts")
+        table.rebuild(
+            keys, {"orders": orders, "totals": totals},
+            {c: F.col(f"orders.{c}") for c in ("customer_id", "order_date", "channel")}
+            | {c: F.coalesce(F.col(f"totals.{c}"), F.lit(0))
+               for c in ("lines", "amount", "amounts")},
+            reached, gone=F.col("orders").isNull(), only=only)
 
     def _daily_sums(self, table, feeds, reached):
+        sign = F.col("sign")
         facts = signed(feeds["order_facts"]).where(F.col("lines") > 0)
-        table.add(summed(facts, ["order_date", "channel"], rows=F.col("sign"),
-                         amount=F.col("sign") * F.col("amount"),
-                         amounts=F.when(F.col("amounts") > 0, F.col("sign"))), reached,
-                  near=facts)
+        table.add(facts.select(
+            "order_date", "channel", sign.alias("rows"), (sign * F.col("amount")).alias("amount"),
+            F.when(F.col("amounts") > 0, sign).alias("amounts")), reached)
 
     def _customer_spend(self, table, feeds, reached):
-        facts = signed(feeds["order_facts"])
-        table.add(summed(facts, ["customer_id"], rows=F.col("sign"),
-                         orders=F.when(F.col("order_id").isNotNull(), F.col("sign")),
-                         amount=F.col("sign") * F.col("amount")), reached,
-                  near=facts)
+        sign = F.col("sign")
+        table.add(signed(feeds["order_facts"]).select(
+            "customer_id", sign.alias("rows"),
+            F.when(F.col("order_id").isNotNull(), sign).alias("orders"),
+            (sign * F.col("amount")).alias("amount")), reached)
 
     def _customer_ltv(self, table, feeds, reached):
         keys, only = self._keys(table, feeds, "customer_id")
         there = rows_of(self.tables["customers"].read(only=only), C.CUSTOMERS).select(
-            "customer_id", "segment", "country", F.lit(True).alias("there"))
-        spend = self.tables["customer_spend"].read(only=only).select(
-            "customer_id", "orders", "amount")
-        rows = self._joined(keys, there, "customer_id", "left").join(
-            spend, "customer_id", "left").fillna(0, ["orders", "amount"])
-        table.replace(rows.withColumn("lifetime_value", from_minor_units(
-            F.col("amount"), digits=self.digits)), reached, gone=F.col("there").isNull(), only=only)
+            "customer_id", "segment", "country")
+        # An order without a customer is nobody's.
+        spend = self.tables["customer_spend"].read(only=only).where(
+            F.col("customer_id").isNotNull()).select("customer_id", "orders", "amount")
+        zero = {c: F.coalesce(F.col(f"spend.{c}"), F.lit(0)) for c in ("orders", "amount")}
+        table.rebuild(
+            keys, {"there": there, "spend": spend},
+            {"segment": F.col("there.segment"), "country": F.col("there.country"),
+             "orders": zero["orders"],
+             "lifetime_value": from_minor_units(zero["amount"], digits=self.digits)},
+            reached, gone=F.col("there").isNull(), only=only)
 
     def _top_products(self, table, feeds, reached):
         keys, only = self._keys(table, feeds, "product_id")
-        products = rows_of(self.tables["products"].read(only=only), C.PRODUCTS).select(
+        there = rows_of(self.tables["products"].read(only=only), C.PRODUCTS).select(
             "product_id", "name", "category",
-            minor_units(F.col("unit_cost"), self.digits).alias("cost"), F.lit(True).alias("there"))
-        sold = self.tables["product_sales"].read(only=only)
-        rows = self._joined(keys, products, "product_id", "left").join(sold, "product_id", "left")
-        amount = F.when(F.col("amounts") > 0, F.col("amount"))
-        rows = rows.withColumns({
-            "units": F.when(F.col("unit_rows") > 0, F.col("units")),
-            "revenue": from_minor_units(amount, digits=self.digits),
-            "margin": from_minor_units(amount - F.col("cost") * F.col("priced"),
-                                       digits=self.digits)})
-        table.replace(rows, reached, gone=F.col("there").isNull() | F.col("rows").isNull(),
-                      only=only)
+            minor_units(F.col("unit_cost"), self.digits).alias("cost"))
+        sold = self.tables["product_sales"].read(only=only).where(F.col("product_id").isNotNull())
+        amount = F.when(F.col("sold.amounts") > 0, F.col("sold.amount"))
+        table.rebuild(
+            keys, {"there": there, "sold": sold},
+            {"name": F.col("there.name"), "category": F.col("there.category"),
+             "units": F.when(F.col("sold.unit_rows") > 0, F.col("sold.units")),
+             "revenue": from_minor_units(amount, digits=self.digits),
+             "margin": from_minor_units(amount - F.col("there.cost") * F.col("sold.priced"),
+                                        digits=self.digits)},
+            reached, gone=F.col("there").isNull() | F.col("sold").isNull(), only=only)
 
     def silver(self, table):
         """The captured table as it is now."""

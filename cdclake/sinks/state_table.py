@@ -12,18 +12,30 @@ per table at a time.
 """
 
 import json
+from functools import partial, reduce
 
-from pyspark.sql import Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cdclake.operators.state import NONE, latest_by_key
+from cdclake.session import CODEC, settings
 
-BUCKET, SHARE = "_bucket", "_share"
+BUCKET = "_bucket"
 # Beside the columns of a stored row: the row it replaced, and whether the version set it or
 # took it away; NULL where the version left it as it was.
 WAS, STEP = "_was", "_step"
 SET, GONE = "set", "gone"
+# The hash that deals keys to buckets is the one that shuffles deal rows by, so that with
+# `dealing` a shuffled partition is part of one bucket. Tables of earlier code keep theirs.
+HASHES = {"murmur3": F.hash, "xxhash64": F.xxhash64}
+WIDTH = "spark.sql.shuffle.partitions"
+
+
+def dealing(spark, buckets):
+    """While this lasts, shuffles have a multiple of the buckets as partitions, so that rows
+    dealt by key lie bucket by bucket and a task writes few files."""
+    width = int(spark.conf.get(WIDTH))
+    return settings(spark, {WIDTH: str(-(-width // buckets) * buckets)})
 
 
 class Folder:
@@ -71,20 +83,21 @@ class Folder:
 
 
 class Commit:
-    """One version: {bucket: version of its rows}, and markers by name."""
+    """One version: {bucket: version of its rows}, markers by name, and the buckets' hash."""
 
-    def __init__(self, version=0, buckets=None, markers=None):
+    def __init__(self, version=0, buckets=None, markers=None, hashed="murmur3"):
         self.version, self.buckets, self.markers = version, buckets or {}, markers or {}
+        self.hashed = hashed
 
     @classmethod
     def load(cls, text):
         found = json.loads(text)
         return cls(found["version"], {int(b): v for b, v in found["buckets"].items()},
-                   found["markers"])
+                   found["markers"], found.get("hashed", "xxhash64"))
 
     def text(self):
         return json.dumps({"version": self.version, "buckets": self.buckets,
-                           "markers": self.markers})
+                           "markers": self.markers, "hashed": self.hashed})
 
     def reached(self, markers):
         return bool(markers) and all(self.markers.get(n, -1) >= v for n, v in markers.items())
@@ -112,7 +125,8 @@ class StateTable:
 
     def bucket_of(self):
         kinds = {f.name: f.dataType for f in self.schema}
-        return F.pmod(F.xxhash64(*[F.col(k).cast(kinds[k]) for k in self.key]),
+        hashed = HASHES[self.commit().hashed]
+        return F.pmod(hashed(*[F.col(k).cast(kinds[k]) for k in self.key]),
                       F.lit(self.buckets)).cast("int")
 
     def read(self, version=None, only=None):
@@ -159,27 +173,38 @@ class StateTable:
         in rows as they are before they are joined or summed."""
         return set(rows.agg(F.collect_set(self.bucket_of()).alias("b")).head()["b"])
 
-    def _paired(self, rows, only):
-        """(new, old): `rows` and the stored rows of some buckets, one row per key that is in
-        either. Both are dealt once, by bucket and shares of it, and stay so until written."""
+    def _united(self, sides, only):
+        """The rows of several sources and the stored ones of some buckets (`old`), below each
+        other: the key in its types, and a struct named by the side that has the other columns.
+        The flag in it is for sides of keys alone."""
         kinds = {f.name: f.dataType for f in self.schema}
         own = [F.col(k).cast(kinds[k]).alias(k) for k in self.key]
-        old = self.read(only=only)
-        names = {"new": [c for c in rows.columns if c not in self.key],
-                 "old": [c for c in old.columns if c not in self.key]}
-        # The keys are dealt once, not with each side; the flag is for tables of keys alone.
-        new, old = (df.select(*own, F.struct(F.lit(True).alias("_there"), *names[side]).alias(side))
-                    for side, df in (("new", rows), ("old", old)))
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        share = F.pmod(F.xxhash64(F.lit(1), *self.key), F.lit(max(1, width // self.buckets)))
-        dealt = (new.unionByName(old, allowMissingColumns=True)
-                 .withColumn(BUCKET, self.bucket_of()).withColumn(SHARE, share)
-                 .repartition(BUCKET, SHARE))
-        pairs = dealt.groupBy(BUCKET, SHARE, *self.key).agg(*[
-            F.first(side, ignorenulls=True).alias(side) for side in names])
-        return pairs.select(BUCKET, *[F.when(F.col(side).isNotNull(), F.struct(
-            *self.key, *[F.col(side)[c].alias(c) for c in names[side]])).alias(side)
-            for side in names])
+        return reduce(partial(DataFrame.unionByName, allowMissingColumns=True), [
+            df.select(*own, F.struct(F.lit(True).alias("_there"), *[
+                c for c in df.columns if c not in self.key]).alias(side))
+            for side, df in {**sides, "old": self.read(only=only)}.items()])
+
+    def _whole(self, side, columns):
+        """A side's struct with the key in front; NULL where the side has no row."""
+        return F.when(F.col(side).isNotNull(), F.struct(
+            *self.key, *[F.col(side)[c].alias(c) for c in columns])).alias(side)
+
+    def _beside(self, sides, only):
+        """One row per key that is in any side or stored in some buckets, with the struct of
+        every side that has the key; each side has a key once, or any of its rows will do. All
+        rows are dealt once, by key, and stay so until they are written."""
+        dealt = (self._united(sides, only).repartition(*self.key)
+                 .withColumn(BUCKET, self.bucket_of()))
+        columns = {**{side: df.columns for side, df in sides.items()}, "old": self.schema.names}
+        return dealt.groupBy(BUCKET, *self.key).agg(*[
+            F.first(side, ignorenulls=True).alias(side) for side in columns]).select(
+                BUCKET, *self.key, *[self._whole(side, [c for c in names if c not in self.key])
+                                     for side, names in columns.items()])
+
+    def _paired(self, rows, only):
+        """(new, old): `rows` and the stored rows of some buckets, one row per key that is in
+        either."""
+        return self._beside({"new": rows}, only).drop(*self.key)
 
     def _near(self, rows):
         """The buckets to be looked at for `rows`; none while nothing is stored."""
@@ -199,36 +224,63 @@ class StateTable:
                              self._near(rows) if only is None else only)
         return self._apply(pairs, F.when(F.col("new._kept"), self._row("new")), markers)
 
+    def rebuild(self, keys, sources, made, markers=None, gone=None, only=None):
+        """Make the rows of `keys` anew from `sources`, {name: rows, one per key of this table}:
+        `made` has the other columns by name and `gone` says when there is no row, both from the
+        structs named by the sources. What is stored and all sources are dealt once, together;
+        keys may repeat. `only` are the buckets of the keys, where they are known."""
+        if self.commit().reached(markers):
+            return False
+        sides = self._beside({"new": keys.select(*self.key), **sources},
+                             self._near(keys) if only is None else only)
+        row = F.struct(*[(made[f.name] if f.name in made else F.col(f.name)).cast(f.dataType)
+                         .alias(f.name) for f in self.schema])
+        kept = F.lit(True) if gone is None else ~F.coalesce(gone, F.lit(False))
+        return self._apply(sides, F.when(kept, row), markers)
+
     def upsert(self, changes, order, markers=None):
         """Store the newest change per key where it is newer than the stored row, by `order`
         and then by all other columns, deletes being rows like any other: in whatever pieces
-        and order a log comes, the state is that of `latest_by_key` over all of it."""
+        and order a log comes, the state is that of `latest_by_key` over all of it. Each task
+        keeps one change per key before the one shuffle, in which they meet what is stored."""
         if self.commit().reached(markers):
             return False
-        rest = [f.name for f in self.schema if f.name not in self.key and f.name not in order]
-        newest = latest_by_key(changes.select(*self.schema.names), self.key, order, NONE)
-
-        def by(side):
-            return F.struct(*[F.col(side)[c] for c in [*order, *rest]])
-
-        newer = F.col("old").isNull() | (by("new") > by("old"))
-        return self._apply(self._paired(newest, self._near(changes)),
-                           F.when(newer, self._row("new")).otherwise(self._row("old")), markers)
-
-    def add(self, deltas, markers=None, alive="rows", near=None):
-        """Add numbers per key to those stored; a key whose `alive` comes to 0 goes. Each
-        marker counts once, so a delta is never added twice. `near`: rows with the
-        keys of the deltas, as they were before they were summed."""
+        by = [*order, *[f.name for f in self.schema
+                        if f.name not in self.key and f.name not in order]]
+
+        def image(side):
+            return F.struct(*[F.col(side)[c].alias(c) for c in by])
+
+        rows = self._united({"new": changes.select(*self.schema.names)}, self._near(changes))
+        newest = F.max(F.when(F.col("new").isNotNull(), image("new")))
+        pairs = rows.groupBy(*self.key).agg(
+            newest.alias("new"), F.first("old", ignorenulls=True).alias("old")).select(
+                self.bucket_of().alias(BUCKET), self._whole("new", by), self._whole("old", by))
+        newer = F.col("old").isNull() | (image("new") > image("old"))
+        return self._apply(
+            pairs, F.when(newer, self._row("new")).otherwise(self._row("old")), markers)
+
+    def add(self, deltas, markers=None, alive="rows"):
+        """Add numbers per key to those stored, NULL being nothing; a key whose `alive` comes to
+        0 goes. A key may have any number of deltas: each task sums them before the one shuffle,
+        in which they meet what is stored. Each marker counts once, so a delta is never added
+        twice."""
         if self.commit().reached(markers):
             return False
         numbers = [f.name for f in self.schema if f.name not in self.key]
-        sums = {c: F.coalesce(F.col(f"old.{c}"), F.lit(0)) + F.coalesce(F.col(f"new.{c}"),
-                                                                       F.lit(0))
-                for c in numbers}
+        # Plain numbers, not structs of them, are summed without a sort.
+        sums = self._united({"new": deltas}, self._near(deltas)).groupBy(*self.key).agg(
+            *[F.coalesce(F.sum(F.col("new")[c]), F.lit(0)).alias(f"new_{c}") for c in numbers],
+            *[F.max(F.col("old")[c]).alias(f"old_{c}") for c in numbers],
+            *[F.max(F.col(side)["_there"]).alias(side) for side in ("new", "old")])
+        pairs = sums.select(self.bucket_of().alias(BUCKET), *[
+            F.when(F.col(side), F.struct(*self.key, *[F.col(f"{side}_{c}").alias(c)
+                                                      for c in numbers])).alias(side)
+            for side in ("new", "old")])
+        total = {c: F.coalesce(F.col(f"old.{c}"), F.lit(0)) + F.col(f"new.{c}") for c in numbers}
         row = F.struct(*[F.col("new")[k].alias(k) for k in self.key],
-                       *[sums[c].cast(self.schema[c].dataType).alias(c) for c in numbers])
-        return self._apply(self._paired(deltas, self._near(deltas if near is None else near)),
-                           F.when(sums[alive] != 0, row), markers)
+                       *[total[c].cast(self.schema[c].dataType).alias(c) for c in numbers])
+        return self._apply(pairs, F.when(total[alive] != 0, row), markers)
 
     def _apply(self, pairs, after, markers):
         """Write the buckets, each row with what it was before, the list of those that changed,
@@ -243,11 +295,12 @@ class StateTable:
         step = F.when(~same, F.when(F.col("after").isNull(), GONE).otherwise(SET))
         rows = sides.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select(
             "after.*", F.when(~same, F.col("before")).alias(WAS), step.alias(STEP), BUCKET)
-        (rows.observe(seen, F.collect_set(F.when(F.col(STEP).isNotNull(), F.col(BUCKET)))
-                      .alias("changed"),
-                      F.collect_set(F.when(~F.col(STEP).eqNullSafe(GONE), F.col(BUCKET)))
-                      .alias("filled"))
-         .write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{written}"))
+        rows = rows.observe(
+            seen, F.collect_set(F.when(F.col(STEP).isNotNull(), F.col(BUCKET))).alias("changed"),
+            F.collect_set(F.when(~F.col(STEP).eqNullSafe(GONE), F.col(BUCKET))).alias("filled"))
+        with dealing(self.spark, self.buckets):
+            (rows.write.mode("overwrite").option("compression", CODEC).partitionBy(BUCKET)
+             .parquet(f"{self.root}/{written}"))
         changed, filled = set(seen.get["changed"]), set(seen.get["filled"])
         for bucket in filled - changed:
             self.folder.remove(f"{written}/{BUCKET}={bucket}")
@@ -257,7 +310,7 @@ class StateTable:
         buckets = {b: v for b, v in now.buckets.items() if b not in changed}
         buckets |= {b: version for b in filled & changed}
         self.folder.write_new(f"commits/{version}.json", Commit(
-            version, buckets, {**now.markers, **(markers or {})}).text())
+            version, buckets, {**now.markers, **(markers or {})}, now.hashed).text())
         return True
 
     def vacuum(self, keep=2, feed_from=None):

@@ -7,11 +7,14 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from cdclake.checks import incremental as checks
+from cdclake.checks.tables import SCHEMAS, Tables
 from cdclake.operators.state import APPLY, IGNORE
 from cdclake.plans import gold, silver
 from cdclake.plans.incremental import LiveMarts
 from cdclake.session import settings
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DDL = "table_name STRING, op STRING, ts_ms BIGINT, after STRING, seq BIGINT"
 
 
@@ -124,3 +127,44 @@ def test_one_change_rewrites_few_buckets(spark, tmp_path):
         assert sum(now[b] != v for b, v in before[name].items()) == (name != "orders"), name
     assert rows(live.mart("daily_revenue").where("channel = 'ch3'").select("orders", "revenue")) \
         == [(11, 30.0)]
+
+
+def test_versions_nobody_reads_go_batch_by_batch(spark, monkeypatch):
+    left, taken, shop = [], LiveMarts.apply, Tables(spark, "not read")
+
+    def apply(self, *batch):
+        left.append(self)
+        taken(self, *batch)
+
+    shop.opened = {
+        "customer": spark.createDataFrame([(1, "n", 0, 1.0, "s")], SCHEMAS["customer"]),
+        "nation": spark.createDataFrame([(0, "x", 0)], SCHEMAS["nation"]),
+        "part": spark.createDataFrame([(1, "p", "b", "t", 1, 2.5)], SCHEMAS["part"]),
+        "orders": spark.range(30).selectExpr(
+            "id AS o_orderkey", "1L AS o_custkey", "'F' AS o_orderstatus",
+            "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS o_orderdate", "'web' AS o_orderpriority"),
+        "lineitem": spark.range(60).selectExpr(
+            "id DIV 2 AS l_orderkey", "1L AS l_partkey", "1L AS l_suppkey",
+            "CAST(id % 2 AS INT) AS l_linenumber", "2D AS l_quantity", "'N' AS l_returnflag",
+            "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS l_shipdate")}
+    monkeypatch.setattr(LiveMarts, "apply", apply)
+    # Of 30 orders 5 are deleted, and 5 more become cancelled.
+    assert [r["orders"] for r in checks.ltv_by_change(shop).collect()] == [20]
+    for name, table in left[-1].tables.items():
+        used = set(table.commit().buckets.values())
+        assert {int(n.split("=")[1]) for n in table.folder.names("rows")} == used, name
+        assert table.folder.names("feed") == [], name
+    assert len(left) == 4
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path, monkeypatch):
+    seen, follow = [], LiveMarts._follow
+
+    def followed(self, name):
+        seen.append(spark.conf.get(CLEANUP))
+        return follow(self, name)
+
+    monkeypatch.setattr(LiveMarts, "_follow", followed)
+    live = LiveMarts(spark, str(tmp_path), APPLY, buckets=2, marts=("daily_revenue",))
+    live.apply(log_of(spark, drawn(20, 5)), 0)
+    assert set(seen) == {"true"} and spark.conf.get(CLEANUP) == "false"

@@ -195,3 +195,60 @@ def test_feeds_that_earlier_code_wrote_are_read(spark, table):
     table.folder.remove("feed/version=1")
     spark.createDataFrame(first, table.feed(1).schema).write.parquet(f"{table.root}/feed/version=1")
     assert len(wanted) == 2 and rows(table.feed(0)) == wanted
+
+
+def test_changes_meet_the_state_in_one_shuffle_and_few_files(spark, table, tmp_path, monkeypatch):
+    plans = []
+    sums = StateTable(spark, str(tmp_path / "sums"), "k BIGINT, rows BIGINT", "k", 8)
+    apply = StateTable._apply
+
+    def seen(self, pairs, after, markers):
+        plans.append(str(pairs._jdf.queryExecution().executedPlan()))
+        return apply(self, pairs, after, markers)
+
+    monkeypatch.setattr(StateTable, "_apply", seen)
+    with settings(spark, {"spark.sql.shuffle.partitions": "5",
+                          "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        for ts in (1, 2):
+            table.upsert(log(spark, [(i, "u", ts, "a") for i in range(300)]).repartition(3), ["ts"])
+            sums.add(spark.range(300).selectExpr("id % 100 AS k", "1L AS rows").repartition(3))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "5"
+    # Another exchange is that of the rows made here.
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1] * 4
+    for made in (table, sums):
+        parts = [f for f in files(made) if f.endswith(".parquet")]
+        assert len(parts) == 2 * 8 and all(".zstd." in f for f in parts)
+    assert rows(sums.read()) == sorted([(k, 6) for k in range(100)], key=repr)
+
+
+def test_rows_are_rebuilt_from_several_sources_in_one_shuffle(spark, tmp_path):
+    made = StateTable(spark, str(tmp_path / "made"), "k BIGINT, a STRING, n BIGINT", "k", 4)
+
+    def rebuild(keys, left, right):
+        sources = {"a": spark.createDataFrame(left, "k BIGINT, text STRING"),
+                   "b": spark.createDataFrame(right, "k BIGINT, n INT")}
+        keys = spark.createDataFrame([(k,) for k in keys], "k BIGINT")
+        return made.rebuild(keys, sources, {"a": F.col("a.text"), "n": F.coalesce(
+            F.col("b.n"), F.lit(0))}, gone=F.col("a").isNull())
+
+    rebuild([1, 1, 2, None, 7], [(1, "x"), (2, None), (None, "n"), (3, "not asked for")],
+            [(1, 5), (7, 5)])
+    assert rows(made.read()) == [(1, "x", 5), (2, None, 0), (None, "n", 0)]
+    rebuild([1, 2], [(2, "y"), (None, "other")], [(2, 1)])
+    assert rows(made.read()) == [(2, "y", 1), (None, "n", 0)]
+    assert rows(made.feed(1)) == [((1, "x", 5), None), ((2, None, 0), (2, "y", 1))]
+
+
+def test_tables_that_earlier_code_dealt_keep_their_buckets(spark, table):
+    before = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")
+    ids = spark.range(40).where(before == 3).select("id")
+    data = [(r.id, "c", 1, "a") for r in ids.collect()]
+    log(spark, data).selectExpr(
+        "*", "CAST(NULL AS STRUCT<id: BIGINT, op: STRING, ts: BIGINT, value: STRING>) AS _was",
+        "'set' AS _step").write.parquet(f"{table.root}/rows/version=1/_bucket=3")
+    table.folder.write_new("feed/version=1/buckets.json", "[3]")
+    table.folder.write_new("commits/1.json", '{"version": 1, "buckets": {"3": 1}, "markers": {}}')
+    assert table.touched(ids) == {3}
+    table.upsert(log(spark, [(data[0][0], "u", 2, "b")]), ["ts"])
+    assert table.commit().buckets == {3: 2} and table.commit().hashed == "xxhash64"
+    assert rows(table.read()) == sorted([(data[0][0], "u", 2, "b"), *data[1:]], key=repr)
