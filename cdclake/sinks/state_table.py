@@ -28,14 +28,18 @@ SET, GONE = "set", "gone"
 # The hash that deals keys to buckets is the one that shuffles deal rows by, so that with
 # `dealing` a shuffled partition is part of one bucket. Tables of earlier code keep theirs.
 HASHES = {"murmur3": F.hash, "xxhash64": F.xxhash64}
-WIDTH = "spark.sql.shuffle.partitions"
+WIDTH, SPLIT = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+SPLIT_BYTES = 32 << 20
 
 
 def dealing(spark, buckets):
     """While this lasts, shuffles have a multiple of the buckets as partitions, so that rows
-    dealt by key lie bucket by bucket and a task writes few files."""
+    dealt by key lie bucket by bucket and a task writes few files; and a task reads no more of
+    the files than it can sort in memory where it combines rows by key before the shuffle."""
     width = int(spark.conf.get(WIDTH))
-    return settings(spark, {WIDTH: str(-(-width // buckets) * buckets)})
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return settings(spark, {WIDTH: str(max(buckets, width // buckets * buckets)),
+                            SPLIT: str(min(split, SPLIT_BYTES))})
 
 
 class Folder:

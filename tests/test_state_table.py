@@ -12,7 +12,7 @@ from cdclake.operators.state import latest_by_key
 from cdclake.plans import silver
 from cdclake.plans.snapshots import StateIndex
 from cdclake.session import settings
-from cdclake.sinks.state_table import StateTable
+from cdclake.sinks.state_table import SPLIT, WIDTH, StateTable, dealing
 
 DDL = "id BIGINT, op STRING, ts BIGINT, value STRING"
 
@@ -252,3 +252,18 @@ def test_tables_that_earlier_code_dealt_keep_their_buckets(spark, table):
     table.upsert(log(spark, [(data[0][0], "u", 2, "b")]), ["ts"])
     assert table.commit().buckets == {3: 2} and table.commit().hashed == "xxhash64"
     assert rows(table.read()) == sorted([(data[0][0], "u", 2, "b"), *data[1:]], key=repr)
+
+
+def test_shuffles_fit_the_buckets_while_a_table_is_written(spark):
+    def now():
+        return int(spark.conf.get(WIDTH)), spark.conf.get(SPLIT)
+
+    with settings(spark, {WIDTH: "21", SPLIT: "64m"}):
+        with dealing(spark, 8):
+            once = now()
+            with dealing(spark, 8):     # as a table does in a thread of its own
+                assert now() == once == (16, str(32 << 20))
+            assert now() == once
+        assert now() == (21, "64m")
+    with settings(spark, {WIDTH: "4", SPLIT: "16m"}), dealing(spark, 8):
+        assert now() == (8, str(16 << 20))
